@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import media, mixing, secrets, urls
+from . import media, mixing, packing, secrets, training_order, urls
 from .common import table
 
 
@@ -28,5 +28,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media, op6_url_filter, op7_secrets, op10_mixing)}
+def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.materialise(table(spark, sf_dir, "documents")).withColumn("record_crc32", F.crc32("record")).drop("record")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents")).drop("ids")
+
+
+QUERIES = {f.__name__: f for f in (op1_media, op4_training_order, op6_url_filter, op7_secrets, op9_packing, op10_mixing)}
 ORACLES: dict[str, str] = {}
