@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import media, mixing, packing, secrets, training_order, urls
+from . import media, mixing, near_join, packing, secrets, top_k, training_order, urls
 from .common import table
 
 
@@ -28,6 +28,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join.link_components(table(spark, sf_dir, "documents"))
+
+
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order.materialise(table(spark, sf_dir, "documents")).withColumn("record_crc32", F.crc32("record")).drop("record")
 
@@ -36,5 +44,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_media, op4_training_order, op6_url_filter, op7_secrets, op9_packing, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_media, op2_ngram_join, op4_training_order, op6_url_filter, op7_secrets, op8_top_k, op9_packing, op10_mixing)}
 ORACLES: dict[str, str] = {}
