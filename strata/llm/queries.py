@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import media, mixing, near_join, packing, secrets, top_k, training_order, urls
+from . import media, mixing, near_join, packing, secrets, top_k, toxicity, training_order, urls, warc
 from .common import table
 
 
@@ -36,6 +36,14 @@ def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_bundles(warc.write_bundles(table(spark, sf_dir, "pages")))
+
+
 def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order.materialise(table(spark, sf_dir, "documents")).withColumn("record_crc32", F.crc32("record")).drop("record")
 
@@ -44,5 +52,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_media, op2_ngram_join, op4_training_order, op6_url_filter, op7_secrets, op8_top_k, op9_packing, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_media, op2_ngram_join, op3_toxicity, op4_training_order, op5_warc, op6_url_filter, op7_secrets, op8_top_k, op9_packing, op10_mixing)}
 ORACLES: dict[str, str] = {}
