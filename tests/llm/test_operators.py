@@ -1,0 +1,135 @@
+import collections
+import hashlib
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from strata.llm import media, mixing, near_join, packing, secrets, tokens, top_k, toxicity, training_order, urls, warc
+
+SCHEMA = "doc_id long, text string, source string, lang string, spans int, n int, tokens int"
+LONG = "one two  three \n \n four " * 400 + "password: abcdefgh12 "
+TEXTS = [None, "", "a", "Ünï cödé token='x'; token = \"abcdefgh\" AKIA0123456789ABCD", "0123456789abcdef" * 3, LONG, LONG, "a b c d e f g h", "a b c d e f g h", "you are an 1d10t"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, None if i == 3 else f"s{i % 2}", "en", 1, 2, 3) for i, t in enumerate(TEXTS)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_media_round_trip(docs, empty):
+    rows = {r["doc_id"]: r for r in media.media_table(docs).collect()}
+    for i, t in enumerate(TEXTS):
+        data = (t or "").encode()
+        payload = data + b" " * (-len(data) % 192 if data else 192)
+        assert rows[i]["payload_sha256"] == hashlib.sha256(payload).hexdigest() and rows[i]["n_bytes"] == len(data)
+        assert media.decode(bytes(rows[i]["media"])).tobytes() == payload
+    assert rows[5]["feature"] == rows[6]["feature"] and media.media_table(empty).count() == 0
+
+
+def test_area_resize_is_exact():
+    image = np.arange(24, dtype=np.uint8).reshape(4, 6, 1)
+    assert np.allclose(media.area_resize(image, 2, 3), image.reshape(2, 2, 3, 2, 1).mean(axis=(1, 3)))
+    assert np.isclose(media.area_resize(image, 3, 5).mean(), image.mean())
+
+
+def test_secrets_against_plain_expressions(docs, empty):
+    rows = {r["doc_id"]: r["spans"] for r in secrets.scan_secrets(docs).collect()}
+    for i, t in enumerate(TEXTS):
+        want = []
+        for k, rule in enumerate(secrets.RULES):
+            for m in re.finditer(rule.pattern, t or ""):
+                if m.end(rule.group) - m.start(rule.group) >= rule.least:
+                    want.append((m.start(), k, rule.kind, m.end()))
+        assert [(s["start"], s["kind"], s["end"]) for s in rows[i]] == [(s, kind, e) for s, _, kind, e in sorted(want)]
+    assert secrets.scan_secrets(empty).count() == 0
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert clean[0] is None and "abcdefgh12" not in clean[5] and clean[7] == TEXTS[7]
+
+
+def test_components(docs, empty):
+    rows = {r["doc_id"]: r for r in near_join.link_components(docs).collect()}
+    assert [rows[i]["component_id"] for i in range(len(TEXTS))] == [0, 1, 2, 3, 4, 5, 5, 7, 7, 9]
+    assert rows[0]["n_shingles"] == 0 and rows[7]["n_shingles"] == 4
+    assert near_join.link_components(empty).count() == 0
+
+
+def test_mixing(docs, empty):
+    rows = mixing.mix(docs).collect()
+    assert len(rows) == len(TEXTS) and all(0 <= r["copies"] <= 2 for r in rows)
+    assert mixing.targets({"a": 100, "b": 100, None: 100}) == pytest.approx({"a": 200, "b": 500 / 3, None: 250 / 3}, rel=1e-9)
+    assert mixing.mix(empty).count() == 0
+    assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, mixing.mix(docs).collect()), key=str)
+
+
+def test_packing(docs, empty):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(tokens.default_path())
+    rows = packing.pack(docs, length=64).orderBy("sequence_id", "offset").collect()
+    at, ids = 0, collections.defaultdict(dict)
+    for r in rows:
+        assert r["sequence_id"] * 64 + r["offset"] == at
+        at += r["length"]
+        ids[r["doc_id"]][r["start"]] = np.frombuffer(r["ids"], "<u4").tolist()
+    for i, t in enumerate(TEXTS):
+        assert sum((ids[i][s] for s in sorted(ids[i])), []) == whole.encode(t or "", add_special_tokens=False).ids + [1]
+    assert packing.pack(empty).count() == 0
+
+
+def test_hilbert_steps_to_neighbours():
+    points = sorted((packing.hilbert([x, y, z], 2), (x, y, z)) for x in range(4) for y in range(4) for z in range(4))
+    assert [k for k, _ in points] == list(range(64))
+    assert all(sum(abs(a - b) for a, b in zip(p, q)) == 1 for (_, p), (_, q) in zip(points, points[1:]))
+
+
+def test_training_order(docs, empty):
+    for n in (1, 2, 3, 17, 1000):
+        assert sorted(training_order.permute(np.arange(n), n, 5)) == list(range(n))
+    rows = training_order.materialise(docs, length=32, per_shard=8).collect()
+    assert sorted(r["slot"] for r in rows) == list(range(len(rows))) and {len(r["record"]) for r in rows} == {64}
+    assert training_order.materialise(empty).count() == 0
+
+
+def test_warc_round_trip(spark):
+    pages = spark.createDataFrame([(5, "http://a/", "x"), (2, None, "x"), (3, "u", None), (4, "u", ""), (9, "ü", "ü" * 9)], "page_id long, url string, html string")
+    rows = {r["page_id"]: r for r in warc.read_bundles(warc.write_bundles(pages)).collect()}
+    assert {k: r["refers_to"] for k, r in rows.items()} == {2: None, 5: 2, 3: None, 4: 3, 9: None}
+    assert rows[5]["payload_bytes"] == 1 and rows[9]["payload_bytes"] == 18 and rows[5]["payload_digest"] == rows[2]["payload_digest"]
+    assert warc.read_bundles(warc.write_bundles(pages.limit(0))).count() == 0
+
+
+def test_urls(spark):
+    given = [None, "none", "HTTP://X.Example.COM/en/7?a", "http://m.example.net/de/81#t", "http://a.net/de/1", "http://casino-win.example.net/fr/3", "http://ththan.example.com/fr/1"]
+    rows = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(list(enumerate(given)), "page_id long, url string")).collect()}
+    assert [rows[i]["rule"] for i in range(7)] == [None, None, "example.com/en/7", "example.net/de/8", "net/de/", None, None]
+    assert [rows[i]["verdict"] for i in range(7)] == ["allow", "allow", "allow", "block", "allow", "block", "allow"]
+
+
+def test_top_k(spark):
+    random = np.random.default_rng(1)
+    vectors = random.normal(size=(200, 8))
+    vectors[10:40] = vectors[5]
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(200, None), (201, [None] * 8), (202, [float("nan")] * 8)]
+    got = collections.defaultdict(list)
+    for r in top_k.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=16).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((-r["score"], r["vec_id"]))
+    whole = np.floor(64 * vectors)
+    for q in range(0, 200, 20):
+        assert got[q] == sorted((-int(s), i) for i, s in enumerate(whole @ whole[q]) if i != q)[:20]
+
+
+def test_toxicity(spark, docs, empty):
+    rows = [(i, f"w{i % 7} quiet words here " + ("you idiot" if i % 5 == 0 else "you friend")) for i in range(300)] + [(300, "you 1d10t"), (301, "such an i d i o t here"), (302, None)]
+    texts = spark.createDataFrame([(i, f"{t} n{i}x" if t else t) for i, t in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(300)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(texts, labels).collect()}
+    assert all(got[i] == int(i % 5 == 0) for i in range(300)) and (got[300], got[301], got[302]) == (1, 1, 0)
+    assert toxicity.score_toxicity(empty, labels).count() == 0
