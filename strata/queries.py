@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import strategies as st
 from .operators import mapping as mp
+from .operators import nearest as nr
 from .sources import layers as ly
 
 SIDE = 8.0
@@ -112,3 +113,36 @@ def q_down_max(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT min(x0) AS minx, min(y0) AS miny, max(x0 + 4) AS maxx, max(y0 + 4) AS maxy FROM par")
 def q_level_bounds(spark: SparkSession, d: str) -> DataFrame:
     return ly.parts(spark, d).agg(*((F.min if c.startswith("min") else F.max)(c).alias(c) for c in mp.BOX))
+
+
+_KNN = """, ncen AS (SELECT id, x0 + 4 AS x, y0 + 4 AS y FROM nat), near AS (SELECT c.id AS src_id, n.id AS dst_id, sqrt((c.x - n.x) ** 2 + (c.y - n.y) ** 2) AS distance,
+ row_number() OVER (PARTITION BY c.id ORDER BY sqrt((c.x - n.x) ** 2 + (c.y - n.y) ** 2), n.id) AS rank FROM cus c CROSS JOIN ncen n), k AS (SELECT * FROM near WHERE rank <= 3)
+"""
+
+
+@query(_KNN + "SELECT src_id, dst_id, round(pow(distance + 1e-9, -2) / sum(pow(distance + 1e-9, -2)) OVER (PARTITION BY src_id), 7) AS weight FROM k")
+def q_knn_map(spark: SparkSession, d: str) -> DataFrame:
+    return nr.knn_mapping(ly.customers(spark, d), ly.nations(spark, d), SIDE, k=3).select("src_id", "dst_id", _r("weight"))
+
+
+@query(_KNN + ", v AS (SELECT dst_id, sum(bal) AS bal FROM cen JOIN cus ON src_id = id GROUP BY dst_id) SELECT src_id AS id, round(sum(v.bal * pow(distance + 1e-9, -2)) / sum(pow(distance + 1e-9, -2)), 5) AS bal FROM k JOIN v USING (dst_id) GROUP BY src_id")
+def q_smooth_mean(spark: SparkSession, d: str) -> DataFrame:
+    mapping = nr.knn_mapping(ly.customers(spark, d), ly.nations(spark, d), SIDE, k=3)
+    return nr.smooth_mean(mapping, _balances(spark, d), "bal").select("id", F.round("bal", 5).alias("bal"))
+
+
+_HOLES = ", h AS (SELECT id, x, y, w, CASE WHEN id % 5 > 0 THEN bal END AS bal FROM cus), pick AS (SELECT e.id, e.w, f.id AS donor, f.bal AS given, row_number() OVER (PARTITION BY e.id ORDER BY sqrt((e.x - f.x) ** 2 + (e.y - f.y) ** 2), f.id) AS rank FROM h e JOIN h f ON e.bal IS NULL AND f.bal IS NOT NULL)"
+
+
+def _holes(spark: SparkSession, d: str) -> DataFrame:
+    return ly.customers(spark, d).withColumn("bal", F.when(F.col("id") % 5 > 0, F.col("bal")))
+
+
+@query(_HOLES + " SELECT h.id, coalesce(h.bal, given) AS bal, h.bal IS NULL AS filled FROM h LEFT JOIN pick ON h.id = pick.id AND rank = 1")
+def q_nearest_fill(spark: SparkSession, d: str) -> DataFrame:
+    return nr.fill_from_nearest(_holes(spark, d), "bal", "w", 1.0).select("id", "bal", "filled")
+
+
+@query(_HOLES + ", g AS (SELECT donor, sum(w) AS gain FROM pick WHERE rank = 1 GROUP BY donor) SELECT h.id, CASE WHEN bal IS NULL THEN 0.0 ELSE w + coalesce(gain, 0.0) END AS w FROM h LEFT JOIN g ON h.id = donor")
+def q_relocate_weight(spark: SparkSession, d: str) -> DataFrame:
+    return nr.relocate_weight(_holes(spark, d), "bal", "w", 1.0)[0].select("id", "w")
