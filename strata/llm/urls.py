@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 BITS = 15
 #: Words from which the small labelled table is made.
-BAD = ("adult", "adult-x", "casino", "casino-win", "cheap-pills", "pills", "free-bets", "bets", "spam-farm", "spam", "ads-track", "ads", "porn", "xxx", "poker", "viagra")
-GOOD = ("news", "library", "school", "therin", "ththan", "tionsh", "weather", "garden", "science", "museum", "travel", "recipes", "history", "theron", "tionble", "music")
+BAD = ("adult", "adults-only", "casino", "casinos", "pills", "pharmacy-pills", "bets", "betting", "spam", "spammer", "ads", "adserver", "porn", "xxx", "poker", "viagra")
+GOOD = ("news", "library", "school", "teacher", "thesaurus", "nation", "weather", "garden", "science", "museum", "travel", "recipes", "history", "theatre", "stations", "music")
 
 
 def labelled_urls() -> list[tuple[str, str, int]]:
