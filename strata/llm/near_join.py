@@ -2,8 +2,9 @@
 
 Tokens are hashed 5-word shingles. Two global orders put tokens that no other text has first: A goes on by document
 frequency then hash, B by hash alone. Texts that reach the threshold share a token of their prefixes under either
-order; candidates must pass A, then B, then the exact count. Copies are one class. Classes first meet one leader per
-prefix token; what these links do not bring together is compared in a second round.
+order; candidates must pass A, then B, then the exact count. Copies are one class, a node of the graph. Classes
+first meet one leader per prefix token, for a few rounds of leaders; what these links do not bring together is compared
+in full. The sets are computed twice rather than stored: a set is as large as its text.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import buffers, portions, stored
 
@@ -38,18 +39,20 @@ def shingles(text: bytes) -> np.ndarray:
     return np.unique(out.view(np.int64))
 
 
-def token_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n, fp (digest of the set), tokens."""
+def token_sets(docs: DataFrame, wide: bool = True) -> DataFrame:
+    """doc_id, n, fp (digest of the set) and, if ``wide``, tokens."""
+    names = ["doc_id", "n", "fp", "tokens"][: 3 + wide]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, "text"):
             raw, at = buffers(batch.column(1))
             data = raw.tobytes()
             sets = [shingles(data[at[k] : at[k + 1]]) for k in range(len(at) - 1)]
-            marks = [hashlib.md5(s.tobytes()).hexdigest() for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "n", "fp", "tokens"])
+            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.md5(s.tobytes()).digest() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sets, pa.list_(pa.int64()))] if wide else columns, names)
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, fp string, tokens array<bigint>")
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, fp binary" + ", tokens array<bigint>" * wide
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -59,53 +62,69 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     while True:
         near = edges.join(labels, edges["b"] == labels["id"]).groupBy("a").agg(F.min("comp").alias("near"))
         spread = labels.join(near, labels["id"] == near["a"], "left").select("id", F.col("comp").alias("old"), F.least("comp", F.coalesce("near", "comp")).alias("low"))
-        spread = stored(spread, "labels")
-        heads = spread.select(F.col("id").alias("head"), F.col("low").alias("jump"))
-        new = stored(spread.join(heads, spread["low"] == heads["head"], "left").select("id", "old", F.least("low", F.coalesce("jump", "low")).alias("comp")), "labels")
+        heads = labels.select(F.col("id").alias("head"), F.col("comp").alias("jump"))
+        new = stored(spread.join(heads, spread["low"] == heads["head"]).select("id", "old", F.least("low", "jump").alias("comp")), "labels")
         labels = new.select("id", "comp")
         if not new.filter("comp <> old").take(1):
             return labels
 
 
-def link_components(docs: DataFrame) -> DataFrame:
+def _fits(x: str, y: str) -> Column:
+    """Whether sets of these sizes can reach the threshold."""
+    return 100 * F.least(x, y) >= PERCENT * F.greatest(x, y)
+
+
+def prefixes(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """id, n, tokens (those that other classes have too, in order A) and left (so many of them lie in the prefix).
+
+    Tokens that no other class has lead both orders; what is left of the prefix falls on shared ones.
+    """
+    keys = ["fp", "n"]
+    whole = token_sets(docs).filter("n > 0").groupBy(*keys).agg(F.first("tokens").alias("tokens")).join(classes.select("id", *keys), keys)
+    each = whole.select("id", F.explode("tokens").alias("token"))
+    counted = each.withColumn("df", F.count("*").over(Window.partitionBy("token")).cast("int")).filter("df > 1")
+    shared = counted.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("by_df")).join(classes.select("id", "n"), "id")
+    left = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - (F.col("n") - F.size("by_df"))
+    return shared.select("id", "n", F.col("by_df.token").alias("tokens"), left.cast("int").alias("left")).filter("left > 0")
+
+
+def link_components(docs: DataFrame, rounds: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links of 100 * shared >= 75 * union).
 
     Null and empty texts have no shingles, link with nothing and are their own component. Repeated rows keep their
-    own rows. An empty table gives none.
+    own rows, and rows of one doc_id with different texts are nodes of their own. An empty table gives none. ``rounds``
+    of leaders only save work: the full comparison behind them covers all that is still apart.
     """
-    sets = stored(token_sets(docs), "sets")
-    full = sets.filter("n > 0")
-    classes = full.groupBy("fp", "n").agg(F.min("doc_id").alias("id"))
-    reps = full.join(classes.select("id"), full["doc_id"] == F.col("id"), "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n", "tokens")
-    exploded = reps.select("id", "n", F.explode("tokens").alias("token"))
-    df = exploded.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = stored(exploded.join(df, "token").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("by_df")), "shared")
-    # unshared tokens lead both orders; what is left of the prefix falls on shared ones
-    left = F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - (F.col("n") - F.size("by_df"))).cast("int")
-    ready = stored(
-        shared.withColumn("tokens", F.transform("by_df", lambda x: x["token"])).withColumn("left", left).filter("left > 0")
-        .select("id", "n", "tokens", F.slice("tokens", F.lit(1), F.col("left")).alias("first_a"), F.slice(F.array_sort("tokens"), F.lit(1), F.col("left")).alias("first_b")), "prefixes")
-    posts = stored(ready.select("id", "n", F.explode("first_a").alias("token")), "posts")
+    marks = stored(token_sets(docs, wide=False), "marks")
+    classes = stored(marks.filter("n > 0").groupBy("fp", "n").agg(F.min("doc_id").alias("least")).withColumn("id", F.monotonically_increasing_id()), "classes")
+    ready = stored(prefixes(docs, classes), "prefixes")
+    posts = stored(ready.select("id", "n", F.explode(F.slice("tokens", F.lit(1), F.col("left"))).alias("token")), "posts")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        a = ready.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"), F.col("first_b").alias("fa"))
-        b = ready.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"), F.col("first_b").alias("fb"))
-        both = pairs.distinct().join(a, "a").join(b, "b").filter(F.arrays_overlap("fa", "fb"))
-        count = both.withColumn("both", F.size(F.array_intersect("ta", "tb")))
-        return stored(count.filter(100 * F.col("both") >= PERCENT * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"), "links")
-
-    leaders = posts.groupBy("token").agg(F.min_by(F.struct("id", "n"), F.struct(F.xxhash64("id"), "id")).alias("lead"), F.count("*").alias("m")).filter("m > 1")
-    fits = lambda x, y: (100 * F.least(x, y) >= PERCENT * F.greatest(x, y))
-    star = posts.join(leaders, "token").filter((F.col("id") != F.col("lead.id")) & fits(F.col("n"), F.col("lead.n")))
-    links = verified(star.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")))
-    grouped = components(ready.select("id"), links)
-    marked = posts.join(grouped, "id")
-    mixed = marked.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("token")
-    open_ = stored(marked.join(mixed, "token"), "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")) & fits(F.col("x.n"), F.col("y.n")))
-    links = links.union(verified(rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))))
-    final = components(ready.select("id"), links)
-    member = classes.join(final, "id", "left").select("fp", "n", F.coalesce("comp", "id").alias("comp"))
-    out = sets.select("doc_id", "n", "fp").join(member, ["fp", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
+        a, b = (ready.select(*(F.col(c).alias(f"{side}_{c}" if c != "id" else side) for c in ready.columns)) for side in "ab")
+        second = lambda side: F.slice(F.array_sort(f"{side}_tokens"), F.lit(1), F.col(f"{side}_left"))
+        both = pairs.distinct().join(a, "a").join(b, "b").filter(F.arrays_overlap(second("a"), second("b")))
+        count = both.withColumn("both", F.size(F.array_intersect("a_tokens", "b_tokens")))
+        return stored(count.filter(100 * F.col("both") >= PERCENT * (F.col("a_n") + F.col("b_n") - F.col("both"))).select("a", "b"), "links")
+
+    links, comps = None, ready.select("id", F.col("id").alias("comp"))
+    for k in range(rounds + 1):
+        marked = posts.join(comps, "id")
+        mixed = marked.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min_by(F.struct("id", "n", "comp"), F.struct(F.xxhash64("id", F.lit(k)), "id")).alias("lead")).filter("c0 <> c1").select("token", "lead")
+        if k < rounds:
+            met = marked.join(mixed, "token").filter((F.col("comp") != F.col("lead.comp")) & _fits("n", "lead.n"))
+            pairs = met.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b"))
+        else:
+            open_ = stored(marked.join(mixed.select("token"), "token"), "open")
+            x, y = open_.alias("x"), open_.alias("y")
+            apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp"))
+            pairs = x.join(y, apart & _fits("x.n", "y.n")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        found = verified(pairs)
+        if found.take(1):
+            links = found if links is None else links.union(found)
+            comps = components(ready.select("id"), links)
+    member = classes.join(comps, "id", "left").select("fp", "n", "least", F.coalesce("comp", "id").alias("comp"))
+    smallest = member.groupBy("comp").agg(F.min("least").alias("component_id"))
+    named = member.join(smallest, "comp").select("fp", "n", "component_id")
+    out = marks.join(named, ["fp", "n"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
