@@ -6,6 +6,7 @@ their cube is the sort key. The ordered token stream is cut every ``length`` tok
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -46,13 +47,21 @@ def hilbert(point: list[int], bits: int = BITS) -> int:
     return key
 
 
+@functools.cache
+def signs(size: int) -> np.ndarray:
+    """A random sign for each dimension and id below ``size``."""
+    ids, rows = np.arange(1, size + 1, dtype=np.uint64), []
+    for d in range(DIMS):
+        mixed = ids * np.uint64((0x9E3779B97F4A7C15 + 0xD1B54A32D192ED03 * d) & (2**64 - 1) | 1)
+        rows.append(((mixed >> np.uint64(61)) & np.uint64(1)).astype(np.int8) * 2 - 1)
+    return np.stack(rows).astype(np.int8)
+
+
 def curve_key(ids: np.ndarray) -> int:
-    """Projects the hashed token counts by random signs and scales each dimension to its cell."""
+    """Projects the hashed token counts by random signs and scales each dimension to its cell. Ids have 16 bits."""
     cells = []
-    for d in range(DIMS):
-        mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64((0x9E3779B97F4A7C15 + 0xD1B54A32D192ED03 * d) & (2**64 - 1) | 1)
-        sign = ((mixed >> np.uint64(61)) & np.uint64(1)).astype(np.float64) * 2 - 1
-        value = sign.sum() / np.sqrt(len(ids)) if len(ids) else 0.0
+    for row in signs(1 << 16):
+        value = row[ids].sum(dtype=np.int64) / np.sqrt(len(ids)) if len(ids) else 0.0
         cells.append(int(np.clip((np.tanh(value / 8) + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1)))
     return hilbert(cells)
 

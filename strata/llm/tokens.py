@@ -1,7 +1,8 @@
 """Token ids of whole texts under a byte-level BPE vocabulary file.
 
-Pieces that start at a lone space are tokenised once per worker and remembered (in a table of bounded size), as no
-token of this vocabulary's pattern reaches over such a place; texts in which white space stands on both sides of a space
+Pieces that start at a lone space are tokenised once per worker and remembered (in two tables of bounded size, the older
+of which goes when the newer is full), as no token of this vocabulary's pattern reaches over such a place. New pieces
+go through the tokenizer as one text, which is cut again at the tokens that start with a space; texts in which white space stands on both sides of a space
 and texts with the special token's string go through the tokenizer whole.
 """
 
@@ -22,11 +23,34 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        names = map(self.tokenizer.id_to_token, range(self.tokenizer.get_vocab_size()))
+        self.opens = np.array([(name or "").startswith("Ġ") for name in names])  # byte-level vocabularies write a space so
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of pieces that are a space and a word."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        at = np.flatnonzero(self.opens[ids])
+        if len(at) != len(words) or at[0]:
+            return self._whole(words)
+        raw, cuts = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _learn(self, pieces: set[str]) -> None:
+        known, older = self.known, self.older
+        again = {x: older[x] for x in pieces if x in older}
+        known.update(again)
+        new = [x for x in pieces if x not in again]
+        words = [x for x in new if x.split() == [x[1:]]]
+        if words:
+            known.update(zip(words, self._words(words), strict=True))
+        if rest := [x for x in new if x not in known]:
+            known.update(zip(rest, self._whole(rest), strict=True))
+
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if not text:
@@ -35,14 +59,12 @@ class Encoder:
             return self._whole([text])[0]
         head, *rest = text.split(" ")
         pieces = ([head] if head else []) + [f" {x}" for x in rest]
-        known = self.known
-        new = list({x for x in pieces if x not in known})
+        new = {x for x in pieces if x not in self.known}
         if new:
-            if len(known) > _MOST:
-                known.clear()
-                new = list(set(pieces))
-            known.update(zip(new, self._whole(new), strict=True))
-        return b"".join(map(known.__getitem__, pieces))
+            if len(self.known) > _MOST:
+                self.older, self.known, new = self.known, {}, set(pieces)
+            self._learn(new)
+        return b"".join(map(self.known.__getitem__, pieces))
 
 
 def encoder(path: str) -> Encoder:
