@@ -1,10 +1,11 @@
 """N-gram Jaccard join by multiple-global-order filtering, and the components of its links.
 
-Tokens are hashed 5-word shingles. Two global orders put tokens that no other text has first: A goes on by document
-frequency then hash, B by hash alone. Texts that reach the threshold share a token of their prefixes under either
-order; candidates must pass A, then B, then the exact count. Copies are one class, a node of the graph. Classes
-first meet one leader per prefix token, for a few rounds of leaders; what these links do not bring together is compared
-in full. The sets are computed twice rather than stored: a set is as large as its text.
+Tokens are hashed 5-word shingles; copies are one class, a node of the graph. Two global orders, A and B, put tokens
+that are frequent within tasks last (by a table of levels over hash buckets: an order may be any function of the token,
+so a coarse table costs time, never links) and go on by two hashes. Classes that reach the threshold share a token of their
+prefixes under either order. Tasks exchange the prefixes under A as arrays, one per hash range. Classes first meet one leader
+a round, at first one that shares most with others; what these links do not bring together is compared in full. Pairs that share no token of their prefixes under
+B go, the others are verified on their texts, dealt by leader and salt.
 """
 
 from __future__ import annotations
@@ -15,12 +16,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import buffers, portions, stored
 
 WORDS = 5
 PERCENT = 75
+BUCKETS = 22
+WINDOW = 4_000_000
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -39,22 +42,151 @@ def shingles(text: bytes) -> np.ndarray:
     return np.unique(out.view(np.int64))
 
 
-def token_sets(docs: DataFrame, wide: bool = True) -> DataFrame:
-    """doc_id, n, fp (digest of the set) and, if ``wide``, tokens."""
-    names = ["doc_id", "n", "fp", "tokens"][: 3 + wide]
+def _sets(batch: pa.RecordBatch, column: int) -> list[np.ndarray]:
+    raw, at = buffers(batch.column(column))
+    data = raw.tobytes()
+    return [shingles(data[at[k] : at[k + 1]]) for k in range(len(at) - 1)]
+
+
+def _digest(tokens: np.ndarray) -> bytes:
+    return hashlib.md5(tokens.tobytes()).digest()
+
+
+def _id(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "big", signed=True)
+
+
+def marked(docs: DataFrame) -> DataFrame:
+    """A row per document with n and fp (digest of its set), and rows of tokens that several sets of a task have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        held: list[np.ndarray] = []
+
+        def often() -> pa.RecordBatch:
+            every = np.sort(np.concatenate(held))
+            at = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+            counts = np.diff(np.append(at, len(every)))
+            keep = counts > 2
+            held.clear()
+            lists = [pa.array([x], t) for x, t in ((every[at][keep], pa.list_(pa.int64())), (counts[keep], pa.list_(pa.int64())))]
+            return pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), *lists], names)
+
+        names, size = ["doc_id", "n", "fp", "tokens", "counts"], 0
         for batch in portions(batches, "text"):
-            raw, at = buffers(batch.column(1))
-            data = raw.tobytes()
-            sets = [shingles(data[at[k] : at[k + 1]]) for k in range(len(at) - 1)]
-            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.md5(s.tobytes()).digest() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(sets, pa.list_(pa.int64()))] if wide else columns, names)
+            kind, sets = batch.schema.field(0).type, _sets(batch, 1)
+            digests = [_digest(s) for s in sets]
+            none = pa.nulls(len(sets), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(digests, pa.binary()), none, none], names)
+            for s, d in zip(sets, digests, strict=True):
+                if len(s) and d not in seen:
+                    seen.add(d)
+                    held.append(s)
+                    size += len(s)
+            if size > WINDOW:
+                yield often()
+                size = 0
+        if held:
+            yield often()
 
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, fp binary" + ", tokens array<bigint>" * wide
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, fp binary, tokens array<bigint>, counts array<bigint>"
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
 
 
+def levels_of(marks: DataFrame, least: int = 16) -> np.ndarray:
+    """For each hash bucket the largest log2 of the counts of its tokens; at most 2 ** BUCKETS rows come to the driver."""
+    pairs = marks.filter("tokens is not null").select(F.explode(F.arrays_zip("tokens", "counts")).alias("x")).select("x.*")
+    often = pairs.groupBy("tokens").agg(F.sum("counts").alias("n")).filter(F.col("n") >= least)
+    bucket = F.shiftrightunsigned("tokens", 64 - BUCKETS)
+    rows = often.groupBy(bucket.cast("int").alias("bucket")).agg(F.floor(F.log2(F.max("n"))).cast("int").alias("level")).toPandas()
+    table = np.zeros(1 << BUCKETS, np.uint8)
+    table[rows["bucket"].to_numpy(np.int64)] = rows["level"].to_numpy(np.uint8)
+    return table
+
+
+def _first(tokens: np.ndarray, level: np.ndarray, order: np.ndarray, count: int) -> np.ndarray:
+    """The first ``count`` tokens by level, then by order."""
+    rank = np.lexsort((order, level)) if level.any() else np.argsort(order)
+    return tokens[rank[:count]]
+
+
+def prefixes(docs: DataFrame, table: np.ndarray, ranges: int) -> DataFrame:
+    """Class rows (id, n, b: the prefix under order B, 32 bits a token) and range rows (part, toks, ids, ns, mids, counts, pos:
+    prefixes under order A, ids[k] having the next counts[k] of toks at the places pos; mids: mean levels, high amid a group of near copies)."""
+    names = ["id", "n", "b", "part", "toks", "ids", "ns", "mids", "counts", "pos"]
+    whole, long_, short = pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int16())
+    shared = docs.sparkSession.sparkContext.broadcast(table)  # 2 ** BUCKETS bytes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        held: list[tuple[int, int, int, np.ndarray]] = []
+        level = shared.value
+
+        def dealt() -> pa.RecordBatch:
+            toks = np.concatenate([h[3] for h in held])
+            doc = np.repeat(np.arange(len(held)), [len(h[3]) for h in held])
+            pos = np.minimum(np.concatenate([np.arange(len(h[3])) for h in held]), 32767).astype(np.int16)  # a lower place is safe
+            ids, ns, mids = (np.array([h[k] for h in held], np.int64) for k in range(3))
+            part = ((toks.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)) % np.uint64(ranges)
+            order = np.argsort(part, kind="stable")
+            part, low, doc, pos = part[order], toks[order].view(np.uint64).astype(np.uint32).view(np.int32), doc[order], pos[order]
+            starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            rows = []
+            for i, j in zip(starts, [*starts[1:], len(part)], strict=True):
+                who, counts = np.unique(doc[i:j], return_counts=True)
+                rows.append((int(part[i]), low[i:j], ids[who], ns[who], mids[who], counts, pos[i:j]))
+            held.clear()
+            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), whole, long_, whole, whole, whole, short))]
+            return pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), whole), *columns], names)
+
+        size = 0
+        for batch in portions(batches, "text"):
+            nodes = []
+            for s in _sets(batch, 0):
+                digest = _digest(s)
+                if not len(s) or digest in seen:
+                    continue
+                seen.add(digest)
+                at, count = level[s.view(np.uint64) >> np.uint64(64 - BUCKETS)], len(s) - -(-len(s) * PERCENT // 100) + 1
+                other = s.view(np.uint64) * np.uint64(0x9FB21C651E98DF25)
+                second = _first(other, at, other, count) >> np.uint64(32)
+                nodes.append((_id(digest), len(s), second.astype(np.uint32).view(np.int32)))
+                held.append((_id(digest), len(s), int(1000 * at.mean()), _first(s, at, s, count)))
+                size += count
+            if nodes:
+                columns = [pa.array([x[k] for x in nodes], t) for k, t in enumerate((pa.int64(), pa.int32(), whole))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(nodes), pa.int32()), *(pa.nulls(len(nodes), t) for t in (whole, long_, whole, whole, whole, short))], names)
+            if size > WINDOW:
+                yield dealt()
+                size = 0
+        if held:
+            yield dealt()
+
+    schema = "id long, n int, b array<int>, part int, toks array<int>, ids array<bigint>, ns array<int>, mids array<int>, counts array<int>, pos array<smallint>"
+    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """token, id, n, mid, pos of the tokens that several classes have; all rows of a range are here."""
+    rows = []
+    for batch in batches:
+        part, toks, ids, ns, mids, counts, pos = (batch.column(k) for k in range(7))
+        if batch.num_rows:
+            each = counts.flatten().to_numpy()
+            rows.append((toks.flatten().to_numpy().view(np.uint32).astype(np.int64) + (np.repeat(part.to_numpy().astype(np.int64), [len(x) for x in toks]) << 32), np.repeat(ids.flatten().to_numpy(), each), np.repeat(ns.flatten().to_numpy(), each), np.repeat(mids.flatten().to_numpy(), each), pos.flatten().to_numpy().astype(np.int32)))
+    if not rows:
+        return
+    token, id_, n, mid, pos = (np.concatenate(x) for x in zip(*rows, strict=True))
+    order = np.lexsort((pos, id_, token))
+    token, id_, n, mid, pos = (x[order] for x in (token, id_, n, mid, pos))
+    new = np.append(True, (token[1:] != token[:-1]) | (id_[1:] != id_[:-1]))
+    token, id_, n, mid, pos = (x[new] for x in (token, id_, n, mid, pos))
+    same = token[1:] == token[:-1]
+    keep = np.append(same, False) | np.append(False, same)
+    for k in range(0, int(keep.sum()), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep][k : k + 50_000]) for x in (token, id_, n, mid, pos)], ["token", "id", "n", "mid", "pos"])
+
+
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """id, comp: the smallest id reachable over links (a, b); by label spreading with pointer jumping."""
     edges = stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
@@ -69,23 +201,32 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return labels
 
 
-def _fits(x: str, y: str) -> Column:
-    """Whether sets of these sizes can reach the threshold."""
-    return 100 * F.least(x, y) >= PERCENT * F.greatest(x, y)
+def _needed(x: str, y: str) -> Column:
+    """Tokens that sets of these sizes must share."""
+    return F.ceil(PERCENT * (F.col(x) + F.col(y)) / (100 + PERCENT)).cast("int")
 
 
-def prefixes(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """id, n, tokens (those that other classes have too, in order A) and left (so many of them lie in the prefix).
+def _fits(x: str, y: str) -> Column:
+    """Whether two sets can reach the threshold if this is the first token, in order A, that they share."""
+    rest = lambda s: F.col(f"{s}.n") - F.col(f"{s}.pos")
+    return F.least(rest(x), rest(y)) >= _needed(f"{x}.n", f"{y}.n")
 
-    Tokens that no other class has lead both orders; what is left of the prefix falls on shared ones.
-    """
-    keys = ["fp", "n"]
-    whole = token_sets(docs).filter("n > 0").groupBy(*keys).agg(F.first("tokens").alias("tokens")).join(classes.select("id", *keys), keys)
-    each = whole.select("id", F.explode("tokens").alias("token"))
-    counted = each.withColumn("df", F.count("*").over(Window.partitionBy("token")).cast("int")).filter("df > 1")
-    shared = counted.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("by_df")).join(classes.select("id", "n"), "id")
-    left = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - (F.col("n") - F.size("by_df"))
-    return shared.select("id", "n", F.col("by_df.token").alias("tokens"), left.cast("int").alias("left")).filter("left > 0")
+
+def _reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b of the pairs that reach the threshold; rows are sorted by a, salt and role, a leader (role 0) before the rest."""
+    key, lead = None, None
+    for batch in batches:
+        found = []
+        for a, salt, role, id_, tokens in zip(*(batch.column(k).to_pylist() for k in range(4)), _sets(batch, 4), strict=True):
+            if _id(_digest(tokens)) != id_:
+                continue  # another text under the same doc_id
+            if not role:
+                key, lead = (a, salt), tokens
+            elif key == (a, salt):
+                both = len(np.intersect1d(lead, tokens, assume_unique=True))
+                if 100 * both >= PERCENT * (len(lead) + len(tokens) - both):
+                    found.append((a, id_))
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
 def link_components(docs: DataFrame, rounds: int = 3) -> DataFrame:
@@ -93,38 +234,53 @@ def link_components(docs: DataFrame, rounds: int = 3) -> DataFrame:
 
     Null and empty texts have no shingles, link with nothing and are their own component. Repeated rows keep their
     own rows, and rows of one doc_id with different texts are nodes of their own. An empty table gives none. ``rounds``
-    of leaders only save work: the full comparison behind them covers all that is still apart.
+    of leaders only save work: the full comparison behind them covers all that is still apart. Sets are told apart by
+    the first 64 bits of their digest.
     """
-    marks = stored(token_sets(docs, wide=False), "marks")
-    classes = stored(marks.filter("n > 0").groupBy("fp", "n").agg(F.min("doc_id").alias("least")).withColumn("id", F.monotonically_increasing_id()), "classes")
-    ready = stored(prefixes(docs, classes), "prefixes")
-    posts = stored(ready.select("id", "n", F.explode(F.slice("tokens", F.lit(1), F.col("left"))).alias("token")), "posts")
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    both = stored(marked(docs), "marks")
+    marks = both.filter("fp is not null").select("doc_id", "n", F.conv(F.hex(F.substring("fp", 1, 8)), 16, -10).cast("long").alias("id"))
+    classes = stored(marks.filter("n > 0").groupBy("id").agg(F.min("doc_id").alias("least")), "classes")
+    made = stored(prefixes(docs, levels_of(both), parts), "prefixes")
+    nodes = made.filter("id is not null").select("id", "n", "b")
+    ranges = made.filter("part is not null").select("part", "toks", "ids", "ns", "mids", "counts", "pos")
+    posts = stored(ranges.repartitionById(parts, F.col("part")).mapInArrow(_shared, "token long, id long, n int, mid int, pos int"), "posts")
+    known = stored(posts.select("id").distinct().join(classes, "id"), "known")
+    texts = stored(docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(known.withColumnRenamed("least", "doc_id"), "doc_id").select("id", "text"), "texts")
+    second = stored(nodes.join(known.select("id"), "id").dropDuplicates(["id"]), "second")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        a, b = (ready.select(*(F.col(c).alias(f"{side}_{c}" if c != "id" else side) for c in ready.columns)) for side in "ab")
-        second = lambda side: F.slice(F.array_sort(f"{side}_tokens"), F.lit(1), F.col(f"{side}_left"))
-        both = pairs.distinct().join(a, "a").join(b, "b").filter(F.arrays_overlap(second("a"), second("b")))
-        count = both.withColumn("both", F.size(F.array_intersect("a_tokens", "b_tokens")))
-        return stored(count.filter(100 * F.col("both") >= PERCENT * (F.col("a_n") + F.col("b_n") - F.col("both"))).select("a", "b"), "links")
+        x, y = (second.select(F.col("id").alias(i), F.col("n").alias(f"n{j}"), F.col("b").alias(j)) for i, j in ("ax", "by"))
+        first = lambda j: F.slice(j, F.lit(1), F.col(f"n{j}") - _needed("nx", "ny") + 1)  # noqa: E731  where the first shared token must lie
+        open_ = stored(pairs.distinct().join(x, "a").join(y, "b").filter(F.arrays_overlap(first("x"), first("y"))).select("a", "b"), "pairs")
+        salts = open_.groupBy("a").agg(F.ceil(F.count("*") / 64).cast("int").alias("salts"))
+        lead = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("id"))
+        rest = open_.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), F.lit(1).alias("role"), F.col("b").alias("id"))
+        dealt = lead.union(rest).join(texts, "id").select("a", "salt", "role", "id", "text")
+        return stored(dealt.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(_reach, "a long, b long").distinct(), "links")
 
-    links, comps = None, ready.select("id", F.col("id").alias("comp"))
+    links, comps = None, None
     for k in range(rounds + 1):
-        marked = posts.join(comps, "id")
-        mixed = marked.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min_by(F.struct("id", "n", "comp"), F.struct(F.xxhash64("id", F.lit(k)), "id")).alias("lead")).filter("c0 <> c1").select("token", "lead")
+        marked_ = posts.withColumn("comp", F.col("id")) if comps is None else posts.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        mixed = marked_.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min_by(F.struct("id", "n", "comp", "pos"), F.struct(-F.col("mid") if k == 0 else F.xxhash64("id", F.lit(k)), "id")).alias("lead")).filter("c0 <> c1").select("token", "lead")
+        open_ = marked_.join(mixed, "token")
+        if comps is not None:  # tokens within one component are done
+            open_ = stored(open_, "open")
+            posts = open_.select("token", "id", "n", "mid", "pos")
         if k < rounds:
-            met = marked.join(mixed, "token").filter((F.col("comp") != F.col("lead.comp")) & _fits("n", "lead.n"))
-            pairs = met.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b"))
+            met = open_.withColumn("open", F.struct("n", "pos")).filter((F.col("comp") != F.col("lead.comp")) & _fits("open", "lead")).groupBy("id", F.col("lead.id").alias("a")).agg(F.count("*").alias("votes"))
+            pairs = met.groupBy(F.col("id").alias("b")).agg(F.max_by("a", F.struct("votes", "a")).alias("a")).select("a", "b")
         else:
-            open_ = stored(marked.join(mixed.select("token"), "token"), "open")
             x, y = open_.alias("x"), open_.alias("y")
             apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp"))
-            pairs = x.join(y, apart & _fits("x.n", "y.n")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+            pairs = x.join(y, apart & _fits("x", "y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
         found = verified(pairs)
         if found.take(1):
             links = found if links is None else links.union(found)
-            comps = components(ready.select("id"), links)
-    member = classes.join(comps, "id", "left").select("fp", "n", "least", F.coalesce("comp", "id").alias("comp"))
+            ends = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
+            comps = components(ends, links)
+    member = classes.withColumn("comp", F.col("id")) if comps is None else classes.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     smallest = member.groupBy("comp").agg(F.min("least").alias("component_id"))
-    named = member.join(smallest, "comp").select("fp", "n", "component_id")
-    out = marks.join(named, ["fp", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = member.join(smallest, "comp").select("id", "component_id")
+    out = marks.join(named, "id", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
