@@ -29,7 +29,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """Cuts the lineage: writes df as Parquet into the shared folder and reads it back with the same schema."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

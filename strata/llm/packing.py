@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import stored
+from .common import portions, stored
 from .tokens import default_path, encoder
 
 DIMS, BITS = 3, 10
@@ -57,13 +57,12 @@ def signs(size: int) -> np.ndarray:
     return np.stack(rows).astype(np.int8)
 
 
-def curve_key(ids: np.ndarray) -> int:
-    """Projects the hashed token counts by random signs and scales each dimension to its cell. Ids have 16 bits."""
-    cells = []
-    for row in signs(1 << 16):
-        value = row[ids].sum(dtype=np.int64) / np.sqrt(len(ids)) if len(ids) else 0.0
-        cells.append(int(np.clip((np.tanh(value / 8) + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1)))
-    return hilbert(cells)
+def curve_keys(ids: np.ndarray, starts: np.ndarray) -> list[int]:
+    """Projects the hashed token counts of documents (none empty) by random signs and scales each dimension to its cell. Ids have 16 bits."""
+    root = np.sqrt(np.diff(np.append(starts, len(ids))))
+    values = np.stack([np.add.reduceat(row[ids], starts, dtype=np.int64) / root for row in signs(1 << 16)])
+    cells = np.clip((np.tanh(values / 8) + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
+    return [hilbert(cell) for cell in cells.T.tolist()]
 
 
 def tokenised(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
@@ -72,15 +71,11 @@ def tokenised(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         for batch in batches:
-            for low in range(0, batch.num_rows, 1000):
-                part = batch.slice(low, 1000)
-                keys, counts, blobs = [], [], []
-                for text in part.column(1).to_pylist():
-                    ids = np.append(np.frombuffer(coder.encode(text or ""), "<u4"), np.uint32(end_id))
-                    keys.append(curve_key(ids))
-                    counts.append(len(ids))
-                    blobs.append(ids.astype("<u2").tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.int64()), pa.array(counts, pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "key", "n", "ids"])
+            for part in portions(iter([batch]), "text"):
+                each = [np.append(x, end_id).astype("<u2") for x in coder.encode(part.column(1))]
+                counts = np.array([len(x) for x in each], np.int64)
+                keys = curve_keys(np.concatenate(each), np.cumsum(counts) - counts)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.int64()), pa.array(counts), pa.array([x.tobytes() for x in each], pa.binary())], ["doc_id", "key", "n", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, n long, ids binary")
 
@@ -96,26 +91,31 @@ def pack(docs: DataFrame, length: int = 2048, path: str | None = None) -> DataFr
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ready = stored(tokenised(docs, path or default_path()), "pack-ids")
     order = ["key", "h", "doc_id"]
-    ranged = stored(ready.withColumn("h", F.xxhash64("doc_id")).repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "pack-order")
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Adds the tokens that stand before each row in its range."""
+        before = 0
+        for batch in batches:
+            sums = np.cumsum(batch.column(1).to_numpy()) + before
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums - batch.column(1).to_numpy())], ["doc_id", "n", "ids", "part", "place"])
+            before = int(sums[-1]) if len(sums) else before
+
+    ranges = ready.withColumn("h", F.xxhash64("doc_id")).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ranged = stored(ranges.select("doc_id", "n", "ids", F.spark_partition_id().alias("part")).mapInArrow(placed, f"doc_id {id_type}, n long, ids binary, part int, place long"), "pack-order")
     totals = ranged.groupBy("part").agg(F.sum("n").alias("n"))  # a row for each partition
     heads = {r["part"]: int(r["before"]) for r in totals.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before")).collect()}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place: dict[int, int] = {}
         for batch in batches:
             rows = []
-            for doc, n, ids, part in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                at = place.get(part, heads[part])
-                wide, start = np.frombuffer(ids, "<u2").astype("<u4"), 0
+            for doc, n, ids, part, place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                at, wide, start = heads[part] + place, np.frombuffer(ids, "<u2").astype("<u4"), 0
                 while start < n:
                     size = min(n - start, length - at % length)
                     piece = wide[start : start + size].tobytes()
                     rows.append((doc, start, size, zlib.crc32(piece), n, at // length, at % length, piece))
                     start, at = start + size, at + size
-                place[part] = at
             columns = list(zip(*rows, strict=True)) or [()] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, batch.schema.field(0).type if k == 0 else pa.binary() if k == 7 else pa.int64()) for k, c in enumerate(columns)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
 
-    # one file holds one range; files are read whole and in order, as splits would break the running place
-    again = ranged.select("doc_id", "n", "ids", "part", "key", "h").repartition(parts, "part").sortWithinPartitions("part", *order).select("doc_id", "n", "ids", "part")
-    return again.mapInArrow(cut, f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return ranged.mapInArrow(cut, f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")

@@ -84,6 +84,18 @@ def test_packing(docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_tokens_are_those_of_the_library():
+    import random
+
+    coder = tokens.encoder(tokens.default_path())
+    own = [t for t in coder.tokenizer.get_vocab() if t not in coder.special]
+    assert coder.fast and all(len(coder.tokenizer.model.tokenize(t)) == 1 for t in own)  # each comes back whole
+    draw = random.Random(1)
+    texts = ["".join(draw.choices("ab 'st\n\t\r\x0b\x1c\x85\xa0éßЖ漢한…—€12²½_-<|>", k=draw.randint(0, 40))) for _ in range(3000)]
+    for t in [*texts, " " * 5000 + "x", "a" * 5000, "<|endoftext|> a", "\U0001f600 \u0e01 x"]:
+        assert coder.ids(t).tolist() == coder.tokenizer.encode(t, add_special_tokens=False).ids
+
+
 def test_hilbert_steps_to_neighbours():
     points = sorted((packing.hilbert([x, y, z], 2), (x, y, z)) for x in range(4) for y in range(4) for z in range(4))
     assert [k for k, _ in points] == list(range(64))
