@@ -24,7 +24,12 @@ BITS = 20
 MAX_TRAIN = 20_000
 #: Letters that a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
-SPACED = re.compile(r"(?<!\S)\w(?:[ ._*-]\w){2,}(?!\S)")
+SIGN, SOFT = "@$!|+(€", "!|+("  # signs among them; those that also stand at the edges of words
+_ONE = rf"(?:[^\W_]|[{SIGN}])"
+SPACED = re.compile(rf"(?<![^\W_])(?<!\w['’]){_ONE}(?:[\s._*-]+{_ONE}){{2,}}(?![{SIGN}]*[^\W_])")
+GAP = re.compile(r"[\s._*-]+")
+LONE = "aeiouy"  # letters that are words
+_DOUBLE = re.compile(r"(.)\1")
 CHANNEL, DROP = 1.0, 0.7
 
 
@@ -57,52 +62,73 @@ def language_model(docs: DataFrame) -> np.ndarray:
     return np.log(table / table.sum(axis=2, keepdims=True))
 
 
-def restore(token: str, model: np.ndarray, separated: bool = False) -> str:
+def restore(token: str, model: list, separated: bool = False, words: bool = False) -> str:
     """The likeliest letters behind a stretch: each sign is a letter it may stand for or is dropped; a letter that
-    repeats the last one may be dropped."""
-    beams: dict[tuple[int, int], tuple[float, str]] = {(26, 26): (0.0, "")}
-    for ch in token.lower():
+    repeats the last one may be dropped. With ``words`` a gap may end a word (a space in the result)."""
+    token = token.lower()
+    beams: dict[tuple[int, int], tuple[float, tuple | None]] = {(26, 26): (0.0, None)}  # texts are chains (before, letters)
+    last = len(token)
+    if token.isalpha() and (pairs := [m.start() for m in _DOUBLE.finditer(token)]):  # what stands before and behind them is sure
+        a, b = ([26] + [ord(x) - 97 if "a" <= x <= "z" else 27 for x in token[: pairs[0] + 1]])[-2:]
+        beams, token = {(a, b): (0.0, (None, token[: pairs[0] + 1]))}, token[pairs[0] + 1 :]
+        last = pairs[-1] - pairs[0] + 1
+    for at, ch in enumerate(token):
+        if at > last and len(beams) == 1:
+            beams = {state: (cost, (text, token[at:])) for state, (cost, text) in beams.items()}
+            break
         options = [(ch, 0.0)] if ch.isalpha() else [(x, CHANNEL) for x in LEET.get(ch, "")]
-        new: dict[tuple[int, int], tuple[float, str]] = {}
+        gap = separated and (ch in "._*-" or ch.isspace())
+        new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
 
-        def put(state: tuple[int, int], cost: float, text: str, to: dict = new) -> None:
+        def put(state: tuple[int, int], cost: float, text: tuple | None, to: dict = new) -> None:
             if state not in to or cost < to[state][0]:
                 to[state] = (cost, text)
 
         for (a, b), (cost, text) in beams.items():
+            now = model[a][b]
             for x, extra in options:
                 c = ord(x) - 97 if "a" <= x <= "z" else 27
-                put((b, c), cost + extra - model[a, b, c], text + x)
-                if text.endswith(x):
+                put((b, c), cost + extra - now[c], (text, x))
+                if text and text[1][-1] == x:
                     put((a, b), cost + DROP, text)
             if not ch.isalpha():
-                put((a, b), cost + (0.1 if separated and ch in " ._*-" else 2.5), text)
+                put((a, b), cost + (0.1 if gap else 2.5), text)
+            if words and gap and b != 26:
+                put((b, 26), cost - now[26], (text, " "))
         beams = new or beams
-    return min((cost - model[a, b, 26], text) for (a, b), (cost, text) in beams.items())[1]
+    _, text = min(((cost - model[a][b][26], text) for (a, b), (cost, text) in beams.items()), key=lambda x: x[0])
+    letters = []
+    while text:
+        text, x = text
+        letters.append(x)
+    return "".join(reversed(letters))
 
 
 _EDGE = re.compile(r"^\W+|\W+$")
-_TRIPLE = re.compile(r"(.)\1\1")
+_BORDERS = [re.compile(rf"^[^\w{x}]+|[^\w{x}]+$") for x in (SIGN, "".join(x for x in SIGN if x not in SOFT))]
+
+
+def words_in(raw: str, model: list) -> set[str]:
+    """The words of a stretch without white space and what it restores to."""
+    if raw.isalpha():
+        return {raw, restore(raw, model, True)} if _DOUBLE.search(raw) else {raw}
+    plain = _EDGE.sub("", raw)
+    out = {plain} if plain.isalpha() else {x for x in re.split(r"\W+", raw) if x.isalpha()}
+    for core in {x.sub("", raw) for x in _BORDERS}:
+        if any(c.isalpha() for c in core) and (_DOUBLE.search(core) or not core.isalpha()) and all(c in LEET or c.isalpha() or c in "._*-" for c in core):
+            out.add(restore(core, model, True))
+    return out
 
 
-def words_of(text: str, model: np.ndarray, known: dict[str, tuple[str, ...]]) -> set[str]:
-    """Words of a text and what obfuscated ones restore to."""
-    low = text.lower()
+def words_apart(run: str, model: list) -> set[str]:
+    """What single letters and signs with gaps restore to: one word, the likeliest words, and what stands behind each
+    letter that is a word by itself."""
     out: set[str] = set()
-    for raw in set(low.split()):
-        got = known.get(raw)
-        if got is None:
-            plain = _EDGE.sub("", raw)
-            got = (plain,) if plain.isalpha() else tuple(x for x in re.split(r"\W+", raw) if x.isalpha())
-            core = raw.strip(".,;:?\"'#%&*")
-            if any(c.isalpha() for c in core) and (_TRIPLE.search(core) or not core.isalpha()) and sum(c in LEET or c.isalpha() or c in "._*-" for c in core) == len(core):
-                got += (restore(core, model, True),)
-            if len(known) > 200_000:
-                known.clear()
-            known[raw] = got
-        out.update(got)
-    for m in SPACED.finditer(low):
-        out.add(restore(m[0], model, True))
+    whole = GAP.sub(" ", run)
+    for core in {whole, whole.strip(SOFT + " ")}:
+        one = restore(core, model, True)
+        out.update([one, *restore(core, model, True, True).split()])
+        out.update(one[k + 1 : k + 41] for k, x in enumerate(one) if x in LONE)  # no word is longer
     return out
 
 
@@ -113,15 +139,17 @@ def features(word: str) -> list[int]:
     return [zlib.crc32(word[:k].encode()) >> (32 - BITS) for k in range(4, min(8, len(word)))] + [zlib.crc32(f"{word}$".encode()) >> (32 - BITS)]
 
 
-def _evidence(text: str | None, model, known, cache: dict[str, list[int]]) -> np.ndarray:
-    found: set[int] = set()
-    for w in words_of(text or "", model, known):
-        at = cache.get(w)
-        if at is None:
-            if len(cache) > 200_000:
-                cache.clear()
-            at = cache[w] = features(w)
-        found.update(at)
+def _evidence(text: str | None, model: list, known: dict[str, tuple[int, ...]]) -> np.ndarray:
+    """Features of a text's words; ``known`` keeps those of stretches seen before."""
+    low = (text or "").lower()
+    stretches = set(low.split())
+    if len(known) > 200_000:
+        known.clear()
+    for raw in stretches.difference(known):
+        known[raw] = tuple(f for w in words_in(raw, model) for f in features(w))
+    found: set[int] = set().union(*map(known.__getitem__, stretches))
+    for run in {m[0] for m in SPACED.finditer(low)}:
+        found.update(f for w in words_apart(run, model) for f in features(w))
     return np.fromiter(found, np.int64, len(found))
 
 
@@ -142,7 +170,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAI
     the score of a text without evidence. Repeated label rows count once (the higher label); null labels are left out;
     without labels the score is 0. The model that goes with the tasks has 2 ** 20 odds and 28 ** 3 trigrams at most.
     """
-    model = language_model(docs)
+    model = language_model(docs).tolist()
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     chosen = labels.filter("doc_id is not null and toxic is not null").filter(fold != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
@@ -150,9 +178,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAI
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict = {}
-        cache: dict = {}
         for batch in batches:
-            yield pd.DataFrame({"toxic": batch["toxic"].astype("int64"), "at": [_evidence(t, model, known, cache) for t in batch["text"]]})
+            yield pd.DataFrame({"toxic": batch["toxic"].astype("int64"), "at": [_evidence(t, model, known) for t in batch["text"]]})
 
     from .common import stored
 
@@ -185,11 +212,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAI
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
-        cache: dict = {}
         for batch in batches:
             out = []
             for text in batch.column(1).to_pylist():
-                at = _evidence(text, model, known, cache)
+                at = _evidence(text, model, known)
                 got = odds[at]
                 a, b = _summary(got[got > 0])
                 out.append(1 / (1 + math.exp(-float(np.clip(weights @ np.array([1.0, a, b]), -50, 50)))))

@@ -145,3 +145,14 @@ def test_toxicity(spark, docs, empty):
     got = {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(texts, labels).collect()}
     assert all(got[i] == int(i % 5 == 0) for i in range(300)) and (got[300], got[301], got[302]) == (1, 1, 0)
     assert toxicity.score_toxicity(empty, labels).count() == 0
+
+
+def test_toxicity_sees_through_gaps_and_doubled_letters(spark):
+    bad = ["idiot", "loser", "trash"]
+    rows = [(i, f"w{i % 7} a quiet text i read here " + (f"you {bad[i // 5 % 3]}" if i % 5 == 0 else "y you friend")) for i in range(300)]
+    hidden = ["an i d i o t.", "i d i o t, really", '"i d i o t"', "such a l o s e r", "t r @ s h", "i  d  i  o  t", "(i d i o t!)", "i dont i d i 0 t !", "iiddiioott", "iddiot", '("1d10t")', "i\nd\ni\no\nt"]
+    fine = ["a b c d e f", "f r i e n d", "don't f r i e n d.", "1 2 3 4", "y y y y"]
+    texts = spark.createDataFrame([(i, f"{t} n{i}x") for i, t in rows] + [(1000 + i, t) for i, t in enumerate(hidden + fine)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(300)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(texts, labels).filter("doc_id >= 1000").collect()}
+    assert [t for i, t in enumerate(hidden) if not got[1000 + i]] == [] and [t for i, t in enumerate(fine, len(hidden)) if got[1000 + i]] == []
