@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -25,6 +27,11 @@ def scratch(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def files(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a shared folder and the path in it, for files that are no tables."""
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", folder))
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Cuts the lineage: writes df as Parquet into the shared folder and reads it back with the same schema."""
     spark = df.sparkSession

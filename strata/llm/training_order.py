@@ -1,16 +1,17 @@
-"""Training-order materialisation: a keyed Feistel permutation gives every sequence a global slot; shards hold
-fixed-stride records in slot order."""
+"""Training-order materialisation: a keyed Feistel permutation gives every sequence a global slot; shard files hold
+fixed-stride records in slot order, and a reader resumes at any slot."""
 
 from __future__ import annotations
 
-import zlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import portions, stored
+from .common import files, portions, scratch, stored
 from .tokens import default_path, encoder
 
 
@@ -35,15 +36,23 @@ def permute(index: np.ndarray, size: int, key: int, rounds: int = 4) -> np.ndarr
     return out.astype(np.int64)
 
 
-def materialise(docs: DataFrame, length: int = 512, per_shard: int = 4096, key: int = 2024, path: str | None = None, end_id: int = 1) -> DataFrame:
-    """slot, shard, byte_offset, doc_id, chunk, n_tokens, record (a fixed stride of ``length`` 16-bit ids, padded with 0).
+def _name(folder: str, shard: int) -> str:
+    return f"{folder}/shard-{shard:08d}.bin"
+
 
-    A document (null text: empty) is its ids and the end id, cut every ``length``. Records of a shard are in slot order,
-    so a reader resumes at slot s in shard s // per_shard at byte (s % per_shard) * 2 * length.
+def write_shards(docs: DataFrame, length: int = 512, per_shard: int = 4096, key: int = 2024, path: str | None = None, end_id: int = 1) -> tuple[str, DataFrame]:
+    """The folder of the shard files, and their index (slot, doc_id, chunk, n_tokens), stored as a table.
+
+    A document (null text: empty) is its ids and the end id, cut every ``length``. Each task writes one shard under
+    another name and renames it when it is whole, so a repeated task does no harm. Slot s is in file s // per_shard at
+    byte (s % per_shard) * 2 * length: ``length`` 16-bit ids, padded with 0.
     """
     spark = docs.sparkSession
     where = path or default_path()
     id_type = docs.schema["doc_id"].dataType.simpleString()
+    folder = f"{scratch(spark)}/order-shards-{uuid.uuid4().hex}"
+    store, inside = files(folder)
+    store.create_dir(inside)
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(where)
@@ -53,11 +62,11 @@ def materialise(docs: DataFrame, length: int = 512, per_shard: int = 4096, key:
                 ids = np.append(found, end_id).astype("<u2")
                 for k in range(0, len(ids), length):
                     piece = ids[k : k + length]
-                    rows.append((doc, k // length, len(piece), piece.tobytes().ljust(2 * length, b"\0")))
+                    rows.append((doc, k // length, len(piece), piece.tobytes()))
             kinds = (part.schema.field(0).type, pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "chunk", "n_tokens", "record"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "chunk", "n_tokens", "ids"])
 
-    pieces = docs.select("doc_id", "text").mapInArrow(chunks, f"doc_id {id_type}, chunk long, n_tokens long, record binary")
+    pieces = docs.select("doc_id", "text").mapInArrow(chunks, f"doc_id {id_type}, chunk long, n_tokens long, ids binary")
     made = stored(pieces.withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "order-records")
     counts = made.groupBy("part").agg(F.count("*").alias("n"))  # a row for each partition
     heads = {r["part"]: (int(r["n"]), int(r["before"])) for r in counts.select("part", "n", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before")).collect()}
@@ -68,10 +77,86 @@ def materialise(docs: DataFrame, length: int = 512, per_shard: int = 4096, key:
         for batch in batches:
             part, place = batch.column(4).to_pylist(), batch.column(5).to_numpy()
             index = np.array([base[p] for p in part], np.int64) + place
-            yield pa.RecordBatch.from_arrays([pa.array(permute(index, total, key)), *batch.columns[:4]], ["slot", "doc_id", "chunk", "n_tokens", "record"])
+            yield pa.RecordBatch.from_arrays([pa.array(permute(index, total, key)), *batch.columns[:4]], ["slot", "doc_id", "chunk", "n_tokens", "ids"])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, inside = files(folder)
+        shard, out, name = -1, None, ""
 
-    placed = made.mapInArrow(slots, f"slot long, doc_id {id_type}, chunk long, n_tokens long, record binary")
+        def close() -> None:
+            out.close()
+            if store.get_file_info(_name(inside, shard)).type.name == "NotFound":
+                store.move(name, _name(inside, shard))
+            else:  # another try of this task was first; the bytes are the same
+                store.delete_file(name)
+
+        try:
+            for batch in batches:
+                for slot, ids in zip(batch.column(0).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                    if slot // per_shard != shard:
+                        if out:
+                            close()
+                        shard, name = slot // per_shard, f"{inside}/.{uuid.uuid4().hex}"
+                        out = store.open_output_stream(name)
+                    if out.tell() != slot % per_shard * 2 * length:
+                        raise ValueError(f"slot {slot} is out of order")
+                    out.write(ids.ljust(2 * length, b"\0"))
+                yield pa.RecordBatch.from_arrays(batch.columns[:4], batch.schema.names[:4])
+            if out:
+                close()
+                name = ""
+        finally:
+            if name and store.get_file_info(name).type.name != "NotFound":
+                out.close()
+                store.delete_file(name)
+
+    placed = made.mapInArrow(slots, f"slot long, doc_id {id_type}, chunk long, n_tokens long, ids binary")
     shards = max(1, -(-total // per_shard))
     # slots are dense, so the bounds of the ranges are known and need no sampling pass
     ordered = placed.repartitionById(shards, F.floor(F.col("slot") / per_shard).cast("int")).sortWithinPartitions("slot")
-    return ordered.select("slot", F.floor(F.col("slot") / per_shard).alias("shard"), (F.col("slot") % per_shard * 2 * length).alias("byte_offset"), "doc_id", "chunk", "n_tokens", "record")
+    return folder, stored(ordered.mapInArrow(write, f"slot long, doc_id {id_type}, chunk long, n_tokens long"), "order-index")
+
+
+def read_slots(folder: str, index: DataFrame, length: int = 512, per_shard: int = 4096) -> DataFrame:
+    """slot, shard, byte_offset, doc_id, chunk, n_tokens, record of the rows of an index, the record read from its shard."""
+    stride = 2 * length
+    id_type = index.schema["doc_id"].dataType.simpleString()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, inside = files(folder)
+        for batch in batches:
+            slots = batch.column(0).to_numpy()
+            shard, place = slots // per_shard, slots % per_shard * stride
+            starts = np.flatnonzero(np.append(True, (np.diff(slots) != 1) | (np.diff(shard) != 0))) if len(slots) else []
+            for i, j in zip(starts, [*starts[1:], len(slots)], strict=True):
+                with store.open_input_file(_name(inside, shard[i])) as file:
+                    file.seek(int(place[i]))
+                    data = file.read(int(j - i) * stride)
+                if len(data) != (j - i) * stride:
+                    raise ValueError(f"shard {shard[i]} ends before slot {slots[j - 1]}")
+                records = pa.Array.from_buffers(pa.binary(), int(j - i), [None, pa.py_buffer(np.arange(j - i + 1, dtype=np.int32) * np.int32(stride)), pa.py_buffer(data)])
+                rest = [c.slice(i, j - i) for c in batch.columns]
+                yield pa.RecordBatch.from_arrays([rest[0], pa.array(shard[i:j]), pa.array(place[i:j]), *rest[1:], records], ["slot", "shard", "byte_offset", "doc_id", "chunk", "n_tokens", "record"])
+
+    return index.select("slot", "doc_id", "chunk", "n_tokens").mapInArrow(read, f"slot long, shard long, byte_offset long, doc_id {id_type}, chunk long, n_tokens long, record binary")
+
+
+def resume(folder: str, slot: int = 0, length: int = 512, per_shard: int = 4096) -> Iterator[tuple[int, np.ndarray]]:
+    """Slots and their ids from ``slot`` on, read in order from the shard files alone."""
+    store, inside = files(folder)
+    names = [f.base_name for f in store.get_file_info(fs.FileSelector(inside)) if f.base_name.startswith("shard-")]
+    last = max((int(n[6:-4]) for n in names), default=-1)
+    for shard in range(slot // per_shard, last + 1):
+        with store.open_input_file(_name(inside, shard)) as file:
+            file.seek(slot % per_shard * 2 * length)
+            while data := file.read(2 * length):
+                yield slot, np.frombuffer(data, "<u2")
+                slot += 1
+        if slot != (shard + 1) * per_shard and shard != last:
+            raise ValueError(f"shard {shard} ends before slot {(shard + 1) * per_shard}")
+
+
+def materialise(docs: DataFrame, length: int = 512, per_shard: int = 4096, key: int = 2024, path: str | None = None, end_id: int = 1) -> DataFrame:
+    """slot, shard, byte_offset, doc_id, chunk, n_tokens and record: what ``write_shards`` wrote, read back from the files."""
+    folder, index = write_shards(docs, length, per_shard, key, path, end_id)
+    return read_slots(folder, index, length, per_shard)

@@ -156,3 +156,24 @@ def test_toxicity_sees_through_gaps_and_doubled_letters(spark):
     labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(300)], "doc_id long, toxic int")
     got = {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(texts, labels).filter("doc_id >= 1000").collect()}
     assert [t for i, t in enumerate(hidden) if not got[1000 + i]] == [] and [t for i, t in enumerate(fine, len(hidden)) if got[1000 + i]] == []
+
+
+def test_shards_are_written_and_resumed(docs, empty):
+    from pathlib import Path
+
+    coder = tokens.encoder(tokens.default_path())
+    folder, index = training_order.write_shards(docs, length=32, per_shard=8)
+    names = sorted(Path(folder.removeprefix("file:")).glob("shard-*"))
+    where = {r["slot"]: (r["doc_id"], r["chunk"], r["n_tokens"]) for r in index.collect()}
+    assert len(where) > 16 and sum(f.stat().st_size for f in names) == 64 * len(where) and len(names) == -(-len(where) // 8)
+    found = dict(training_order.resume(folder, 0, 32, 8))
+    assert list(found) == list(range(len(where)))
+    for s, (doc, chunk, n) in where.items():
+        whole = [*coder.ids(TEXTS[doc] or "").tolist(), 1]
+        assert found[s].tolist() == (piece := whole[32 * chunk : 32 * chunk + 32]) + [0] * (32 - n) and len(piece) == n
+    for start in (3, 8, 13, len(where) - 1):
+        assert [(s, x.tolist()) for s, x in training_order.resume(folder, start, 32, 8)] == [(s, found[s].tolist()) for s in range(start, len(where))]
+    rows = training_order.read_slots(folder, index.filter("slot % 3 > 0"), 32, 8).collect()
+    assert all(r["record"] == names[r["shard"]].read_bytes()[r["byte_offset"] :][:64] == found[r["slot"]].tobytes() for r in rows)
+    folder, _ = training_order.write_shards(empty)
+    assert list(training_order.resume(folder)) == []
