@@ -2,22 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from strata.llm import mixing, near_join, packing, secrets, toxicity
 from strata.llm.common import stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject. A null id is kept: it has no label and is judged by no row."""
-    bad = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels")).filter("predicted = 1").select("doc_id").distinct()
-    return docs.join(stored(bad, "toxic"), "doc_id", "left_anti").select(*docs.columns)
+    """Documents that the classifier does not reject; each row is judged by its own text."""
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group of near duplicates, one row of it."""
-    gone = near_join.link_components(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One row of each group of near duplicates."""
+    return near_join.one_of_each(docs)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,9 +23,14 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    copies = mixing.mix(docs).filter("copies > 0").select("doc_id", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
-    return docs.join(copies, "doc_id").select(*docs.columns)
+    """Each document as often as the mix takes it; rows of equal id, source and text share their copies evenly."""
+    what, keys = ("doc_id", "source", "text"), ("_key_a", "_key_b")
+    nulls = [F.col(c).isNull() for c in what]
+    keyed = docs.withColumn(keys[0], F.xxhash64(*what, *nulls)).withColumn(keys[1], F.hash(*nulls, *what).cast("long"))
+    taken = mixing.mix(keyed, carry=keys).groupBy(*keys).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).filter("_copies > 0")
+    rows = keyed.join(taken, [*keys]).withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0))))
+    own = F.expr("cast(_copies div _rows + if(_place <= _copies % _rows, 1, 0) as int)")
+    return rows.withColumn("_own", own).filter("_own > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_own")))).select(*docs.columns)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

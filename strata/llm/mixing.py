@@ -51,24 +51,24 @@ def _ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ranks, pa.int64())], [*batch.schema.names, "rank"])
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 7, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size (words), source_size, target (words wanted of its source) and copies.
 
     Null texts have size 0, the null source is a source. Sources without words have target 0 and no copies. Repeated
     rows count each. The order is dealt out by range, so a hot source spreads over many tasks; the driver sees one row
-    per source only. The same input gives the same copies.
+    per source only. The same input gives the same copies. Columns in ``carry`` (longs) stay with their rows.
     """
     spark = docs.sparkSession
-    narrow = stored(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "mix-sizes")
+    narrow = stored(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *carry), "mix-sizes")
     sizes = {r["source"]: int(r["n"]) for r in narrow.groupBy("source").agg(F.sum("size").alias("n")).collect()}
     wanted = targets(sizes, weights, share, cap)
     rows = [(s, sizes[s], float(wanted[s]), (zlib.crc32(f"{seed}:{s}".encode()) % 1024) / 1024) for s in sizes]
     plan = spark.createDataFrame(rows, f"source {docs.schema['source'].dataType.simpleString()}, source_size long, target double, offset double")
 
-    key = ["source", "size", "h", "doc_id"]
+    key = ["source", "size", "h", "doc_id", *carry]
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = narrow.withColumn("h", F.xxhash64("doc_id", F.lit(seed))).repartitionByRange(parts, *key).sortWithinPartitions(*key).withColumn("part", F.spark_partition_id())
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, source {docs.schema['source'].dataType.simpleString()}, size long, h long, part int, rank long"
+    ordered = narrow.withColumn("h", F.xxhash64("doc_id", F.lit(seed))).select("doc_id", "source", "size", "h", *carry).repartitionByRange(parts, *key).sortWithinPartitions(*key).withColumn("part", F.spark_partition_id())
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, source {docs.schema['source'].dataType.simpleString()}, size long, h long, {''.join(f'{c} long, ' for c in carry)}part int, rank long"
     ranked = stored(ordered.mapInArrow(_ranks, schema), "mix-ranks")
     counts = ranked.groupBy("source", "part").agg(F.count("*").alias("n"))
     before = counts.select("source", "part", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
@@ -77,4 +77,4 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     end = F.floor(ratio * (F.col("before") + F.col("rank")) + F.col("offset"))
     begin = F.floor(ratio * (F.col("before") + F.col("rank") - 1) + F.col("offset"))
     joined = ranked.join(heads, ranked["source"].eqNullSafe(heads["s"]) & (ranked["part"] == heads["p"]))
-    return joined.select("doc_id", "source", "size", "source_size", "target", (end - begin).cast("long").alias("copies"))
+    return joined.select("doc_id", "source", "size", "source_size", "target", (end - begin).cast("long").alias("copies"), *carry)

@@ -57,7 +57,7 @@ def _id(digest: bytes) -> int:
 
 
 def marked(docs: DataFrame) -> DataFrame:
-    """A row per document with n and fp (digest of its set), and rows of tokens that several sets of a task have."""
+    """A row per document with n, fp (digest of its set) and th (hash of its text), and rows of tokens that several sets of a task have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -70,14 +70,14 @@ def marked(docs: DataFrame) -> DataFrame:
             keep = counts > 2
             held.clear()
             lists = [pa.array([x], t) for x, t in ((every[at][keep], pa.list_(pa.int64())), (counts[keep], pa.list_(pa.int64())))]
-            return pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), *lists], names)
+            return pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), *lists], names)
 
-        names, size = ["doc_id", "n", "fp", "tokens", "counts"], 0
+        names, size = ["doc_id", "n", "fp", "th", "tokens", "counts"], 0
         for batch in portions(batches, "text"):
             kind, sets = batch.schema.field(0).type, _sets(batch, 1)
             digests = [_digest(s) for s in sets]
             none = pa.nulls(len(sets), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(digests, pa.binary()), none, none], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(digests, pa.binary()), batch.column(2), none, none], names)
             for s, d in zip(sets, digests, strict=True):
                 if len(s) and d not in seen:
                     seen.add(d)
@@ -89,8 +89,8 @@ def marked(docs: DataFrame) -> DataFrame:
         if held:
             yield often()
 
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, fp binary, tokens array<bigint>, counts array<bigint>"
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, fp binary, th long, tokens array<bigint>, counts array<bigint>"
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("th")).mapInArrow(run, schema)
 
 
 def levels_of(marks: DataFrame, least: int = 16) -> np.ndarray:
@@ -229,24 +229,25 @@ def _reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def link_components(docs: DataFrame, rounds: int = 3) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links of 100 * shared >= 75 * union).
+def _rows_of(rows: DataFrame, named: DataFrame, text_hash: str) -> DataFrame:
+    """Rows with the id and text hash of ``least``, and the other columns of ``named``."""
+    few = named.select(*(c for c in named.columns if c != "least"), F.col("least.doc_id").alias("_least_id"), F.col("least.th").alias("_least_hash"))
+    return rows.join(few, rows["doc_id"].eqNullSafe(few["_least_id"]) & (rows[text_hash] == few["_least_hash"]))
 
-    Null and empty texts have no shingles, link with nothing and are their own component. Repeated rows keep their
-    own rows, and rows of one doc_id with different texts are nodes of their own. An empty table gives none. ``rounds``
-    of leaders only save work: the full comparison behind them covers all that is still apart. Sets are told apart by
-    the first 64 bits of their digest.
-    """
+
+def _linked(docs: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, n, id of the class) and classes (id, least: a row of it as struct none, doc_id, th, comp)."""
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     both = stored(marked(docs), "marks")
-    marks = both.filter("fp is not null").select("doc_id", "n", F.conv(F.hex(F.substring("fp", 1, 8)), 16, -10).cast("long").alias("id"))
-    classes = stored(marks.filter("n > 0").groupBy("id").agg(F.min("doc_id").alias("least")), "classes")
+    marks = both.filter("fp is not null").select("doc_id", "n", "th", F.conv(F.hex(F.substring("fp", 1, 8)), 16, -10).cast("long").alias("id"))
+    classes = stored(marks.filter("n > 0").groupBy("id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("least")), "classes")
     made = stored(prefixes(docs, levels_of(both), parts), "prefixes")
     nodes = made.filter("id is not null").select("id", "n", "b")
     ranges = made.filter("part is not null").select("part", "toks", "ids", "ns", "mids", "counts", "pos")
     posts = stored(ranges.repartitionById(parts, F.col("part")).mapInArrow(_shared, "token long, id long, n int, mid int, pos int"), "posts")
     known = stored(posts.select("id").distinct().join(classes, "id"), "known")
-    texts = stored(docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(known.withColumnRenamed("least", "doc_id"), "doc_id").select("id", "text"), "texts")
+    given = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("th"))
+    texts = stored(_rows_of(given, known, "th").select("id", "text").dropDuplicates(["id"]), "texts")
     second = stored(nodes.join(known.select("id"), "id").dropDuplicates(["id"]), "second")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -279,8 +280,29 @@ def link_components(docs: DataFrame, rounds: int = 3) -> DataFrame:
             links = found if links is None else links.union(found)
             ends = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
             comps = components(ends, links)
-    member = classes.withColumn("comp", F.col("id")) if comps is None else classes.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    smallest = member.groupBy("comp").agg(F.min("least").alias("component_id"))
+    return marks, classes.withColumn("comp", F.col("id")) if comps is None else classes.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+
+
+def link_components(docs: DataFrame, rounds: int = 3) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links of 100 * shared >= 75 * union).
+
+    Null and empty texts have no shingles, link with nothing and are their own component. Repeated rows keep their
+    own rows, and rows of one doc_id with different texts are nodes of their own. An empty table gives none. ``rounds``
+    of leaders only save work: the full comparison behind them covers all that is still apart. Sets are told apart by
+    the first 64 bits of their digest.
+    """
+    marks, member = _linked(docs, rounds)
+    smallest = member.groupBy("comp").agg(F.min("least")["doc_id"].alias("component_id"))
     named = member.join(smallest, "comp").select("id", "component_id")
     out = marks.join(named, "id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, rounds: int = 3) -> DataFrame:
+    """One row of each component, of its smallest id (null last) and text hash; rows without words are kept each."""
+    words = F.coalesce(F.col("text").rlike(r"[^ \t\n\r\x0B\f]"), F.lit(False))
+    _, member = _linked(docs, rounds)
+    heads = stored(member.groupBy("comp").agg(F.min("least").alias("least")), "heads")
+    rows = docs.withColumn("_text_hash", F.xxhash64("text"))
+    kept = _rows_of(rows.filter(words), heads, "_text_hash").dropDuplicates(["comp"])
+    return kept.select(*docs.columns).union(docs.filter(~words))

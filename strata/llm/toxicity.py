@@ -12,12 +12,12 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 SIZE = 28  # a-z, border, any other letter
 BITS = 20
@@ -163,16 +163,14 @@ def _summary(odds: np.ndarray) -> tuple[float, float]:
     return float(max(0.0, top[0])) if len(top) else 0.0, float(max(0.0, top[1])) if len(top) > 1 else 0.0
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs.
+def _fold() -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
 
-    Learns from at most ``max_train`` labelled ids (lowest hashes) whose crc32 mod 5 is not 0. Null and empty texts get
-    the score of a text without evidence. Repeated label rows count once (the higher label); null labels are left out;
-    without labels the score is 0. The model that goes with the tasks has 2 ** 20 odds and 28 ** 3 trigrams at most.
-    """
+
+def _learn(docs: DataFrame, labels: DataFrame, max_train: int) -> Callable[[list, dict], list[float]]:
+    """A function from texts (and the stretches seen before) to scores."""
     model = language_model(docs).tolist()
-    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
-    chosen = labels.filter("doc_id is not null and toxic is not null").filter(fold != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    chosen = labels.filter("doc_id is not null and toxic is not null").filter(_fold() != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["text"]).select("text", "toxic")
 
@@ -210,16 +208,43 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAI
             weights = weights - np.linalg.solve(curve, x.T @ (p - y) + 1e-2 * weights)
     odds = np.where(bad > 0, _odds(bad, good, n1, n0), -1).astype(np.float32)
 
+    def score(texts: list, known: dict) -> list[float]:
+        out = []
+        for text in texts:
+            got = odds[_evidence(text, model, known)]
+            a, b = _summary(got[got > 0])
+            out.append(1 / (1 + math.exp(-float(np.clip(weights @ np.array([1.0, a, b]), -50, 50)))))
+        return out
+
+    return score
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row of docs.
+
+    Learns from at most ``max_train`` labelled ids (lowest hashes) whose crc32 mod 5 is not 0. Null and empty texts get
+    the score of a text without evidence. Repeated label rows count once (the higher label); null labels are left out;
+    without labels the score is 0. The model that goes with the tasks has 2 ** 20 odds and 28 ** 3 trigrams at most.
+    """
+    scores = _learn(docs, labels, max_train)
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
         for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                at = _evidence(text, model, known)
-                got = odds[at]
-                a, b = _summary(got[got > 0])
-                out.append(1 / (1 + math.exp(-float(np.clip(weights @ np.array([1.0, a, b]), -50, 50)))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(batch.column(1).to_pylist(), known), pa.float64())], ["doc_id", "score"])
 
     scored = docs.select("doc_id", "text").mapInArrow(score, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
-    return scored.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", (_fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
+    """The rows of docs that ``score_toxicity`` does not reject, each judged by its own text."""
+    scores = _learn(docs, labels, max_train)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            yield batch.filter(pa.array([x < 0.5 for x in scores(texts, known)], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

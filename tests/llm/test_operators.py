@@ -177,3 +177,38 @@ def test_shards_are_written_and_resumed(docs, empty):
     assert all(r["record"] == names[r["shard"]].read_bytes()[r["byte_offset"] :][:64] == found[r["slot"]].tobytes() for r in rows)
     folder, _ = training_order.write_shards(empty)
     assert list(training_order.resume(folder)) == []
+
+
+def test_pipeline_decides_per_row(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    def words(seed, n=60):
+        draw = np.random.default_rng(seed)
+        return ["".join(map(chr, 97 + draw.integers(0, 26, 6))) for _ in range(n)]
+
+    text = [" ".join(words(i)) for i in range(8)]
+    near = " ".join([*words(0)[:59], "changed"])
+    rows = [(1, text[0]), (2, near), (2, text[1]), (None, text[2]), (None, text[3]), (None, " ".join([*words(3)[:59], "other"])), (3, text[4]), (3, text[4]), (4, text[5]), (4, text[6]), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "s", "en") for i, t in rows], "doc_id long, text string, source string, lang string")
+    kept = collections.Counter((r["doc_id"], r["text"]) for r in cp.one_of_each(spark, docs, "").collect())
+    third = {(None, text[3]), (None, rows[5][1])}
+    assert len(third & kept.keys()) == 1
+    assert {k: n for k, n in kept.items() if k not in third} == {(1, text[0]): 1, (2, text[1]): 1, (None, text[2]): 1, (3, text[4]): 1, (4, text[5]): 1, (4, text[6]): 1, (None, None): 2}
+
+    full = docs.filter("text is not null")
+    mixed = collections.Counter((r["doc_id"], r["text"]) for r in cp.mix_sources(spark, full, "").collect())
+    want = collections.Counter()
+    for r in mixing.mix(full).collect():
+        want[r["doc_id"]] += r["copies"]
+    by_id = collections.Counter()
+    for (i, _), n in mixed.items():
+        by_id[i] += n
+    assert by_id == want and sum(want.values()) >= 15 and max(mixed.values()) <= 4
+
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(100, 400)], "doc_id long, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    some = [(i, f"w{i % 7} quiet words here n{i}x " + ("you idiot" if i % 5 == 0 else "you friend")) for i in range(100, 400)]
+    own = [(101, "you idiot"), (None, "you idiot"), (None, "you friend"), (100, "a friend")]
+    given = spark.createDataFrame(some + own, "doc_id long, text string")
+    left = collections.Counter(map(tuple, cp.drop_toxic(spark, given, str(tmp_path)).collect()))
+    assert left == collections.Counter(x for x in some + own if "idiot" not in x[1])
