@@ -1,35 +1,66 @@
 """K-nearest mappings, smooth means and policies for cells without data, on points (minx, miny of a layer).
 
-``nearest`` meets the coarse side in grid bins: a ring of 3 x 3 bins first, wider rings for points whose k-th hit is
-not yet certain, so no cross join is needed.
+``nearest`` meets the coarse side in grid bins: a ring of 3 x 3 bins first, wider rings, up to the extent of both layers,
+for points whose k-th hit is not yet certain.
 """
 
 from __future__ import annotations
 
+import math
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.strategies import clean
 
 
-def nearest(src: DataFrame, dst: DataFrame, size: float, k: int = 1, rings: tuple[int, ...] = (1, 4, 16, 64)) -> DataFrame:
-    """src_id, dst_id, distance of the k nearest dst points; ties go to the smaller id. Points farther than the last
-    ring's safe radius are not mapped."""
+def _cut(df: DataFrame) -> DataFrame:
+    """Cuts the lineage by a checkpoint in the shared folder; a temporary one only where none is set."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="strata-"))
+    return df.checkpoint()
+
+
+def nearest(src: DataFrame, dst: DataFrame, size: float, k: int = 1) -> DataFrame:
+    """src_id, dst_id, distance of the k nearest dst points (all, if there are fewer); ties go to the smaller id.
+
+    Rings start at ``size`` and grow until no source is open or the extent of both layers is covered, so every source
+    with coordinates is mapped, however far. Points of equal coordinates meet as one, with their k smallest ids.
+    """
     def at(low: str, high: str) -> Column:
         return (F.col(low) + F.col(high)) / 2
 
-    s = src.select(F.col("id").alias("src_id"), at("minx", "maxx").alias("sx"), at("miny", "maxy").alias("sy"))
-    d = dst.select(F.col("id").alias("dst_id"), at("minx", "maxx").alias("dx"), at("miny", "maxy").alias("dy"))
-    done = None
-    for step in rings:
-        side = size * step
+    def points(layer: DataFrame, x: str, y: str) -> DataFrame:
+        found = layer.select("id", at("minx", "maxx").alias(x), at("miny", "maxy").alias(y))
+        return found.filter(F.abs(x) < float("inf")).filter(F.abs(y) < float("inf"))  # no nulls, NaN and infinite values
+
+    members = points(src, "sx", "sy")
+    s = members.select("sx", "sy").distinct()
+    place = F.row_number().over(Window.partitionBy("dx", "dy").orderBy("id"))
+    d = points(dst, "dx", "dy").withColumn("place", place).filter(F.col("place") <= k).groupBy("dx", "dy").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    # one row each: how many destinations there are, and how wide both layers are
+    count = d.agg(F.sum(F.size("ids")).alias("n")).first()["n"] or 0
+    box = s.select(F.col("sx").alias("x"), F.col("sy").alias("y")).union(d.select("dx", "dy")).agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    wanted = max(1, min(k, count))
+    extent = 0.0 if box[0] is None else math.hypot(box[1] - box[0], box[3] - box[2])
+    done, side, open_ = None, size, s
+    while True:
+        last = side >= extent
         reach = d.withColumn("bx", F.explode(F.sequence(F.floor(F.col("dx") / side) - 1, F.floor(F.col("dx") / side) + 1))).withColumn("by", F.explode(F.sequence(F.floor(F.col("dy") / side) - 1, F.floor(F.col("dy") / side) + 1)))
-        open_ = s if done is None else s.join(done.select("src_id").distinct(), "src_id", "left_anti")
         met = open_.withColumn("bx", F.floor(F.col("sx") / side)).withColumn("by", F.floor(F.col("sy") / side)).join(reach, ["bx", "by"])
-        near = met.withColumn("distance", F.hypot(F.col("sx") - F.col("dx"), F.col("sy") - F.col("dy"))).filter(F.col("distance") <= side)
-        best = near.withColumn("rank", F.row_number().over(Window.partitionBy("src_id").orderBy("distance", "dst_id"))).filter(F.col("rank") <= k)
-        sure = best.withColumn("hits", F.count("*").over(Window.partitionBy("src_id"))).filter(F.col("hits") == k).select("src_id", "dst_id", "distance")
+        near = met.withColumn("distance", F.hypot(F.col("sx") - F.col("dx"), F.col("sy") - F.col("dy")))
+        near = near if last else near.filter(F.col("distance") <= side)
+        each = near.select("sx", "sy", "distance", F.explode("ids").alias("dst_id"))
+        best = each.withColumn("rank", F.row_number().over(Window.partitionBy("sx", "sy").orderBy("distance", "dst_id"))).filter(F.col("rank") <= k)
+        sure = _cut(best.groupBy("sx", "sy").agg(F.array_sort(F.collect_list(F.struct("rank", "dst_id", "distance"))).alias("hits")).filter(F.size("hits") >= wanted))
         done = sure if done is None else done.unionByName(sure)
-    return done
+        open_ = _cut(open_.join(sure.select("sx", "sy"), ["sx", "sy"], "left_anti"))
+        if last or not open_.take(1):
+            break
+        side *= 4
+    hits = done.select("sx", "sy", F.explode("hits").alias("hit"))
+    return members.join(hits, ["sx", "sy"]).select(F.col("id").alias("src_id"), "hit.dst_id", "hit.distance")
 
 
 def knn_mapping(src: DataFrame, dst: DataFrame, size: float, k: int = 6, power: float = 2.0) -> DataFrame:
