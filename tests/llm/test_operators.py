@@ -212,3 +212,13 @@ def test_pipeline_decides_per_row(spark, tmp_path):
     given = spark.createDataFrame(some + own, "doc_id long, text string")
     left = collections.Counter(map(tuple, cp.drop_toxic(spark, given, str(tmp_path)).collect()))
     assert left == collections.Counter(x for x in some + own if "idiot" not in x[1])
+
+
+def test_components_through_null_ids(spark):
+    draw = np.random.default_rng(3)
+    word = ["".join(map(chr, 97 + draw.integers(0, 26, 6))) for _ in range(100)]
+    a, n, b, c = word[:60], word[:54] + word[60:66], word[66:72] + word[6:54] + word[60:66], word[72:]
+    texts = [(1, a), (None, n), (2, b), (None, c), (3, [*c[:-1], "x"])]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts], "doc_id long, text string")
+    rows = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in near_join.link_components(docs).collect()}
+    assert rows == {(1, 56): 1, (None, 56): 1, (2, 56): 1, (None, 24): 3, (3, 24): 3}
