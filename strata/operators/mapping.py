@@ -1,31 +1,63 @@
-"""Mapping tables (src_id, dst_id, weight) between layers of axis-aligned boxes; a point is a box without extent.
+"""Mapping tables (src_id, dst_id, weight) between layers of boxes; a point is a box without extent, an axis-parallel line
+one without area. Layers with a column ``ring`` are polygons (see ``polygons``).
 
-Candidates come from an equi-join on grid bins; a pair is kept only in the bin of the lower-left corner of the common
-part, so no distinct is needed. ``size`` should be near the side of the coarse boxes.
+Candidates come from equi-joins on grid bins of several widths: a box stands in the bins of the level at which it covers
+few of them, whatever ``size``, and meets smaller boxes there. A pair is kept only in the bin of the lower-left corner of
+the common part, so no distinct is needed.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from . import polygons as pg
+
 BOX = ("minx", "miny", "maxx", "maxy")
 
 
-def _binned(layer: DataFrame, size: float, prefix: str) -> DataFrame:
-    out = layer.select("id", *BOX)
-    for axis in "xy":
-        low, high = F.floor(F.col(f"min{axis}") / size), F.floor(F.col(f"max{axis}") / size)
-        out = out.withColumn(f"b{axis}", F.explode(F.sequence(low, high)))
-    return out.select("bx", "by", *(F.col(c).alias(f"{prefix}_{c}") for c in ("id", *BOX)))
+def _levelled(layer: DataFrame, size: float, prefix: str) -> DataFrame:
+    """The layer's boxes with the level of their bins: bins of level l are size * 2 ** l wide."""
+    names = ["id", *BOX, *(["ring"] if "ring" in layer.columns else [])]
+    extent = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))
+    own = F.when(extent > 2 * size, F.ceil(F.log2(extent / (2 * size)))).otherwise(0).cast("int")
+    return layer.select(own.alias("own"), *(F.col(c).alias(f"{prefix}_{c}") for c in names)).filter(F.col("own").isNotNull())
+
+
+def _binned(layer: DataFrame, size: float, prefix: str, axes: str = "xy") -> DataFrame:
+    """A row for each bin that a box covers at its column ``level``."""
+    for axis in axes:
+        side = F.lit(float(size)) * F.pow(F.lit(2.0), F.col("level"))
+        low, high = F.floor(F.col(f"{prefix}_min{axis}") / side), F.floor(F.col(f"{prefix}_max{axis}") / side)
+        layer = layer.withColumn(f"b{axis}", F.explode(F.sequence(low, high)))
+    return layer
 
 
 def pairs(src: DataFrame, dst: DataFrame, size: float) -> DataFrame:
     """Each (src, dst) whose closed boxes meet, once, with both boxes."""
-    met = _binned(src, size, "s").join(_binned(dst, size, "d"), ["bx", "by"])
-    for axis in "xy":
-        low = F.greatest(f"s_min{axis}", f"d_min{axis}")
-        met = met.filter((low <= F.least(f"s_max{axis}", f"d_max{axis}")) & (F.col(f"b{axis}") == F.floor(low / size)))
-    return met.drop("bx", "by")
+    s, d = _levelled(src, size, "s"), _levelled(dst, size, "d")
+    found = s.select(F.lit("s").alias("side"), "own").union(d.select(F.lit("d"), "own")).distinct().collect()  # a row for each power of two of box extents
+    levels = {side: sorted(r["own"] for r in found if r["side"] == side) for side in "sd"}
+
+    def at(layer: DataFrame, prefix: str, among: list[int], above: bool) -> DataFrame:
+        """The layer at its own level, or at each level of ``among`` from there on."""
+        if not among:
+            lifted = layer.withColumn("level", F.col("own"))
+        else:
+            higher = F.filter(F.array(*(F.lit(x) for x in among)), lambda x: x > F.col("own") if above else x >= F.col("own"))
+            lifted = layer.withColumn("level", F.explode(higher))
+        return _binned(lifted, size, prefix).drop("own")
+
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        out = left.join(right, ["level", "bx", "by"])
+        for axis in "xy":
+            low = F.greatest(f"s_min{axis}", f"d_min{axis}")
+            side = F.lit(float(size)) * F.pow(F.lit(2.0), F.col("level"))
+            out = out.filter((low <= F.least(f"s_max{axis}", f"d_max{axis}")) & (F.col(f"b{axis}") == F.floor(low / side)))
+        return out.drop("level", "bx", "by")
+
+    if set(levels["s"]) | set(levels["d"]) <= {0}:
+        return met(at(s, "s", [], False), at(d, "d", [], False))
+    return met(at(s, "s", [], False), at(d, "d", levels["s"] or [0], False)).unionByName(met(at(s, "s", levels["d"] or [0], True), at(d, "d", [], False)))
 
 
 def _extent(axis: str) -> Column:
@@ -34,33 +66,89 @@ def _extent(axis: str) -> Column:
 
 def centroids(layer: DataFrame) -> DataFrame:
     x, y = (F.col("minx") + F.col("maxx")) / 2, (F.col("miny") + F.col("maxy")) / 2
+    if "ring" in layer.columns:
+        of = pg.centroid(F.col("ring"))
+        x, y = F.coalesce(of[0], x), F.coalesce(of[1], y)
     return layer.select("id", x.alias("minx"), y.alias("miny"), x.alias("maxx"), y.alias("maxy"))
 
 
+def _ring(met: DataFrame, prefix: str) -> Column:
+    box = pg.box_ring(f"{prefix}_")
+    return F.coalesce(F.col(f"{prefix}_ring"), box) if f"{prefix}_ring" in met.columns else box
+
+
+def _with_rings(met: DataFrame) -> Column | None:
+    """Whether a side of the pair is no box; None if no layer has rings."""
+    found = [F.col(c).isNotNull() for c in ("s_ring", "d_ring") if c in met.columns]
+    return None if not found else found[0] if len(found) == 1 else found[0] | found[1]
+
+
+def _common(met: DataFrame) -> DataFrame:
+    """Adds the common area of each pair."""
+    boxes, rings = _extent("x") * _extent("y"), _with_rings(met)
+    if rings is None:
+        return met.withColumn("common", boxes)
+    plain = met.filter(~rings).withColumn("common", boxes)
+    return plain.unionByName(met.filter(rings).withColumn("common", pg.intersection_area(_ring(met, "s"), _ring(met, "d"))))
+
+
+def _named(met: DataFrame) -> DataFrame:
+    return met.select(F.col("s_id").alias("src_id"), F.col("d_id").alias("dst_id"))
+
+
 def map_centroid(src: DataFrame, dst: DataFrame, size: float) -> DataFrame:
     """One dst for each src: the smallest id among those that hold its centroid, borders included."""
-    return pairs(centroids(src), dst, size).groupBy(F.col("s_id").alias("src_id")).agg(F.min("d_id").alias("dst_id")).withColumn("weight", F.lit(1.0))
+    met = pairs(centroids(src), dst, size)
+    if "d_ring" in met.columns:
+        met = met.filter(F.col("d_ring").isNull() | pg.holds(F.col("d_ring"), F.col("s_minx"), F.col("s_miny")))
+    return met.groupBy(F.col("s_id").alias("src_id")).agg(F.min("d_id").alias("dst_id")).withColumn("weight", F.lit(1.0))
 
 
 def map_touches(src: DataFrame, dst: DataFrame, size: float) -> DataFrame:
     """Each dst that holds the whole src; the weight is shared evenly."""
     within = [(F.col(f"s_min{a}") >= F.col(f"d_min{a}")) & (F.col(f"s_max{a}") <= F.col(f"d_max{a}")) for a in "xy"]
-    found = pairs(src, dst, size).filter(within[0] & within[1]).select(F.col("s_id").alias("src_id"), F.col("d_id").alias("dst_id"))
-    return found.withColumn("weight", 1.0 / F.count("*").over(Window.partitionBy("src_id")))
+    found = pairs(src, dst, size).filter(within[0] & within[1])
+    if (rings := _with_rings(found)) is not None:
+        whole, all_in = pg.area(_ring(found, "s")), F.forall(_ring(found, "s"), lambda p: pg.holds(_ring(found, "d"), p["x"], p["y"]))
+        found = _common(found.filter(all_in)).filter(~rings | (F.col("common") >= whole * (1 - 1e-9)))
+    return _named(found).withColumn("weight", 1.0 / F.count("*").over(Window.partitionBy("src_id")))
 
 
 def map_intersects(src: DataFrame, dst: DataFrame, size: float) -> DataFrame:
-    return pairs(src, dst, size).select(F.col("s_id").alias("src_id"), F.col("d_id").alias("dst_id"), F.lit(1.0).alias("weight"))
+    """Each dst that the src meets, contacts included, with weight 1. Between rings a contact counts where a corner of one
+    lies on the other."""
+    met = pairs(src, dst, size)
+    if (rings := _with_rings(met)) is not None:
+        s, d = _ring(met, "s"), _ring(met, "d")
+        corner = F.exists(s, lambda p: pg.holds(d, p["x"], p["y"])) | F.exists(d, lambda p: pg.holds(s, p["x"], p["y"]))
+        met = _common(met.withColumn("corner", corner)).filter(~rings | F.col("corner") | (F.col("common") > 0))
+    return _named(met).withColumn("weight", F.lit(1.0))
 
 
 def map_exact(src: DataFrame, dst: DataFrame, size: float, how: str = "area") -> DataFrame:
-    """The share of the src's area (or length) inside each dst; contacts without extent stay with weight 0."""
+    """The share of the src's area (or length) inside each dst; contacts without extent stay with weight 0, points have
+    weight 1. ``length`` is for axis-parallel lines in boxes."""
+    met = pairs(src, dst, size)
+    extents = [F.col(f"s_max{a}") - F.col(f"s_min{a}") for a in "xy"]
     if how == "area":
-        part, whole = _extent("x") * _extent("y"), (F.col("s_maxx") - F.col("s_minx")) * (F.col("s_maxy") - F.col("s_miny"))
-    else:  # axis-parallel lines
-        part, whole = _extent("x") + _extent("y"), F.col("s_maxx") - F.col("s_minx") + F.col("s_maxy") - F.col("s_miny")
-    share = F.when(whole > 0, part / whole).otherwise(0.0)
-    return pairs(src, dst, size).select(F.col("s_id").alias("src_id"), F.col("d_id").alias("dst_id"), share.alias("weight"))
+        met = _common(met)
+        part, whole = F.col("common"), pg.area(_ring(met, "s")) if "s_ring" in met.columns else extents[0] * extents[1]
+    else:
+        part, whole = _extent("x") + _extent("y"), extents[0] + extents[1]
+    point = (extents[0] == 0) & (extents[1] == 0)
+    share = F.when(whole > 0, part / whole).when(point, 1.0).otherwise(0.0)
+    return met.select(F.col("s_id").alias("src_id"), F.col("d_id").alias("dst_id"), share.alias("weight"))
+
+
+MODES = {"centroid": map_centroid, "touches": map_touches, "contains": map_touches, "intersects": map_intersects, "exact": map_exact}
+
+
+def id_mapping(src: DataFrame, dst: DataFrame, size: float, geoweighted: bool = False, how: str = "area", mode: str | None = None) -> DataFrame:
+    """The mapping of a mode; without one, ``exact`` if geoweighted, else ``centroid``."""
+    mode = mode or ("exact" if geoweighted else "centroid")
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode}; one of {sorted(MODES)}")
+    return map_exact(src, dst, size, how) if mode == "exact" else MODES[mode](src, dst, size)
 
 
 def compose(first: DataFrame, second: DataFrame) -> DataFrame:

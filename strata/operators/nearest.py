@@ -7,27 +7,46 @@ for points whose k-th hit is not yet certain.
 from __future__ import annotations
 
 import math
-import tempfile
+from collections.abc import Iterator
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions.strategies import clean
+from ..functions.strategies import clean, weighted_mean
+from ..scratch import cut
 
+FEW = 2048
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a checkpoint in the shared folder; a temporary one only where none is set."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="strata-"))
-    return df.checkpoint()
+
+def _among_few(members: DataFrame, dst: DataFrame, few: list, k: int) -> DataFrame:
+    """src_id, dst_id, distance of the k nearest of at most FEW points, which go to each task."""
+    few = sorted(few, key=lambda r: r["id"])  # equal distances keep the order of the ids
+    x, y, kind = np.array([r["dx"] for r in few]), np.array([r["dy"] for r in few]), members.schema["id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 4096):
+                part = batch.slice(low, 4096)
+                far = np.hypot(part.column(1).to_numpy()[:, None] - x, part.column(2).to_numpy()[:, None] - y)
+                best = np.argsort(far, axis=1, kind="stable")[:, :k]
+                rows = np.repeat(np.arange(part.num_rows), best.shape[1])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(best.ravel()), pa.array(np.take_along_axis(far, best, 1).ravel())], ["src_id", "at", "distance"])
+
+    schema = T.StructType([T.StructField("at", T.LongType()), T.StructField("dst_id", dst.schema["id"].dataType)])
+    names = members.sparkSession.createDataFrame([(i, r["id"]) for i, r in enumerate(few)], schema)
+    return members.mapInArrow(run, f"src_id {kind.simpleString()}, at long, distance double").join(F.broadcast(names), "at").select("src_id", "dst_id", "distance")
 
 
 def nearest(src: DataFrame, dst: DataFrame, size: float, k: int = 1) -> DataFrame:
     """src_id, dst_id, distance of the k nearest dst points (all, if there are fewer); ties go to the smaller id.
 
-    Rings start at ``size`` and grow until no source is open or the extent of both layers is covered, so every source
-    with coordinates is mapped, however far. Points of equal coordinates meet as one, with their k smallest ids.
+    Every source with coordinates is mapped, however far. At most FEW destinations go to each task as they are. Else rings
+    start at ``size`` and grow until no source is open or the extent of both layers is covered; points of equal coordinates
+    meet as one, with their k smallest ids.
     """
+
     def at(low: str, high: str) -> Column:
         return (F.col(low) + F.col(high)) / 2
 
@@ -35,14 +54,17 @@ def nearest(src: DataFrame, dst: DataFrame, size: float, k: int = 1) -> DataFram
         found = layer.select("id", at("minx", "maxx").alias(x), at("miny", "maxy").alias(y))
         return found.filter(F.abs(x) < float("inf")).filter(F.abs(y) < float("inf"))  # no nulls, NaN and infinite values
 
-    members = points(src, "sx", "sy")
+    members, goals = points(src, "sx", "sy"), points(dst, "dx", "dy")
+    few = goals.limit(FEW + 1).collect()
+    if 0 < len(few) <= FEW:
+        return _among_few(members, dst, few, k)
     s = members.select("sx", "sy").distinct()
     place = F.row_number().over(Window.partitionBy("dx", "dy").orderBy("id"))
-    d = points(dst, "dx", "dy").withColumn("place", place).filter(F.col("place") <= k).groupBy("dx", "dy").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    # one row each: how many destinations there are, and how wide both layers are
-    count = d.agg(F.sum(F.size("ids")).alias("n")).first()["n"] or 0
-    box = s.select(F.col("sx").alias("x"), F.col("sy").alias("y")).union(d.select("dx", "dy")).agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    wanted = max(1, min(k, count))
+    d = goals.withColumn("place", place).filter(F.col("place") <= k).groupBy("dx", "dy").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    # one row: how many destinations there are, and how wide both layers are
+    sides = members.select(F.col("sx").alias("x"), F.col("sy").alias("y"), F.lit(0).alias("n")).union(goals.select("dx", "dy", F.lit(1)))
+    count, *box = sides.agg(F.sum("n"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    wanted = max(1, min(k, count or 0))
     extent = 0.0 if box[0] is None else math.hypot(box[1] - box[0], box[3] - box[2])
     done, side, open_ = None, size, s
     while True:
@@ -53,9 +75,9 @@ def nearest(src: DataFrame, dst: DataFrame, size: float, k: int = 1) -> DataFram
         near = near if last else near.filter(F.col("distance") <= side)
         each = near.select("sx", "sy", "distance", F.explode("ids").alias("dst_id"))
         best = each.withColumn("rank", F.row_number().over(Window.partitionBy("sx", "sy").orderBy("distance", "dst_id"))).filter(F.col("rank") <= k)
-        sure = _cut(best.groupBy("sx", "sy").agg(F.array_sort(F.collect_list(F.struct("rank", "dst_id", "distance"))).alias("hits")).filter(F.size("hits") >= wanted))
+        sure = cut(best.groupBy("sx", "sy").agg(F.array_sort(F.collect_list(F.struct("rank", "dst_id", "distance"))).alias("hits")).filter(F.size("hits") >= wanted))
         done = sure if done is None else done.unionByName(sure)
-        open_ = _cut(open_.join(sure.select("sx", "sy"), ["sx", "sy"], "left_anti"))
+        open_ = cut(open_.join(sure.select("sx", "sy"), ["sx", "sy"], "left_anti"))
         if last or not open_.take(1):
             break
         side *= 4
@@ -63,10 +85,16 @@ def nearest(src: DataFrame, dst: DataFrame, size: float, k: int = 1) -> DataFram
     return members.join(hits, ["sx", "sy"]).select(F.col("id").alias("src_id"), "hit.dst_id", "hit.distance")
 
 
-def knn_mapping(src: DataFrame, dst: DataFrame, size: float, k: int = 6, power: float = 2.0) -> DataFrame:
-    """src_id, dst_id, weight: inverse distance weights that sum to 1 for each src."""
+def knn_mapping(src: DataFrame, dst: DataFrame, size: float, k: int = 6, power: float = 2.0, areas: bool = False) -> DataFrame:
+    """src_id, dst_id, weight: inverse distance weights that sum to 1 for each src. With ``areas`` (a column of both
+    layers) also src_area and dst_area."""
     raw = F.pow(F.col("distance") + 1e-9, F.lit(-power))
-    return nearest(src, dst, size, k).withColumn("raw", raw).select("src_id", "dst_id", (F.col("raw") / F.sum("raw").over(Window.partitionBy("src_id"))).alias("weight"))
+    weight = F.col("raw") / F.sum("raw").over(Window.partitionBy("src_id"))  # k rows each
+    out = nearest(src, dst, size, max(1, k)).withColumn("raw", raw).select("src_id", "dst_id", weight.alias("weight"))
+    if not areas:
+        return out
+    of = lambda layer, side: layer.select(F.col("id").alias(f"{side}_id"), F.col("area").alias(f"{side}_area"))
+    return out.join(of(src, "src"), "src_id").join(of(dst, "dst"), "dst_id").select("src_id", "dst_id", "weight", "src_area", "dst_area")
 
 
 def smooth_mean(mapping: DataFrame, coarse: DataFrame, value: str) -> DataFrame:
@@ -76,21 +104,48 @@ def smooth_mean(mapping: DataFrame, coarse: DataFrame, value: str) -> DataFrame:
     return joined.groupBy(F.col("src_id").alias("id")).agg(F.when(den > 0, F.sum(F.col("v") * F.col("weight")) / den).alias(value))
 
 
-def fill_from_nearest(layer: DataFrame, value: str, weight: str, size: float, most: float | None = None) -> DataFrame:
-    """Null values of rows with weight over 0 take the nearest donor's value; ``filled`` marks them."""
-    empty, full = layer.filter(clean(value).isNull() & (F.col(weight) > 0)), layer.filter(clean(value).isNotNull())
+def empty_mask(columns: list[str]) -> Column:
+    """Rows without a value in any of the columns."""
+    return reduce(lambda a, b: a & b, (clean(c).isNull() for c in columns))
+
+
+def fill_from_nearest(layer: DataFrame, value: str | list[str], weight: str, size: float, most: float | None = None, filled: str = "filled") -> DataFrame:
+    """Rows without any of the values but weight over 0 take all of them from the nearest row that has one; ``filled``
+    marks them."""
+    values = [value] if isinstance(value, str) else list(value)
+    none = empty_mask(values)
+    empty, full = layer.filter(none & (F.col(weight) > 0)), layer.filter(~none)
     near = nearest(empty, full, size)
     near = near if most is None else near.filter(F.col("distance") <= most)
-    given = near.join(full.select(F.col("id").alias("dst_id"), F.col(value).alias("given")), "dst_id").select(F.col("src_id").alias("id"), "given")
-    return layer.join(given, "id", "left").withColumn("filled", F.col("given").isNotNull()).withColumn(value, F.coalesce(clean(value), "given")).drop("given")
+    donors = full.select(F.col("id").alias("dst_id"), F.struct(*(clean(c).alias(c) for c in values)).alias("_given"))
+    given = near.join(donors, "dst_id").select(F.col("src_id").alias("id"), "_given")
+    out = layer.join(given, "id", "left").withColumn(filled, F.col("_given").isNotNull())
+    return out.withColumns({c: F.coalesce(clean(c), F.col("_given")[c]) for c in values}).drop("_given")
 
 
-def relocate_weight(layer: DataFrame, value: str, weight: str, size: float, most: float = 300.0) -> tuple[DataFrame, DataFrame]:
+def relocate_weight(layer: DataFrame, value: str | list[str], weight: str, size: float, most: float = 300.0) -> tuple[DataFrame, DataFrame]:
     """Weight of rows without value goes to the nearest row with one; second, the total beyond ``most`` (one row)."""
-    empty, full = layer.filter(clean(value).isNull() & (F.col(weight) > 0)), layer.filter(clean(value).isNotNull())
-    near = nearest(empty, full, size).filter(F.col("distance") <= most)
+    none = empty_mask([value] if isinstance(value, str) else list(value))
+    empty, full = layer.filter(none & (F.col(weight) > 0)), layer.filter(~none)
+    near = cut(nearest(empty, full, size).filter(F.col("distance") <= most))
     moved = near.join(empty.select(F.col("id").alias("src_id"), F.col(weight).alias("w")), "src_id")
     gains = moved.groupBy(F.col("dst_id").alias("id")).agg(F.sum("w").alias("gain"))
-    out = layer.join(gains, "id", "left").withColumn(weight, F.when(clean(value).isNull(), F.lit(0.0)).otherwise(F.col(weight) + F.coalesce("gain", F.lit(0.0)))).drop("gain")
+    out = layer.join(gains, "id", "left").withColumn(weight, F.when(none, F.lit(0.0)).otherwise(F.col(weight) + F.coalesce("gain", F.lit(0.0)))).drop("gain")
     lost = empty.join(near.select(F.col("src_id").alias("id")), "id", "left_anti").agg(F.coalesce(F.sum(weight), F.lit(0.0)).alias("excluded"))
     return out, lost
+
+
+def handle_empty(layer: DataFrame, value: str | list[str], weight: str, size: float, method: str = "nearest_value", most: float | None = None) -> DataFrame:
+    """Rows without a value by a method: nearest_value, relocate or ignore."""
+    if method == "nearest_value":
+        return fill_from_nearest(layer, value, weight, size, most)
+    if method == "relocate":
+        return relocate_weight(layer, value, weight, size, 300.0 if most is None else most)[0]
+    if method == "ignore":
+        return layer
+    raise ValueError(f"unknown method {method}; one of nearest_value, relocate, ignore")
+
+
+def group_means(layer: DataFrame, value: str, weight: str, groups: list[str] | None = None) -> DataFrame:
+    """Weighted means of the rows with a value, over all or by groups; null where these have no weight."""
+    return layer.groupBy(*(groups or [])).agg(weighted_mean(value, weight).alias(value))

@@ -88,13 +88,6 @@ def q_touches_sum(spark: SparkSession, d: str) -> DataFrame:
     return _parts_up(spark, d, mp.map_touches, total=st.sum_up("price", F.col("weight")))
 
 
-@query("SELECT n_regionkey AS id, round(sum(bal), 7) AS total FROM cen JOIN cus ON src_id = id JOIN nation ON dst_id = n_nationkey GROUP BY n_regionkey")
-def q_two_hop_propagate(spark: SparkSession, d: str) -> DataFrame:
-    fine = _up(spark, d, total=st.sum_up("bal"))
-    up = mp.map_centroid(ly.nations(spark, d), ly.regions(spark, d), SIDE)
-    return st.upscale(up, fine, {"total": st.sum_up("total")}).select("id", _r("total"))
-
-
 def _balances(spark: SparkSession, d: str) -> DataFrame:
     return _up(spark, d, bal=st.sum_up("bal"))
 

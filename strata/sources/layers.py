@@ -29,3 +29,24 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = ((F.col("p_partkey") * 29) % 37).cast("double"), ((F.col("p_partkey") * 53) % 36).cast("double")
     return _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), x.alias("minx"), y.alias("miny"), (x + 4).alias("maxx"), (y + 4).alias("maxy"), F.col("p_retailprice").alias("price"))
+
+
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A level line for each order, from its customer's point to the longitude of the next key's."""
+    k = F.col("o_custkey")
+    x0, x1, y = k * 37 % 320 / 8, (k + 1) * 37 % 320 / 8, k * 101 % 320 / 8
+    point = lambda x: F.struct(x.alias("x"), y.alias("y"))
+    return _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.array(point(x0), point(x1)).alias("line"), F.col("o_totalprice").alias("price"))
+
+
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A raster of 40 x 40 pixels: quantities by part and supplier keys."""
+    row, col = (F.col("l_partkey") % 40).alias("row"), (F.col("l_suppkey") % 40).alias("col")
+    return _read(spark, sf_dir, "lineitem").groupBy(row, col).agg(F.sum("l_quantity").alias("value"))
+
+
+def triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lower left half of each part's box, as a ring."""
+    p = parts(spark, sf_dir)
+    corner = lambda dx, dy: F.struct((F.col("minx") + dx).alias("x"), (F.col("miny") + dy).alias("y"))
+    return p.withColumn("ring", F.array(corner(0, 0), corner(4, 0), corner(0, 4)))
