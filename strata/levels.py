@@ -68,11 +68,16 @@ class Levels:
     def levels_of(self, column: str) -> list[str]:
         return [n for n, t in self.tables.items() if column in t.columns]
 
-    def strategy(self, column: str | None, level: str | None, strict: bool = True) -> st.Strategy | None:
-        """The strategy of (column, level), else of the column, else of the level."""
+    def _resolve(self, column: str | None, level: str | None) -> st.Strategy | None:
         for key in ((column, level), (column, None), (None, level)):
             if key != (None, None) and key in self._strategies:
                 return self._strategies[key]
+        return None
+
+    def strategy(self, column: str | None, level: str | None, strict: bool = True) -> st.Strategy | None:
+        """The strategy of (column, level), else of the column, else of the level."""
+        if found := self._resolve(column, level):
+            return found
         text = f"no strategy for column {column} at level {level}: set one with set_strategy"
         if strict:
             raise ValueError(text)
@@ -87,13 +92,14 @@ class Levels:
             strategy = st.Composite(upward, downward)
         if column is None and level is None:
             raise ValueError("a column, a level or both are needed")
-        old = self._strategies.get((column, level))
-        self._strategies[column, level] = strategy
         if column is not None and column not in self.native:
-            found = self.levels_of(column)
-            self.native[column] = found
-        if old is not None and old != strategy:
-            self._drop_derived([column] if column is not None else self.columns)
+            self.native[column] = self.levels_of(column)
+        affected = [column] if column is not None else list(self.native)
+        resolved = lambda: {(c, n): self._resolve(c, n) for c in affected for n in self.tables}
+        before = resolved()
+        self._strategies[column, level] = strategy
+        after = resolved()
+        self._drop_derived(c for c in affected if any(before[c, n] not in (None, after[c, n]) for n in self.tables))
         if propagate and self.tables and (column is None or self.native[column]):
             self.propagate()
 
