@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,11 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_stored: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of the session (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The shared folder of the session (spark.checkpoint.dir). A temporary one only in local mode, where none is set."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="strata-")
         context.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -37,7 +43,18 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _stored[out] = path
+    return out
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Deletes what ``stored`` wrote for these frames, once nothing reads them any more."""
+    for frame in frames:
+        if path := _stored.pop(frame, None) if frame is not None else None:
+            jvm = frame.sparkSession._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
