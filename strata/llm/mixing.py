@@ -12,10 +12,9 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import stored
+from .common import discard, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -77,4 +76,6 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     end = F.floor(ratio * (F.col("before") + F.col("rank")) + F.col("offset"))
     begin = F.floor(ratio * (F.col("before") + F.col("rank") - 1) + F.col("offset"))
     joined = ranked.join(heads, ranked["source"].eqNullSafe(heads["s"]) & (ranked["part"] == heads["p"]))
-    return joined.select("doc_id", "source", "size", "source_size", "target", (end - begin).cast("long").alias("copies"), *carry)
+    mixed = stored(joined.select("doc_id", "source", "size", "source_size", "target", (end - begin).cast("long").alias("copies"), *carry), "mixed")
+    discard(narrow, ranked)
+    return mixed

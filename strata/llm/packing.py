@@ -14,10 +14,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import portions, stored
+from .common import discard, portions, stored
 from .tokens import default_path, encoder
 
 DIMS, BITS = 3, 10
+CELLS = 15  # bits of a key by which ranges are planned
+RANGE = 8_000_000  # tokens of a range
 
 
 def hilbert(point: list[int], bits: int = BITS) -> int:
@@ -70,6 +72,8 @@ def tokenised(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
+        if coder.tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError("ids of this vocabulary do not fit 16 bits")
         for batch in batches:
             for part in portions(iter([batch]), "text"):
                 each = [np.append(x, end_id).astype("<u2") for x in coder.encode(part.column(1))]
@@ -80,11 +84,35 @@ def tokenised(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, n long, ids binary")
 
 
+def ranged(keyed: DataFrame, parts: int) -> tuple[DataFrame, int]:
+    """Adds ``part``, the number of the range along the curve that a row belongs to; second, how many there are. Ranges hold about equal numbers of
+    tokens: the tokens of each cell of the curve (at most 2 ** CELLS rows on the driver) are summed up along it; a cell with
+    more than a range's tokens, of many copies for instance, is cut by a hash of the id."""
+    cell = F.shiftright("key", DIMS * BITS - CELLS)
+    rows = keyed.groupBy(cell.cast("int").alias("cell")).agg(F.sum("n").alias("n")).toPandas().sort_values("cell")
+    counts = rows["n"].to_numpy(np.int64)
+    total = int(counts.sum())
+    goal = max(1, -(-total // max(parts, -(-total // RANGE))))
+    pieces = np.maximum(1, counts // goal)
+    wide = pieces > 1
+    fill, part, low = 0, -1, np.zeros(len(counts), np.int64)
+    for k in range(len(counts)):  # cells in order: each starts a new range when the last one is full
+        if part < 0 or wide[k] or wide[k - 1] or fill + counts[k] > goal:
+            part, fill = part + 1, 0
+        low[k], fill = part, fill + counts[k]
+        part += int(pieces[k]) - 1
+    spark = keyed.sparkSession
+    plan = spark.createDataFrame([(int(c), int(i), int(w)) for c, i, w in zip(rows["cell"], low, pieces)], "_cell int, _low int, _pieces int")
+    at = (F.col("_low") + F.pmod(F.shiftright("h", 20), F.col("_pieces"))).cast("int")
+    return keyed.withColumn("_cell", cell.cast("int")).join(F.broadcast(plan), "_cell").withColumn("part", at).drop("_cell", "_low", "_pieces"), part + 1
+
+
 def pack(docs: DataFrame, length: int = 2048, path: str | None = None) -> DataFrame:
     """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (bytes of 32-bit ids).
 
     Null and empty texts give one piece with the end id. Repeated rows are packed each. An empty table gives no piece.
-    Equal keys are ordered by a hash of the id, so large groups of copies spread over the ranges.
+    Equal keys are ordered by a hash of the id, so large groups of copies spread over the ranges. Other columns are
+    ignored; null ids are packed like others.
     """
     spark = docs.sparkSession
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -100,9 +128,12 @@ def pack(docs: DataFrame, length: int = 2048, path: str | None = None) -> DataFr
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums - batch.column(1).to_numpy())], ["doc_id", "n", "ids", "part", "place"])
             before = int(sums[-1]) if len(sums) else before
 
-    ranges = ready.withColumn("h", F.xxhash64("doc_id")).repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    ranged = stored(ranges.select("doc_id", "n", "ids", F.spark_partition_id().alias("part")).mapInArrow(placed, f"doc_id {id_type}, n long, ids binary, part int, place long"), "pack-order")
-    totals = ranged.groupBy("part").agg(F.sum("n").alias("n"))  # a row for each partition
+    # the id stands for rows; a part of the digest keeps rows of one id apart and null ids from one range
+    dealt, count = ranged(ready.withColumn("h", F.xxhash64("doc_id", F.crc32("ids"))), parts)
+    ranges = dealt.repartitionById(max(1, count), F.col("part")).sortWithinPartitions(*order)
+    laid = stored(ranges.select("doc_id", "n", "ids", "part").mapInArrow(placed, f"doc_id {id_type}, n long, ids binary, part int, place long"), "pack-order")
+    discard(ready)
+    totals = laid.groupBy("part").agg(F.sum("n").alias("n"))  # a row for each partition
     heads = {r["part"]: int(r["before"]) for r in totals.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before")).collect()}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,4 +149,4 @@ def pack(docs: DataFrame, length: int = 2048, path: str | None = None) -> DataFr
             columns = list(zip(*rows, strict=True)) or [()] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, batch.schema.field(0).type if k == 0 else pa.binary() if k == 7 else pa.int64()) for k, c in enumerate(columns)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
 
-    return ranged.mapInArrow(cut, f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return laid.mapInArrow(cut, f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")

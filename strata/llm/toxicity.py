@@ -19,6 +19,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import discard, stored
+
 SIZE = 28  # a-z, border, any other letter
 BITS = 20
 MAX_TRAIN = 20_000
@@ -172,15 +174,13 @@ def _learn(docs: DataFrame, labels: DataFrame, max_train: int) -> Callable[[list
     model = language_model(docs).tolist()
     chosen = labels.filter("doc_id is not null and toxic is not null").filter(_fold() != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["text"]).select("text", "toxic")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict = {}
         for batch in batches:
             yield pd.DataFrame({"toxic": batch["toxic"].astype("int64"), "at": [_evidence(t, model, known) for t in batch["text"]]})
 
-    from .common import stored
-
     traits = stored(rows.mapInPandas(extract, "toxic long, at array<bigint>"), "traits")
     sums = {r["toxic"]: r["count"] for r in traits.groupBy("toxic").count().collect()}
     n1, n0 = float(sums.get(1, 0)), float(sums.get(0, 0))
@@ -199,6 +199,7 @@ def _learn(docs: DataFrame, labels: DataFrame, max_train: int) -> Callable[[list
             yield pd.DataFrame(out, columns=["y", "a", "b"]).astype({"y": "int64", "a": "float64", "b": "float64"})
 
     fit = traits.mapInPandas(summaries, "y long, a double, b double").toPandas().to_numpy()  # at most max_train rows
+    discard(traits)
     weights = np.array([-3.0, 1.0, 0.2]) if len(fit) else np.array([-50.0, 0.0, 0.0])
     if len(fit):
         x, y = np.column_stack([np.ones(len(fit)), fit[:, 1:]]), fit[:, 0]
@@ -223,8 +224,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAI
     """doc_id, held_out, score, predicted for every row of docs.
 
     Learns from at most ``max_train`` labelled ids (lowest hashes) whose crc32 mod 5 is not 0. Null and empty texts get
-    the score of a text without evidence. Repeated label rows count once (the higher label); null labels are left out;
-    without labels the score is 0. The model that goes with the tasks has 2 ** 20 odds and 28 ** 3 trigrams at most.
+    the score of a text without evidence. Repeated label rows and copies of a text count once, with the higher label; null
+    labels are left out; without labels all scores are under 1e-20. An empty table gives none. The model that goes with the tasks has 2 ** 20 odds and 28 ** 3 trigrams at most.
     """
     scores = _learn(docs, labels, max_train)
 
