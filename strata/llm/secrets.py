@@ -3,8 +3,9 @@
 ``Automaton.compile`` parses the rules' regular expressions, joins them into one NFA, makes it deterministic by
 subset construction over byte classes, minimises it by partition refinement and keeps the transitions in one array.
 The scan takes one pass over the bytes of a batch: the batch is cut into lanes at *foreign* bytes (bytes that no rule
-can contain and that lead every state back to the start) and all lanes step together through the array. A lane whose
-automaton accepts is handed to the rules' exact expressions, which give kinds and spans.
+can contain and that lead every state back to the start) and all lanes step together through the array. Accepting states
+tell the rules that a match of ends there; in the lanes where they are met, the exact expressions of these rules, and of no
+others, settle where spans start and end.
 """
 
 from __future__ import annotations
@@ -126,13 +127,15 @@ class _Nfa:
 
 @dataclass(frozen=True)
 class Automaton:
-    """``step[state + byte_class[b]]`` is the next state (states are premultiplied by the number of classes);
-    ``accept`` absorbs everything, ``foreign`` marks the bytes that lead each other state to ``start``."""
+    """``step[state + byte_class[b]]`` is the next state (states are premultiplied by the number of classes). States from
+    ``accept`` on are accepting; ``rules[state // n_classes]`` has a bit for each pattern that ends there. ``foreign`` marks
+    the bytes that lead each state to ``start``."""
 
     step: np.ndarray
     byte_class: np.ndarray
     start: int
     accept: int
+    rules: np.ndarray
     foreign: np.ndarray
     n_states: int
     n_classes: int
@@ -140,10 +143,10 @@ class Automaton:
     @staticmethod
     def compile(patterns: Iterable[str]) -> "Automaton":
         nfa = _Nfa()
-        first, finals = nfa.state(), set()
-        for pattern in patterns:
+        first, finals = nfa.state(), {}
+        for k, pattern in enumerate(patterns):
             nfa.empty[first].append(begin := nfa.state())
-            finals.add(nfa.add(re._parser.parse(pattern.encode("ascii")), begin))
+            finals[nfa.add(re._parser.parse(pattern.encode("ascii")), begin)] = 1 << k
 
         used = {s for moves in nfa.moves for s, _ in moves}
         marks = np.zeros((256, len(used)), bool)
@@ -167,7 +170,6 @@ class Automaton:
         rows: list[list[int]] = []
         number = {origin: 0}
         order = [origin]
-        accept = -1
         for states in order:  # grows while it is read
             row = []
             for byte in samples:
@@ -176,21 +178,16 @@ class Automaton:
                     for allowed, t in nfa.moves[s]:
                         if byte in allowed:
                             reached |= closures[t]
-                if reached & finals:
-                    row.append(accept)
-                    continue
                 key = frozenset(reached)
                 if key not in number:
                     number[key] = len(order)
                     order.append(key)
                 row.append(number[key])
             rows.append(row)
-        accept_state = len(rows)
-        rows.append([accept_state] * len(samples))
         moves = np.array(rows, np.int64)
-        moves[moves == accept] = accept_state
+        ends = np.array([sum(finals[s] for s in states if s in finals) for states in order], np.int64)
 
-        part = (np.arange(len(moves)) == accept_state).astype(np.int64)
+        part = np.unique(ends, return_inverse=True)[1].ravel()
         while True:
             _, finer = np.unique(np.column_stack([part, part[moves]]), axis=0, return_inverse=True)
             finer = finer.ravel()
@@ -198,15 +195,19 @@ class Automaton:
                 break
             part = finer
         n, classes = int(part.max()) + 1, len(samples)
-        small = np.empty((n, classes), np.int64)
-        small[part] = part[moves]
-        start, end = int(part[0]), int(part[accept_state])
-        foreign_class = np.all((small == start) | (np.arange(n)[:, None] == end), axis=0)
-        return Automaton((small * classes).astype(np.int32).ravel(), byte_class.astype(np.int32), start * classes, end * classes, foreign_class[byte_class], n, classes)
-
-    def accepted(self, data: np.ndarray, lane: int = 2048) -> Iterator[tuple[int, int]]:
-        """One pass over ``data``; yields the lanes (start, end) in which a rule matches. Lanes end behind foreign
-        bytes, so no match crosses their ends."""
+        small, rules = np.empty((n, classes), np.int64), np.empty(n, np.int64)
+        small[part], rules[part] = part[moves], ends
+        last = np.argsort(rules > 0, kind="stable")  # accepting states behind all others
+        place = np.empty(n, np.int64)
+        place[last] = np.arange(n)
+        small, rules = place[small[last]], rules[last]
+        start = int(place[part[0]])
+        foreign_class = np.all(small == start, axis=0)
+        return Automaton((small * classes).astype(np.int32).ravel(), byte_class.astype(np.int32), start * classes, int((rules == 0).sum()) * classes, rules, foreign_class[byte_class], n, classes)
+
+    def accepted(self, data: np.ndarray, lane: int = 2048) -> Iterator[tuple[int, int, int]]:
+        """One pass over ``data``; yields (start, end, bits of the rules) of the lanes in which rules match. Lanes end
+        behind foreign bytes, so no match crosses their ends."""
         n = len(data)
         if not n:
             return
@@ -218,7 +219,7 @@ class Automaton:
         order = np.argsort(-size, kind="stable")
         low, size = low[order], size[order]
         kinds = self.byte_class[data]
-        place, state = low.copy(), np.full(len(low), self.start, np.int32)
+        place, state, found = low.copy(), np.full(len(low), self.start, np.int32), np.zeros(len(low), np.int64)
         alive = np.searchsorted(-size, -np.arange(int(size[0])), side="left")  # lanes longer than i
         done = int(size[0])
         for i in range(int(size[0])):
@@ -226,17 +227,22 @@ class Automaton:
             if k < 8:
                 done = i
                 break
-            state[:k] = self.step.take(state[:k] + kinds.take(place[:k]))
+            state[:k] = now = self.step.take(state[:k] + kinds.take(place[:k]))
             place[:k] += 1
+            if now.max() >= self.accept:
+                at = np.flatnonzero(now >= self.accept)
+                found[at] |= self.rules[now[at] // self.n_classes]
         if done < size[0]:  # a few long lanes are stepped one by one
-            step, each = self.step.tolist(), self.byte_class.tolist()
+            step, each, rules = self.step.tolist(), self.byte_class.tolist(), self.rules.tolist()
             for j in range(int(np.searchsorted(-size, -done, side="left"))):
-                s = int(state[j])
+                s, bits = int(state[j]), 0
                 for b in data[int(low[j]) + done : int(low[j] + size[j])].tobytes():
                     s = step[s + each[b]]
-                state[j] = s
-        for j in np.flatnonzero(state == self.accept):
-            yield int(low[j]), int(low[j] + size[j])
+                    if s >= self.accept:
+                        bits |= rules[s // self.n_classes]
+                found[j] |= bits
+        for j in np.flatnonzero(found):
+            yield int(low[j]), int(low[j] + size[j]), int(found[j])
 
 
 def _found(rules: tuple[Rule, ...]) -> list[tuple[int, Rule, re.Pattern]]:
@@ -257,9 +263,11 @@ def _scan(rules: tuple[Rule, ...], automaton: Automaton, batches: Iterator[pa.Re
         data[keep] = raw
         begin = at + shift
         spans: list[list[tuple[int, int, str, int]]] = [[] for _ in range(count)]
-        for low, high in automaton.accepted(data):
+        for low, high, bits in automaton.accepted(data):
             part = data[low:high].tobytes()
             for k, rule, pattern in exact:
+                if not bits >> k & 1:
+                    continue
                 for m in pattern.finditer(part):
                     if m.end(rule.group) - m.start(rule.group) >= rule.least:
                         d = int(np.searchsorted(begin, low + m.start(), side="right")) - 1
