@@ -31,34 +31,61 @@ def encode_bmp(image: np.ndarray) -> bytes:
     return b"BM" + number(54 + rows.size) + number(0) + number(54) + info + rows.tobytes()
 
 
-def decode(data: bytes) -> np.ndarray | None:
+def _bmp(data: bytes) -> np.ndarray | None:
+    """Plain BMP of 24 or 32 bits a pixel, or of 8 with a palette."""
+    at, info, w, h = (int.from_bytes(data[k : k + 4], "little", signed=True) for k in (10, 14, 18, 22))
+    bits, packed = int.from_bytes(data[28:30], "little"), int.from_bytes(data[30:34], "little")
+    if bits not in (8, 24, 32) or packed not in (0, 3 if bits == 32 else 0) or w <= 0 or h == 0:
+        return None
+    n, stride = bits // 8, (w * bits // 8 + 3) // 4 * 4
+    rows = np.frombuffer(data, np.uint8, stride * abs(h), at).reshape(abs(h), stride)[:, : w * n]
+    rows = rows[::-1] if h > 0 else rows
+    if bits == 8:
+        colours = int.from_bytes(data[46:50], "little") or 256
+        palette = np.zeros((256, 3), np.uint8)
+        palette[:colours] = np.frombuffer(data, np.uint8, 4 * colours, 14 + info).reshape(colours, 4)[:, 2::-1]
+        return palette[rows]
+    return rows.reshape(abs(h), w, n)[:, :, 2::-1]
+
+
+def _netpbm(data: bytes) -> np.ndarray | None:
+    """P1 to P6, with comments between the numbers of the head; samples are scaled to 255."""
+    space = rb"(?:\s|#[^\n]*\n)+"
+    bitmap = data[1:2] in (b"1", b"4")
+    head = re.match(rb"P[1-6]" + space + rb"(\d+)" + space + rb"(\d+)" + (b"" if bitmap else space + rb"(\d+)") + rb"\s", data)
+    if not head:
+        return None
+    kind, w, h, top = int(data[1:2]), int(head[1]), int(head[2]), 1 if bitmap else int(head[3])
+    channels, body = 3 if kind in (3, 6) else 1, data[head.end() :]
+    count = w * h * channels
+    if not 0 < top < 1 << 16:
+        return None
+    if kind == 4:
+        bits = np.unpackbits(np.frombuffer(body, np.uint8, h * ((w + 7) // 8)).reshape(h, -1), axis=1)[:, :w]
+        return ((1 - bits) * 255).astype(np.uint8)[:, :, None]
+    if kind == 1:
+        flat = 1 - np.frombuffer(re.sub(rb"#[^\n]*\n|[^01]", b"", body), np.uint8)[:count].astype(np.int64) + 48
+    elif kind in (2, 3):
+        flat = np.array(re.sub(rb"#[^\n]*", b"", body).split()[:count], np.int64)
+    else:
+        flat = np.frombuffer(body, np.uint8 if top < 256 else ">u2", count)
+    if top != 255:
+        flat = (flat.astype(np.int64) * 255 + top // 2) // top
+    return flat.astype(np.uint8).reshape(h, w, channels)
+
+
+def decode(data: bytes | None) -> np.ndarray | None:
     """Height x width x channels of uint8; None for null, empty or broken data and other formats."""
     try:
-        if data[:2] == b"BM":
-            at, w, h = (int.from_bytes(data[k : k + 4], "little", signed=True) for k in (10, 18, 22))
-            if int.from_bytes(data[28:30], "little") != 24:
-                return None
-            stride = (w * 3 + 3) // 4 * 4
-            rows = np.frombuffer(data, np.uint8, stride * abs(h), at).reshape(abs(h), stride)[:, : w * 3].reshape(abs(h), w, 3)[:, :, ::-1]
-            return rows[::-1] if h > 0 else rows
-        head = re.match(rb"(P[2356])(?:\s+#[^\n]*)*\s+(\d+)\s+(\d+)\s+(\d+)\s", data)
-        if not head:
-            return None
-        kind, w, h, top = head[1], *(int(x) for x in head.groups()[1:])
-        channels = 3 if kind in (b"P3", b"P6") else 1
-        if top > 255:
-            return None
-        if kind in (b"P5", b"P6"):
-            flat = np.frombuffer(data, np.uint8, w * h * channels, head.end())
-        else:
-            flat = np.array(data[head.end() :].split()[: w * h * channels], np.uint8)
-        return flat.reshape(h, w, channels)
-    except (ValueError, TypeError):
+        return None if not data else _bmp(data) if data[:2] == b"BM" else _netpbm(data)
+    except (ValueError, TypeError, IndexError):
         return None
 
 
 def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean of each target pixel's area, exact at fractional borders, from the integral image."""
+    """Mean of each target pixel's area, exact at fractional borders, from the integral image; black without pixels."""
+    if not image.size:
+        return np.zeros((height, width, *image.shape[2:]))
     grey = image.astype(np.float64)
     h, w = grey.shape[:2]
     total = np.zeros((h + 1, w + 1, *grey.shape[2:]))
@@ -118,3 +145,25 @@ def media_table(docs: DataFrame, columns: tuple[str, ...] = tuple(FIELDS)) -> Da
 
     schema = ", ".join([f"doc_id {docs.schema['doc_id'].dataType.simpleString()}", *(f"{c} {FIELDS[c]}" for c in columns)])
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
+
+
+def media_columns(images: DataFrame, column: str = "media", tile: int = 16) -> DataFrame:
+    """Adds height, width, channels, tile (NPY of the image resized to ``tile`` x ``tile``) and feature (difference hash) of
+    a column of binary images. Null where the image is null, broken or of another format; all rows and columns stay, and
+    columns of these names are replaced."""
+    new = {"height": "int", "width": "int", "channels": "int", "tile": "binary", "feature": "string"}
+    kept = [c for c in images.columns if c not in new]
+    kinds = {"int": pa.int32(), **ARROW}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches, column):
+            found = []
+            for data in batch.column(batch.schema.get_field_index(column)).to_pylist():
+                image = decode(data)
+                found.append([None] * 5 if image is None else [*image.shape, npy(np.clip(np.round(area_resize(image, tile, tile)), 0, 255).astype(np.uint8)), f"{difference_hash(image):016x}"])
+            columns = list(zip(*found)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, kinds[t]) for c, t in zip(columns, new.values()))], [*kept, *new])
+
+    narrow = images.select(*kept)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields]
+    return narrow.mapInArrow(run, ", ".join([*fields, *(f"{c} {t}" for c, t in new.items())]))

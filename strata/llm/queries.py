@@ -9,7 +9,7 @@ from .common import table
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_table(table(spark, sf_dir, "documents"), ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"))
+    return media.media_table(table(spark, sf_dir, "documents"), ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile"))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
