@@ -421,3 +421,20 @@ def test_packing_keeps_like_texts_together(spark):
     assert same > 0.45 and len(out) == 540  # one in three by chance
     places = [k for k, r in enumerate(out) if r["doc_id"] >= 1000]
     assert max(places) - min(places) == 299
+
+
+def test_queries_against_sql(spark):
+    import duckdb
+
+    from strata.llm import queries
+
+    data = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "pages", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    for name, sql in queries.ORACLES.items():
+        want = con.execute(sql)
+        names = [c[0] for c in want.description]
+        got = queries.QUERIES[name](spark, data)
+        assert sorted(got.columns) == sorted(names)
+        assert collections.Counter(map(tuple, got.select(*names).collect())) == collections.Counter(want.fetchall())
