@@ -53,7 +53,26 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_media, op2_ngram_join, op3_toxicity, op4_training_order, op5_warc, op6_url_filter, op7_secrets, op8_top_k, op9_packing, op10_mixing)}
+
+
+def _secrets_sql() -> str:
+    """Matches of each rule and the pieces between them give the places of the spans."""
+    found = []
+    for k, rule in enumerate(secrets.RULES):
+        pattern = rule.pattern.replace("'", "''")
+        found.append(f"SELECT doc_id, {k} AS k, '{rule.kind}' AS kind, {rule.least} AS least, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {rule.group}) AS g, string_split_regex(t, '{pattern}') AS p FROM d")
+    base = ", ".join(f"'{b}'" for b in secrets.BASE)
+    text = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k)"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({' UNION ALL '.join(found)}),
+u AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM f),
+w AS (SELECT doc_id, k, kind, CAST(list_sum(list_transform(p[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: len(x))), 0) AS BIGINT) AS s, len(m[i]) AS n FROM u WHERE len(g[i]) >= least),
+x AS (SELECT doc_id, k, kind, s, s + n AS e FROM w),
+a AS (SELECT doc_id, {', '.join(f"count(*) FILTER (kind = '{b}') AS n_{b}" for b in secrets.BASE)}, {text[:-1]}) FILTER (kind IN ({base})) AS b, {text} AS spans FROM x GROUP BY doc_id)
+SELECT doc_id, {', '.join(f'CAST(coalesce(n_{b}, 0) AS BIGINT) AS n_{b}' for b in secrets.BASE)}, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (doc_id)"""
+
+
 ORACLES: dict[str, str] = {
+    "op7_secrets": _secrets_sql(),
     "op2_ngram_join": r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
 e AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM s),

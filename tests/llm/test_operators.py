@@ -438,3 +438,63 @@ def test_queries_against_sql(spark):
         got = queries.QUERIES[name](spark, data)
         assert sorted(got.columns) == sorted(names)
         assert collections.Counter(map(tuple, got.select(*names).collect())) == collections.Counter(want.fetchall())
+
+
+def test_pipeline_stages_against_plain_python(spark, tmp_path):
+    import corpus_pipeline as cp
+    from tokenizers import Tokenizer
+
+    draw = np.random.default_rng(11)
+    word = lambda: "".join(map(chr, 97 + draw.integers(0, 26, 5)))
+    rows = [(i, f"w{i % 7} quiet words here n{i}x " + " ".join(word() for _ in range(12)) + (" you idiot" if i % 5 == 0 else " you friend"), f"s{i % 4}" if i % 11 else None) for i in range(250)]
+    rows += [(300, rows[1][1], "s1"), (301, rows[1][1] + " more", "s2"), (302, "the password: hunter2hunter2 is here " + rows[2][1], "s0"), (303, None, None), (None, None, "s1"), (None, "all by itself " + " ".join(word() for _ in range(20)), "s1"), (304, "", "s2"), (305, "x" * 200 + " " + "0123456789abcdef" * 2 + "\\n" + " ".join(word() for _ in range(3000)), "s3")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    docs.repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(250)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    given, want = spark.read.parquet(f"{tmp_path}/documents.parquet"), None
+    for name, stage in cp.STAGES:
+        path = f"{tmp_path}/{name}"
+        stage(spark, given, str(tmp_path)).write.parquet(path)
+        made, before = spark.read.parquet(path), given.collect()
+        if name != "packing":
+            assert made.columns == docs.columns
+        after = made.collect()
+        plain = lambda rows: collections.Counter((r["doc_id"], r["text"], r["source"]) for r in rows)
+        if name == "toxicity":
+            want = plain(r for r in before if "idiot" not in (r["text"] or ""))
+            assert plain(after) == want
+        elif name == "near_duplicates":
+            groups = {c for _, n, c in brute_components([(r["doc_id"], r["text"]) for r in before]) if n and c is not None}
+            assert not plain(after) - plain(before) and {r["doc_id"] for r in after if (r["text"] or "").split() and r["doc_id"] is not None} == groups
+            assert sum(not (r["text"] or "").split() for r in after) == sum(not (r["text"] or "").split() for r in before)
+        elif name == "secrets":
+            assert len(after) == len(before) and not any("hunter2" in (r["text"] or "") or "0123456789abcdef" in (r["text"] or "") for r in after)
+            assert sum(r["text"] == q["text"] for r, q in zip(sorted(before, key=str), sorted(after, key=str))) >= len(before) - 2
+        elif name == "mixing":
+            sizes = collections.Counter()
+            for r in before:
+                sizes[r["source"]] += len((r["text"] or "").split())
+            goal, got = mixing.targets(dict(sizes)), collections.Counter()
+            for r in after:
+                got[r["source"]] += len((r["text"] or "").split())
+            most = collections.Counter(plain(after))
+            assert not set(plain(after)) - set(plain(before)) and max(most.values()) <= 2
+            assert all(abs(got[s] - goal[s]) <= 2 * max(len((r["text"] or "").split()) for r in before if r["source"] == s) for s in sizes)
+        else:
+            coder = Tokenizer.from_file(tokens.default_path())
+            texts = collections.Counter(tuple(coder.encode(r["text"] or "", add_special_tokens=False).ids + [1]) for r in before)
+            pieces, open_, whole = sorted(after, key=lambda r: (r["sequence_id"], r["offset"])), {}, collections.Counter()
+            assert all(r["sequence_id"] * 2048 + r["offset"] == at for r, at in zip(pieces, np.cumsum([0, *(r["length"] for r in pieces)])))
+            run = []
+            for r in pieces:  # a document's pieces stand behind each other
+                assert r["start"] == len(run)
+                run += np.frombuffer(r["ids"], "<u4").tolist()
+                if len(run) == r["doc_tokens"]:
+                    whole[tuple(run)] += 1
+                    run = []
+            assert whole == texts and not run and open_ == {}
+        given = made
+    assert cp.run(spark, str(tmp_path)).count() == given.count()
+    none = docs.limit(0)
+    for name, stage in cp.STAGES:
+        assert stage(spark, none, str(tmp_path)).count() == 0
