@@ -140,7 +140,11 @@ class Levels:
         default area if any row is a polygon. New edges drop derived values, as they may offer better sources."""
         if "ring" in layer.columns and "minx" not in layer.columns:
             layer = pg.with_bounds(layer)
-        layer = measured(layer if id_col == "id" else layer.withColumnRenamed(id_col, "id"))
+        if id_col != "id":
+            layer = layer.withColumnRenamed(id_col, "id")
+        elif "id" not in layer.columns:
+            layer = cut(layer.withColumn("id", F.monotonically_increasing_id()))
+        layer = measured(layer)
         attributes = [c for c in layer.columns if c not in GEOMETRY]
         self.geometry[name] = layer.select(*(c for c in layer.columns if c in GEOMETRY))
         self.tables[name] = layer.select("id", *attributes)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .functions import measures as ms
 from .functions import strategies as st
 from .levels import Levels
 from .operators import cells as cl
@@ -337,3 +338,20 @@ def q_zoom_ranges(spark: SparkSession, d: str) -> DataFrame:
         graph.add_level(name, layer)
     rows = [(n, *r) for n, r in tl.zoom_ranges(tl.median_sizes(graph)).items()]
     return spark.createDataFrame(rows, "level string, low int, high int")
+
+
+# --- measures ---------------------------------------------------------------------------------------------------------
+
+_TM = "WITH k AS (SELECT 1 / 298.257223563 / (2 - 1 / 298.257223563) AS n), q AS (SELECT n, 6378137.0 / (1 + n) * (1 + pow(n, 2) / 4 + pow(n, 4) / 64) AS a, 2 * sqrt(n) / (1 + n) AS e, n / 2 - 2 * pow(n, 2) / 3 + 5 * pow(n, 3) / 16 AS a1, 13 * pow(n, 2) / 48 - 3 * pow(n, 3) / 5 AS a2, 61 * pow(n, 3) / 240 AS a3 FROM k)"
+
+
+@query(f", t AS (SELECT * FROM ({_TM} SELECT * FROM q) q), p AS (SELECT id, radians(x - 21) AS lam, sinh(atanh(sin(radians(y))) - e * atanh(e * sin(radians(y)))) AS t, t.* FROM cus, t), u AS (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM p) SELECT id, round(500000 + 0.9996 * a * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta)), 2) AS easting, round(0.9996 * a * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta)), 2) AS northing FROM u")
+def q_utm(spark: SparkSession, d: str) -> DataFrame:
+    """All customers in the zone of the middle of their map."""
+    east, north = ms.utm(F.col("minx"), F.col("miny"), ms.utm_zone(20.0))
+    return ly.customers(spark, d).select("id", F.round(east, 2).alias("easting"), F.round(north, 2).alias("northing"))
+
+
+@query(" SELECT id, round(pow(6371007.18, 2) * radians(4.0) * (sin(radians(y0 + 4)) - sin(radians(y0))), 2) AS metres FROM par")
+def q_geodesic_area(spark: SparkSession, d: str) -> DataFrame:
+    return ly.parts(spark, d).select("id", F.round(ms.box_area(*(F.col(c) for c in mp.BOX)), 2).alias("metres"))

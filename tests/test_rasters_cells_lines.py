@@ -6,6 +6,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from strata.functions import measures as ms
 from strata.operators import cells as cl
 from strata.operators import lines as ln
 from strata.operators import polygons as pg
@@ -173,3 +174,14 @@ def test_geotiff(spark, tmp_path):
     assert (t["height"], t["width"], t["a"], t["c"], t["e"], t["f"]) == (5, 4, 0.5, 10.0, -0.5, 50.0)
     with pytest.raises(ValueError):
         geotiff.header(b"no tiff at all")
+
+
+def test_metres(spark):
+    rows = spark.createDataFrame([(-79.387139, 43.642567), (3.0, 0.0)], "x double, y double")
+    got = [tuple(r) for r in rows.select(*ms.utm(F.col("x"), F.col("y"), 17), *ms.utm(F.col("x"), F.col("y"), 31)).collect()]
+    assert got[0][:2] == pytest.approx((630084, 4833439), abs=2) and got[1][2:] == pytest.approx((500000, 0), abs=1e-6)
+    assert ms.utm_zone(-79.4) == 17 and ms.utm_zone(180) == 60
+    layer = boxes(spark, {"a": (7, 48, 7, 48), "b": (7.01, 48, 7.01, 48)})
+    a, b = sorted(tuple(r) for r in ms.local_utm(layer).select("id", "minx", "miny").collect())
+    far = spark.range(1).select(ms.distance(F.lit(7.0), F.lit(48.0), F.lit(7.01), F.lit(48.0)), ms.box_area(F.lit(7.0), F.lit(48.0), F.lit(7.01), F.lit(48.01)), ms.ring_area(F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((7.0, 48.0), (7.01, 48.0), (7.01, 48.01), (7.0, 48.01)))))).first()
+    assert math.dist(a[1:], b[1:]) == pytest.approx(far[0], rel=5e-3) and far[1] == pytest.approx(far[2], rel=1e-9) and far[1] == pytest.approx(far[0] * 1112, rel=1e-2)
