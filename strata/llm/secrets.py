@@ -52,8 +52,103 @@ RULES = (
 BASE = ("assign", "access", "hex")
 
 
+class _Pattern:
+    """The tree of a rule's expression: ("bytes", set), ("all", nodes), ("any", nodes) or ("times", node, low, high).
+
+    Of regular expressions it takes ASCII literals, escapes of signs, \\n, \\t, \\r and \\xhh, the dot, classes, groups (plain, (?:...),
+    (?i:...)), alternatives and the greedy counts ? * + {m} {m,} {m,n}; it raises on anything else.
+    """
+
+    def __init__(self, text: str) -> None:
+        self.text, self.at = text, 0
+        self.tree = self._any(False)
+        if self.at < len(text):
+            raise ValueError(f"unsupported in a rule: {text[self.at:]}")
+
+    def _next(self, *options: str) -> str | None:
+        for o in options:
+            if self.text.startswith(o, self.at):
+                self.at += len(o)
+                return o
+        return None
+
+    def _any(self, fold: bool) -> tuple:
+        found = [self._all(fold)]
+        while self._next("|"):
+            found.append(self._all(fold))
+        return ("any", found)
+
+    def _all(self, fold: bool) -> tuple:
+        found = []
+        while self.at < len(self.text) and self.text[self.at] not in "|)":
+            node = self._one(fold)
+            if sign := self._next("?", "*", "+"):
+                node = ("times", node, int(sign == "+"), 1 if sign == "?" else None)
+            elif count := re.compile(r"\{(\d+)(,?)(\d*)\}").match(self.text, self.at):
+                self.at = count.end()
+                low = int(count[1])
+                node = ("times", node, low, int(count[3]) if count[3] else None if count[2] else low)
+            found.append(node)
+        return ("all", found)
+
+    def _one(self, fold: bool) -> tuple:
+        if self._next("(?i:"):
+            return self._closed(True)
+        if self._next("(?:"):
+            return self._closed(fold)
+        if self._next("(?"):
+            raise ValueError(f"unsupported in a rule: {self.text}")
+        if self._next("("):
+            return self._closed(fold)
+        if self._next("["):
+            return ("bytes", self._class(fold))
+        if self._next("."):
+            return ("bytes", frozenset(range(256)) - {10})
+        return ("bytes", self._folded({self._byte("^$*+?{")}, fold))
+
+    def _closed(self, fold: bool) -> tuple:
+        node = self._any(fold)
+        if not self._next(")"):
+            raise ValueError(f"a group is not closed: {self.text}")
+        return node
+
+    def _byte(self, banned: str = "") -> int:
+        c = self.text[self.at]
+        self.at += 1
+        if c in banned or ord(c) > 127:
+            raise ValueError(f"unsupported in a rule: {c}")
+        if c != "\\":
+            return ord(c)
+        c = self.text[self.at]
+        self.at += 1
+        if c == "x":
+            self.at += 2
+            return int(self.text[self.at - 2 : self.at], 16)
+        if c in "ntr":
+            return {"n": 10, "t": 9, "r": 13}[c]
+        if c.isalnum():
+            raise ValueError(f"unsupported in a rule: \\{c}")
+        return ord(c)
+
+    def _class(self, fold: bool) -> frozenset[int]:
+        negated, found = bool(self._next("^")), set()
+        while not self._next("]"):
+            low = high = self._byte()
+            if self.text[self.at] == "-" and self.text[self.at + 1] != "]":
+                self.at += 1
+                high = self._byte()
+            found |= set(range(low, high + 1))
+        found = self._folded(found, fold)
+        return frozenset(range(256)) - found if negated else found
+
+    @staticmethod
+    def _folded(found: set[int], fold: bool) -> frozenset[int]:
+        text = bytes(sorted(found))
+        return frozenset(found | set(text.lower()) | set(text.upper()) if fold else found)
+
+
 class _Nfa:
-    """States with empty moves and moves on sets of bytes, built from the parse tree of a bytes pattern."""
+    """States with empty moves and moves on sets of bytes."""
 
     def __init__(self) -> None:
         self.empty: list[list[int]] = []
@@ -64,65 +159,31 @@ class _Nfa:
         self.moves.append([])
         return len(self.empty) - 1
 
-    def add(self, tree, at: int, fold: bool = False) -> int:
-        """Appends the parsed sequence behind state ``at``; returns its end."""
-        for op, arg in tree:
-            name = str(op)
-            if name == "SUBPATTERN":
-                _, plus, minus, inner = arg
-                at = self.add(inner, at, (fold or bool(plus & re.I)) and not minus & re.I)
-            elif name == "BRANCH":
-                end = self.state()
-                for inner in arg[1]:
-                    start = self.state()
-                    self.empty[at].append(start)
-                    self.empty[self.add(inner, start, fold)].append(end)
-                at = end
-            elif name in ("MAX_REPEAT", "MIN_REPEAT"):
-                low, high, inner = arg
-                for _ in range(low):
-                    at = self.add(inner, at, fold)
-                if high == re._parser.MAXREPEAT:
-                    self.empty[at].append(loop := self.state())
-                    self.empty[self.add(inner, loop, fold)].append(loop)
-                    at = loop
-                else:
-                    self.empty[at].append(end := self.state())
-                    for _ in range(high - low):
-                        at = self.add(inner, at, fold)
-                        self.empty[at].append(end)
-                    at = end
-            else:
-                self.moves[at].append((self._bytes(name, arg, fold), after := self.state()))
-                at = after
-        return at
-
-    @staticmethod
-    def _bytes(name: str, arg, fold: bool) -> frozenset[int]:
-        if name == "LITERAL":
-            found = {arg}
-        elif name == "NOT_LITERAL":
-            found = set(range(256)) - {arg}
-        elif name == "ANY":
-            found = set(range(256)) - {10}
-        elif name == "IN":
-            found, negated = set(), False
-            for op, value in arg:
-                if str(op) == "NEGATE":
-                    negated = True
-                elif str(op) == "RANGE":
-                    found |= set(range(value[0], value[1] + 1))
-                elif str(op) == "LITERAL":
-                    found.add(value)
-                else:
-                    raise ValueError(f"unsupported in a rule: {op}")
-            found = set(range(256)) - found if negated else found
+    def add(self, tree: tuple, at: int) -> int:
+        """Appends a tree behind state ``at``; returns its end."""
+        kind, arg = tree[:2]
+        if kind == "bytes":
+            self.moves[at].append((arg, end := self.state()))
+        elif kind == "all":
+            end = at
+            for inner in arg:
+                end = self.add(inner, end)
+        elif kind == "any":
+            end = self.state()
+            for inner in arg:
+                self.empty[at].append(start := self.state())
+                self.empty[self.add(inner, start)].append(end)
         else:
-            raise ValueError(f"unsupported in a rule: {name}")
-        if fold:
-            text = bytes(sorted(found))
-            found |= set(text.lower()) | set(text.upper())
-        return frozenset(found)
+            low, high = tree[2:]
+            for _ in range(low):
+                at = self.add(arg, at)
+            self.empty[at].append(end := self.state())
+            if high is None:
+                self.empty[self.add(arg, end)].append(end)
+            for _ in range((high or 0) - low):
+                at = self.add(arg, at)
+                self.empty[at].append(end)
+        return end
 
 
 @dataclass(frozen=True)
@@ -146,7 +207,7 @@ class Automaton:
         first, finals = nfa.state(), {}
         for k, pattern in enumerate(patterns):
             nfa.empty[first].append(begin := nfa.state())
-            finals[nfa.add(re._parser.parse(pattern.encode("ascii")), begin)] = 1 << k
+            finals[nfa.add(_Pattern(pattern).tree, begin)] = 1 << k
 
         used = {s for moves in nfa.moves for s, _ in moves}
         marks = np.zeros((256, len(used)), bool)

@@ -498,3 +498,23 @@ def test_pipeline_stages_against_plain_python(spark, tmp_path):
     none = docs.limit(0)
     for name, stage in cp.STAGES:
         assert stage(spark, none, str(tmp_path)).count() == 0
+
+
+def test_automata_agree_with_plain_expressions():
+    draw = np.random.default_rng(13)
+    patterns = [r"ab*c", r"(?i:x|yz)+\x20?[a-c]", r"[^a-x\n]{2}", r"a(b|c(?:a|b))+c", r"b{2,3}c", r"c{2,}a", r"-[-+]\.", r"a.c"]
+    automaton = secrets.Automaton.compile(patterns)
+    for _ in range(400):
+        text = "".join(draw.choice(list("abcxyzXYZ -+.\n"), int(draw.integers(0, 25)))).encode()
+        bits = 0
+        for _, _, b in automaton.accepted(np.frombuffer(text + b"\n", np.uint8), lane=4) if automaton.foreign.any() else []:
+            bits |= b
+        state, met = automaton.start, 0
+        for b in text:
+            state = int(automaton.step[state + automaton.byte_class[b]])
+            met |= int(automaton.rules[state // automaton.n_classes])
+        want = sum(1 << k for k, p in enumerate(patterns) if re.search(p.encode(), text))
+        assert met == want and (not automaton.foreign.any() or bits == want)
+    for bad in ("a(?=b)", r"\d", "a(b", "é", "(?P<x>a)", "^a"):
+        with pytest.raises((ValueError, IndexError)):
+            secrets._Pattern(bad)
