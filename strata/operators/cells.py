@@ -53,9 +53,9 @@ def y_of(cell: Column) -> Column:
 def parent(cell: Column, level: int | Column) -> Column:
     """The cell's ancestor at a level; the cell itself if the level is not above."""
     level = F.lit(level) if isinstance(level, int) else level
-    down = F.greatest(level_of(cell) - level, F.lit(0))
-    side = F.pow(F.lit(2.0), down).cast("long")
-    return make(level_of(cell) - down, F.floor(x_of(cell) / side), F.floor(y_of(cell) / side))
+    down = level_of(cell) - level
+    x, y = (F.call_function("shiftright", c, down) for c in (x_of(cell), y_of(cell)))
+    return F.when(down > 0, make(level, x, y)).otherwise(cell)
 
 
 def children(cell: Column, level: int) -> Column:
