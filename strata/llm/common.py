@@ -52,9 +52,13 @@ def discard(*frames: DataFrame | None) -> None:
     """Deletes what ``stored`` wrote for these frames, once nothing reads them any more."""
     for frame in frames:
         if path := _stored.pop(frame, None) if frame is not None else None:
-            jvm = frame.sparkSession._jvm
-            folder = jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+            remove(frame.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared scratch folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
