@@ -1,4 +1,4 @@
-"""A graph of levels (layers of boxes, lines, points or rings) whose columns reach each other.
+"""A graph of levels (layers of boxes, points, lines or polygons) whose columns reach each other.
 
 ``Levels`` keeps metadata on the driver and one lazy DataFrame per level. ``propagate`` fills each column into the levels
 that lack it: first up along child -> parent edges, then down, so that a child's values win over a parent's; at last,
@@ -17,11 +17,11 @@ from pyspark.sql import DataFrame, functions as F
 from .functions import strategies as st
 from .operators import mapping as mp
 from .operators import nearest as nr
-from .operators import polygons as pg
-from .scratch import cut
+from .operators import shapes as sh
+from .scratch import cut, numbered
 
 #: Columns that describe geometry and stay at their level.
-GEOMETRY = ("id", *mp.BOX, "ring", "area", "length", "cx", "cy", "geometry_type")
+GEOMETRY = ("id", *mp.BOX, "shape", "dim", "area", "length", "cx", "cy", "geometry_type")
 
 
 def _listed(x: str | Iterable[str] | None) -> list[str]:
@@ -29,18 +29,18 @@ def _listed(x: str | Iterable[str] | None) -> list[str]:
 
 
 def measured(layer: DataFrame) -> DataFrame:
-    """Adds area, length, centre and type where they are missing: of rings, or of boxes (length: of a line's extents)."""
+    """Adds area, length (of polygons: perimeter), centre and type where they are missing."""
+    layer = sh.shaped(layer)
     w, h = F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")
-    area, length = w * h, F.when((w == 0) | (h == 0), w + h).otherwise(2 * (w + h))
-    kind = F.when((w > 0) & (h > 0), "Polygon").when((w > 0) | (h > 0), "LineString").otherwise("Point")
+    area, length, dim = w * h, F.when((w == 0) | (h == 0), w + h).otherwise(2 * (w + h)), sh.box_dim()
     cx, cy = (F.col("minx") + F.col("maxx")) / 2, (F.col("miny") + F.col("maxy")) / 2
-    if "ring" in layer.columns:
-        at, ring = F.col("ring").isNotNull(), F.col("ring")
-        of = pg.centroid(ring)
-        area, length, kind = F.when(at, pg.area(ring)).otherwise(area), F.when(at, pg.perimeter(ring)).otherwise(length), F.when(at, "Polygon").otherwise(kind)
-        cx, cy = F.coalesce(of[0], cx), F.coalesce(of[1], cy)
+    if "shape" in layer.columns:
+        layer, box = layer.withColumn("_m", sh.measures("shape", "dim")), F.col("shape").isNull()
+        area, length, cx, cy = (F.when(box, own).otherwise(F.col("_m")[c]) for c, own in (("area", area), ("length", length), ("cx", cx), ("cy", cy)))
+        dim = F.col("dim")
+    kind = F.when(dim == 2, "Polygon").when(dim == 1, "LineString").otherwise("Point")
     new = {"area": area, "length": length, "cx": cx, "cy": cy, "geometry_type": kind}
-    return layer.withColumns({c: x for c, x in new.items() if c not in layer.columns})
+    return layer.withColumns({c: x for c, x in new.items() if c not in layer.columns}).drop("_m")
 
 
 class Levels:
@@ -136,16 +136,15 @@ class Levels:
     # --- levels ---------------------------------------------------------------------------------------------------
 
     def add_level(self, name: str, layer: DataFrame, id_col: str = "id", strategies: st.Strategy | dict[str, st.Strategy] | None = None, parent=None, child=None, measure: str | None = None) -> None:
-        """Adds a layer (bounds, or a ring, and attributes) as a level and propagates. ``measure``: area or length; by
-        default area if any row is a polygon. New edges drop derived values, as they may offer better sources."""
-        if "ring" in layer.columns and "minx" not in layer.columns:
-            layer = pg.with_bounds(layer)
-        if id_col != "id":
-            layer = layer.withColumnRenamed(id_col, "id")
-        elif "id" not in layer.columns:
-            layer = cut(layer.withColumn("id", F.monotonically_increasing_id()))
-        layer = measured(layer)
+        """Adds a layer (bounds or a shape, and attributes) as a level and propagates. ``measure``: area or length; by default
+        area if any row is a polygon. ``strategies``: of each attribute, or one for all of them; they hold at all levels. New
+        edges drop derived values, as they may offer better sources; a level of the same name is replaced."""
+        layer = self._prepared(layer, id_col)
         attributes = [c for c in layer.columns if c not in GEOMETRY]
+        if name in self.tables:
+            for c in self.native:
+                self.native[c] = [n for n in self.native[c] if n != name]
+            self._drop_derived(list(self.native))
         self.geometry[name] = layer.select(*(c for c in layer.columns if c in GEOMETRY))
         self.tables[name] = layer.select("id", *attributes)
         self.measure[name] = measure or ("area" if layer.filter("geometry_type = 'Polygon'").take(1) else "length")
@@ -157,12 +156,20 @@ class Levels:
             if name not in self.native[c]:
                 self.native[c].append(name)
             if given is not None:
-                self._strategies[(c, None) if isinstance(strategies, dict) else (None, name)] = given
+                self._strategies[c, None] = given
         if parent or child:
             self.link(name, parent, child)
             self._drop_derived(self.columns)
         self.propagate()
 
+    def _prepared(self, layer: DataFrame, id_col: str = "id") -> DataFrame:
+        if id_col != "id":
+            layer = layer.withColumnRenamed(id_col, "id")
+        elif "id" not in layer.columns:
+            layer = numbered(layer)
+        layer = measured(layer)
+        return cut(layer) if "shape" in layer.columns else layer  # so that shapes are measured once
+
     def set_column(self, level: str, values: DataFrame, column: str) -> None:
         """Gives a level native values (id, column) and propagates them."""
         self.tables[level] = self.tables[level].drop(column).join(values.select("id", column), "id", "left")
@@ -213,11 +220,10 @@ class Levels:
 
     def mapping(self, fine: str, coarse: str, strategy: st.Strategy, down: bool = False) -> DataFrame:
         """The mapping between two levels that a strategy asks for; made once and written out."""
-        how = self.measure[fine]
-        key = (fine, coarse, "near", strategy.k, strategy.power) if strategy.nearest and down else (fine, coarse, strategy.geoweighted, how, strategy.mode)
+        key = (fine, coarse, "near", strategy.k, strategy.power) if strategy.nearest and down else (fine, coarse, strategy.geoweighted, strategy.mode)
         if key not in self._mappings:
             low, high = self.geometry[fine], self.geometry[coarse]
-            made = nr.knn_mapping(low, high, self.size, strategy.k, strategy.power, areas=True) if key[2] == "near" else mp.id_mapping(low, high, self.size, strategy.geoweighted, how, strategy.mode)
+            made = nr.knn_mapping(low, high, self.size, strategy.k, strategy.power, areas=True) if key[2] == "near" else mp.id_mapping(low, high, self.size, strategy.geoweighted, strategy.mode)
             self._mappings[key] = cut(made)
         return self._mappings[key]
 
@@ -285,14 +291,11 @@ class Levels:
     def add_vector(self, layer: DataFrame, level: str, strategies: st.Strategy | dict[str, st.Strategy], columns: str | Iterable[str] | None = None, measure: str | None = None, upward: bool | None = None, buffer: float = 0.0, fill_null: float | dict[str, float] | None = 0.0, mode: str | None = None) -> None:
         """Brings columns of a layer that is no level into one level, replacing them there, and propagates.
 
-        ``upward``: whether the layer is the finer side; by default if its median measure is below the level's. ``buffer``
-        widens the coarse side's boxes. Values that nothing reaches become ``fill_null`` (None: they stay null).
+        Every row of the layer counts for itself, whatever its ``id``. ``upward``: whether the layer is the finer side; by
+        default if its median measure is below the level's. ``buffer`` widens the coarse side's boxes. Values that nothing
+        reaches become ``fill_null`` (None: they stay null).
         """
-        if "ring" in layer.columns and "minx" not in layer.columns:
-            layer = pg.with_bounds(layer)
-        if "id" not in layer.columns:
-            layer = cut(layer.withColumn("id", F.monotonically_increasing_id()))
-        layer = measured(layer)
+        layer = self._prepared(layer.drop("id"))
         names = _listed(columns) or [c for c in layer.columns if c not in GEOMETRY]
         plans = {c: strategies[c] if isinstance(strategies, dict) else strategies for c in names if not isinstance(strategies, dict) or c in strategies}
         measure = measure or ("area" if layer.filter("geometry_type = 'Polygon'").take(1) else "length")
@@ -301,7 +304,7 @@ class Levels:
             upward = medians[0] < medians[1]
         level_geometry = self.geometry[level]
         if buffer > 0:
-            if "ring" in (level_geometry if upward else layer).columns:
+            if "shape" in (level_geometry if upward else layer).columns:
                 raise ValueError("only boxes can be buffered")
             wide = {c: F.col(c) + (-buffer if c.startswith("min") else buffer) for c in mp.BOX}
             layer, level_geometry = (layer, level_geometry.withColumns(wide)) if upward else (layer.withColumns(wide), level_geometry)
@@ -312,7 +315,7 @@ class Levels:
         for c, s in plans.items():
             groups.setdefault((s.geoweighted, s.mode, s.nearest and not upward, s.k, s.power), {})[c] = s
         for (geoweighted, own, near, k, power), same in groups.items():
-            mapping = nr.knn_mapping(fine, coarse, self.size, k, power, areas=True) if near else mp.id_mapping(fine, coarse, self.size, geoweighted, measure, mode or own)
+            mapping = nr.knn_mapping(fine, coarse, self.size, k, power, areas=True) if near else mp.id_mapping(fine, coarse, self.size, geoweighted, mode or own)
             one = st.upscale_by(mapping, data, same) if upward else st.downscale(mapping, data, same)
             out = one if out is None else out.join(one, "id", "full")
         out = out.select("id", *(st.clean(F.col(c).cast("double")).alias(c) for c in plans))

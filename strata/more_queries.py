@@ -139,7 +139,7 @@ _SEG = ", seg AS (SELECT o_orderkey AS id, ((o_custkey * 37) % 320) / 8.0 AS xa,
 
 @query(_SEG + " SELECT s.id AS src_id, n.id AS dst_id, round(CASE WHEN xa = xb THEN 1.0 ELSE (least(greatest(xa, xb), n.x0 + 8) - greatest(least(xa, xb), n.x0)) / abs(xb - xa) END, 7) AS weight FROM seg s JOIN nat n ON least(xa, xb) <= n.x0 + 8 AND greatest(xa, xb) >= n.x0 AND y BETWEEN n.y0 AND n.y0 + 8")
 def q_length_exact(spark: SparkSession, d: str) -> DataFrame:
-    return mp.map_exact(ln.line_boxes(ly.segments(spark, d)), ly.nations(spark, d), SIDE, how="length").select("src_id", "dst_id", _r("weight"))
+    return mp.map_exact(ly.segments(spark, d), ly.nations(spark, d), SIDE).select("src_id", "dst_id", _r("weight"))
 
 
 @query(_SEG + ", k AS (SELECT *, greatest(1, CAST(ceil(abs(xb - xa) / 2.0) AS INTEGER)) AS n FROM seg) SELECT id, CAST(count(*) AS BIGINT) AS n, round(sum(x), 5) AS sum_x FROM (SELECT id, xa + (xb - xa) * i / n AS x FROM k, LATERAL (SELECT unnest(range(0, n + 1)) AS i)) GROUP BY id")
@@ -297,10 +297,10 @@ _CORNER = "({p} * {q} - pow(greatest(0, {p} + {q} - 4), 2) / 2)"
 _WEDGE = f", clip AS (SELECT p.id AS src_id, n.id AS dst_id, greatest(n.x0 - p.x0, 0) AS a, least(n.x0 + 8 - p.x0, 4) AS b, greatest(n.y0 - p.y0, 0) AS c, least(n.y0 + 8 - p.y0, 4) AS d FROM par p JOIN nat n ON p.x0 <= n.x0 + 8 AND n.x0 <= p.x0 + 4 AND p.y0 <= n.y0 + 8 AND n.y0 <= p.y0 + 4), wedge AS (SELECT src_id, dst_id, {_CORNER.format(p='b', q='d')} - {_CORNER.format(p='a', q='d')} - {_CORNER.format(p='b', q='c')} + {_CORNER.format(p='a', q='c')} AS area FROM clip)"
 
 
-@query(_WEDGE + " SELECT src_id, dst_id, round(area / 8.0, 6) AS weight FROM wedge WHERE area > 0")
+@query(_WEDGE + " SELECT src_id, dst_id, round(area / 8.0, 6) AS weight FROM wedge JOIN clip USING (src_id, dst_id) WHERE a + c <= 4")
 def q_polygon_exact(spark: SparkSession, d: str) -> DataFrame:
     found = mp.map_exact(ly.triangles(spark, d), ly.nations(spark, d), SIDE)
-    return found.select("src_id", "dst_id", F.round("weight", 6).alias("weight")).filter("weight > 0")
+    return found.select("src_id", "dst_id", F.round("weight", 6).alias("weight"))
 
 
 @query(" SELECT c.id AS src_id, min(p.id) AS dst_id FROM cus c JOIN par p ON c.x >= p.x0 AND c.y >= p.y0 AND c.x - p.x0 + c.y - p.y0 <= 4 GROUP BY c.id")

@@ -10,7 +10,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from . import polygons as pg
+from . import shapes as sh
 
 DEEPEST = 28
 LIMIT = 85.0511287798066  # degrees of latitude at which the map is square
@@ -108,16 +108,18 @@ def boxes(cells: DataFrame, cell: str = "cell") -> DataFrame:
 
 
 def cover(layer: DataFrame, level: int) -> DataFrame:
-    """Distinct cells of a level whose centre lies in one of the layer's boxes or rings. The rows of cells are exploded in
+    """Distinct cells of a level whose centre lies in one of the layer's boxes or polygons. The rows of cells are exploded in
     two steps, columns of the grid first, so a wide box does not make one huge array."""
+    layer = sh.shaped(layer)
     box = layer.filter("minx <= maxx and miny <= maxy")
     wide = box.withColumn("_x", F.explode(F.sequence(tile_x(F.col("minx"), level), tile_x(F.col("maxx"), level))))
     tall = wide.withColumn("_y", F.explode(F.sequence(tile_y(F.col("maxy"), level), tile_y(F.col("miny"), level)))).withColumn("cell", make(level, F.col("_x"), F.col("_y")))
     lng, lat = centre(F.col("cell"))
     inside = lng.between(F.col("minx"), F.col("maxx")) & lat.between(F.col("miny"), F.col("maxy"))
-    if "ring" in layer.columns:
-        inside &= F.col("ring").isNull() | pg.holds(F.col("ring"), lng, lat)
-    return tall.filter(inside).select("cell").distinct()
+    found = tall.filter(inside)
+    if "shape" in layer.columns:
+        found = found.withColumn("_in", sh.holds("shape", "dim", lng, lat)).filter(F.col("shape").isNull() | F.col("_in"))
+    return found.select("cell").distinct()
 
 
 def roll_up(cells: DataFrame, level: int, values: list[str], how: str = "sum") -> DataFrame:

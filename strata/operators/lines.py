@@ -8,7 +8,7 @@ from ..functions.strategies import Max, Mean, Strategy
 from ..levels import Levels
 from . import mapping as mp
 from . import nearest as nr
-from .polygons import each
+from .shapes import GEOMETRIES
 
 
 def segments(lines: DataFrame) -> DataFrame:
@@ -76,18 +76,10 @@ def compose_street_polygon(streets: DataFrame, cell_polygons: DataFrame) -> Data
     return mp.compose(streets, cell_polygons)
 
 
-def line_boxes(lines: DataFrame) -> DataFrame:
-    """Lines as a layer of their bounds. Exact lengths inside polygons need axis-parallel lines (see ``map_exact``)."""
-    low = {c: F.array_min(each(F.col("line"), c)) for c in "xy"}
-    high = {c: F.array_max(each(F.col("line"), c)) for c in "xy"}
-    length = F.aggregate(F.zip_with(F.slice("line", 1, F.size("line") - 1), F.slice("line", 2, F.size("line")), lambda p, q: F.hypot(q["x"] - p["x"], q["y"] - p["y"])), F.lit(0.0), lambda a, v: a + v)
-    return lines.withColumns({"minx": low["x"], "miny": low["y"], "maxx": high["x"], "maxy": high["y"], "length": length, "geometry_type": F.lit("LineString")}).drop("line")
-
-
 def edges_to_level(lines: DataFrame, layer: DataFrame, size: float, columns: list[str], strategies: Strategy | dict[str, Strategy] | None = None) -> DataFrame:
-    """The layer with the lines' columns: one level that the lines are brought into, by length where a strategy is
-    geoweighted; each other line goes to the one polygon that holds the middle of its bounds."""
+    """The layer with the lines' columns: one level that the lines are brought into, by their length in each polygon where
+    a strategy is geoweighted; else each line goes to one of the polygons that it meets, the one with the smallest id."""
     levels = Levels(size)
-    levels.add_level("target", layer.select("id", *(c for c in (*mp.BOX, "ring") if c in layer.columns)))
-    levels.add_vector(line_boxes(lines), "target", strategies or Mean(), columns, measure="length", upward=True, fill_null=None)
+    levels.add_level("target", layer.select("id", *(c for c in (*mp.BOX, *GEOMETRIES, "dim") if c in layer.columns)))
+    levels.add_vector(lines, "target", strategies or Mean(), columns, measure="length", upward=True, fill_null=None)
     return levels.level("target", columns)

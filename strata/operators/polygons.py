@@ -1,16 +1,10 @@
-"""Polygons beyond boxes: a layer may have a column ``ring``, an array of struct (x, y), the corners of one simple
-polygon in order, closed or not. A null ring stands for the box of the row. Holes and several parts are not supported.
-
-Centroid, area and point-in-polygon are plain columns; the common area of two polygons needs a loop over edges and runs
-in an Arrow function, for rows with a ring only.
+"""Measures of a single simple ring, an array of struct (x, y), as plain columns. Shapes of any kind and all that takes
+two of them are in ``shapes``.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import DoubleType
 
 RING = "array<struct<x:double,y:double>>"
 
@@ -78,53 +72,3 @@ def with_bounds(layer: DataFrame, ring: str = "ring") -> DataFrame:
     low = {c: F.array_min(each(F.col(ring), c)) for c in "xy"}
     high = {c: F.array_max(each(F.col(ring), c)) for c in "xy"}
     return layer.withColumns({"minx": low["x"], "miny": low["y"], "maxx": high["x"], "maxy": high["y"]})
-
-
-def _clip(points: np.ndarray, corners: np.ndarray) -> np.ndarray:
-    """The convex ``points`` cut by the counter-clockwise triangle ``corners``."""
-    for p, q in zip(corners, np.roll(corners, -1, 0)):
-        if not len(points):
-            break
-        side = (q[0] - p[0]) * (points[:, 1] - p[1]) - (q[1] - p[1]) * (points[:, 0] - p[0])
-        out = []
-        for k in range(len(points)):
-            a, b = side[k - 1], side[k]
-            if (a < 0) != (b < 0):
-                out.append(points[k - 1] + (points[k] - points[k - 1]) * (a / (a - b)))
-            if b >= 0:
-                out.append(points[k])
-        points = np.array(out).reshape(-1, 2)
-    return points
-
-
-def _signed(points: np.ndarray) -> float:
-    x, y = points[:, 0], points[:, 1]
-    return float(x @ np.roll(y, -1) - y @ np.roll(x, -1)) / 2
-
-
-def common_area(a: np.ndarray, b: np.ndarray) -> float:
-    """Area of the intersection of two simple polygons: both are signed sums of triangles with one corner in common, and
-    the triangles are convex."""
-    if len(a) < 3 or len(b) < 3:
-        return 0.0
-    apex = a[0]
-    parts = []
-    for ring in (a, b):
-        fans = []
-        for p, q in zip(ring, np.roll(ring, -1, 0)):
-            fan = np.stack([apex, p, q])
-            if (s := _signed(fan)) != 0:
-                fans.append((1 if s > 0 else -1, fan if s > 0 else fan[::-1]))
-        parts.append(fans)
-    total = sum(s * t * _signed(c) for s, u in parts[0] for t, v in parts[1] if len(c := _clip(u, v)) > 2)
-    return abs(total)
-
-
-def _points(ring) -> np.ndarray:
-    points = np.array([(p["x"], p["y"]) for p in ring], np.float64).reshape(-1, 2)
-    return points[:-1] if len(points) > 1 and (points[0] == points[-1]).all() else points
-
-
-@F.pandas_udf(DoubleType())
-def intersection_area(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([common_area(_points(p), _points(q)) for p, q in zip(a, b)], dtype="float64")

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.strategies import finite
 from . import cells as cl
 from . import mapping as mp
-from . import polygons as pg
 
 
 @dataclass(frozen=True)
@@ -74,13 +73,11 @@ def to_polygons(pixels: DataFrame, transform: Affine, polygons: DataFrame, size:
     whole; shares of others are scaled so that nothing is lost; without common area a pixel that meets several is dropped."""
     transform.upright()
     points = pixel_points(pixels, transform, nodata)
-    met = mp._common(mp.pairs(points, polygons, size))
-    if "d_ring" in met.columns:
-        met = met.filter(F.col("d_ring").isNull() | (F.col("common") > 0) | F.exists(pg.box_ring("s_"), lambda p: pg.holds(F.col("d_ring"), p["x"], p["y"])))
-    sums = met.groupBy("s_id").agg(F.count("*").alias("n"), F.sum("common").alias("whole"))
-    shares = met.select("s_id", F.col("d_id").alias("id"), "common").join(sums, "s_id").filter("n = 1 or whole > 0")
-    share = F.when(F.col("n") == 1, 1.0).otherwise(F.col("common") / F.col("whole"))
-    valued = shares.withColumn("share", share).join(points.select(F.col("id").alias("s_id"), "value"), "s_id")
+    met = mp.related(points.select("id", *mp.BOX), polygons, size)
+    sums = met.groupBy("src_id").agg(F.count("*").alias("n"), F.sum("part").alias("whole_part"))
+    shares = met.select("src_id", F.col("dst_id").alias("id"), "part").join(sums, "src_id").filter("n = 1 or whole_part > 0")
+    share = F.when(F.col("n") == 1, 1.0).otherwise(F.col("part") / F.col("whole_part"))
+    valued = shares.withColumn("share", share).join(points.select(F.col("id").alias("src_id"), "value"), "src_id")
     return valued.groupBy("id").agg(F.sum(F.col("value") * F.col("share")).alias("value"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import strategies as st
+from .levels import Levels
 from .operators import mapping as mp
 from .operators import nearest as nr
 from .sources import layers as ly
@@ -105,7 +106,9 @@ def q_down_max(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT min(x0) AS minx, min(y0) AS miny, max(x0 + 4) AS maxx, max(y0 + 4) AS maxy FROM par")
 def q_level_bounds(spark: SparkSession, d: str) -> DataFrame:
-    return ly.parts(spark, d).agg(*((F.min if c.startswith("min") else F.max)(c).alias(c) for c in mp.BOX))
+    levels = Levels(SIDE)
+    levels.add_level("part", ly.parts(spark, d))
+    return levels.bounds("part")
 
 
 _KNN = """, ncen AS (SELECT id, x0 + 4 AS x, y0 + 4 AS y FROM nat), near AS (SELECT c.id AS src_id, n.id AS dst_id, sqrt((c.x - n.x) ** 2 + (c.y - n.y) ** 2) AS distance,

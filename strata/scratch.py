@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -25,3 +25,19 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows behind a checkpoint, so that long chains of steps are not planned and run again and again."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def numbered(df: DataFrame, column: str = "id") -> DataFrame:
+    """Adds whole numbers from 0 on without gaps. They follow from the rows alone (the order of two hashes of all columns), not
+    from how the table is split; equal rows are interchangeable."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    marks = df.withColumns({"_a": F.xxhash64(*df.columns, *(F.col(c).isNull() for c in df.columns)), "_b": F.xxhash64(F.lit(1), *df.columns)})
+    dealt = marks.repartitionByRange(parts, "_a", "_b").sortWithinPartitions("_a", "_b").withColumn("_place", F.monotonically_increasing_id())
+    dealt = cut(dealt.drop("_a", "_b").withColumns({"_part": F.shiftright("_place", 33), "_place": F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))}))
+    before = 0
+    heads = []  # a row for each partition
+    for r in dealt.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect():
+        heads.append((r["_part"], before))
+        before += r["n"]
+    offsets = df.sparkSession.createDataFrame(heads, "_part long, _before long")
+    return dealt.join(F.broadcast(offsets), "_part").withColumn(column, F.col("_before") + F.col("_place")).drop("_part", "_place", "_before")

@@ -50,3 +50,33 @@ def triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = parts(spark, sf_dir)
     corner = lambda dx, dy: F.struct((F.col("minx") + dx).alias("x"), (F.col("miny") + dy).alias("y"))
     return p.withColumn("ring", F.array(corner(0, 0), corner(4, 0), corner(0, 4)))
+
+
+def _points(x, y, offsets):
+    return F.array(*(F.struct((x + dx).alias("x"), (y + dy).alias("y")) for dx, dy in offsets))
+
+
+def bends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line for each part: up the diagonal of its box and down its right side."""
+    p = parts(spark, sf_dir)
+    return p.select("id", "price", _points(F.col("minx"), F.col("miny"), [(0, 0), (4, 4), (4, 0)]).alias("line"))
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part's box with a hole of a quarter of its area; the hole runs the same way round."""
+    p = parts(spark, sf_dir)
+    ring = lambda low, high: _points(F.col("minx"), F.col("miny"), [(low, low), (high, low), (high, high), (low, high)])
+    return p.select("id", "price", F.array(ring(0, 4), ring(1, 3)).alias("rings"))
+
+
+def islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two unit squares in opposite corners of each part's box."""
+    p = parts(spark, sf_dir)
+    square = lambda at: _points(F.col("minx"), F.col("miny"), [(at, at), (at + 1, at), (at + 1, at + 1), (at, at + 1)])
+    return p.select("id", "price", F.array(square(0), square(3)).alias("rings"))
+
+
+def wedges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The upper right half of each nation's box."""
+    n = nations(spark, sf_dir)
+    return n.select("id", _points(F.col("minx"), F.col("miny"), [(8, 0), (8, 8), (0, 8)]).alias("ring"))

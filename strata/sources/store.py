@@ -7,11 +7,13 @@ from pyspark.sql.types import StructType
 
 from ..operators import cells as cl
 from ..operators.mapping import BOX
+from ..operators.shapes import GEOMETRIES, shaped
 
 
 def fingerprint(layer: DataFrame) -> str:
-    """A key of a layer's geometry: count, bounds and an order-free sum over the rows' ids and boxes (and rings)."""
-    names = ["id", *BOX, *(["ring"] if "ring" in layer.columns else [])]
+    """A key of a layer's geometry: count, bounds and an order-free sum over the rows' ids, boxes and shapes."""
+    layer = shaped(layer)
+    names = ["id", *BOX, *(["shape", "dim"] if "shape" in layer.columns else [])]
     mark = F.xxhash64(*names).cast("decimal(38,0)")
     row = layer.agg(F.count("*"), F.min("minx"), F.min("miny"), F.max("maxx"), F.max("maxy"), F.sum(mark), F.bit_xor(F.xxhash64(*names, F.lit(1)))).first()  # one row
     return row_key(*row)
@@ -65,7 +67,7 @@ def write_tiles(cells: DataFrame, folder: str, level: int = 5, rows_per_file: in
 
 def read_columns(spark: SparkSession, paths: str | list[str], columns: list[str]) -> DataFrame:
     """Only the named columns of Parquet files or folders; no path gives an empty table."""
-    if banned := {"geometry", "ring"} & set(columns):
+    if banned := {"geometry", *GEOMETRIES} & set(columns):
         raise ValueError(f"not a plain column: {sorted(banned)[0]}")
     paths = [paths] if isinstance(paths, str) else list(paths)
     if not paths:

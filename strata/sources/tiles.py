@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..levels import Levels
 from ..operators import cells as cl
+from ..operators.shapes import shaped
 
 ZOOMS = (0, 25)
 
@@ -26,7 +27,8 @@ def feature_tiles(layer: DataFrame, zoom: int, buffer: float = 0.02) -> DataFram
 
 def prepared(layer: DataFrame, columns: list[str]) -> DataFrame:
     """Rows with geometry, and the columns, numbers as float."""
-    kept = [c for c in ("id", "minx", "miny", "maxx", "maxy", "ring") if c in layer.columns]
+    layer = shaped(layer)
+    kept = [c for c in ("id", "minx", "miny", "maxx", "maxy", "shape", "dim") if c in layer.columns]
     numbers = {c for c, t in layer.dtypes if t in ("double", "bigint", "int", "decimal")}
     narrow = layer.select(*kept, *(F.col(c).cast("float").alias(c) if c in numbers else F.col(c) for c in columns))
     return narrow.filter("minx is not null and miny is not null and maxx >= minx and maxy >= miny")

@@ -6,6 +6,7 @@ from strata.functions.strategies import Composite, Max, Mean, Min, SmoothMean, S
 from strata.levels import Levels
 from strata.operators import mapping as mp
 from strata.operators import nearest as nr
+from strata.scratch import numbered
 
 BOX = "minx double, miny double, maxx double, maxy double"
 
@@ -16,18 +17,19 @@ def layer(spark, boxes, **columns):
     return spark.createDataFrame(rows, ", ".join(["id string", BOX, *(f"{c} double" for c in columns)]))
 
 
-REGION = {"R1": (0, 0, 1, 1)}
-CITY = {"A": (0, 0, 0.5, 1), "B": (0.5, 0, 1, 1)}
-HOOD = {"n1": (0, 0, 0.5, 0.5), "n2": (0, 0.5, 0.5, 1), "n3": (0.5, 0, 1, 0.5), "n4": (0.5, 0.5, 1, 1)}
+# a county of three towns side by side, each with two blocks above each other and one behind
+COUNTY = {"c": (0, 0, 12, 6)}
+TOWNS = {"west": (0, 0, 4, 6), "mid": (4, 0, 8, 6), "east": (8, 0, 12, 6)}
+BLOCKS = {f"{t}{k}": (x, 2 * k, x + 4, 2 * k + 2) for t, x in (("w", 0), ("m", 4), ("e", 8)) for k in range(3)}
 
 
-def graph(spark, strategy=None, column="pop", region=None, city=None, hood=None):
-    out = Levels(0.5)
+def graph(spark, strategy=None, column="pop", county=None, towns=None, blocks=None):
+    out = Levels(4.0)
     if strategy:
         out.set_strategy(column, strategy, propagate=False)
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
-        for name, boxes, values, parent in (("region", REGION, region, None), ("city", CITY, city, "region"), ("hood", HOOD, hood, "city")):
+        for name, boxes, values, parent in (("county", COUNTY, county, None), ("town", TOWNS, towns, "county"), ("block", BLOCKS, blocks, "town")):
             out.add_level(name, layer(spark, boxes, **({column: values} if values else {})), parent=parent)
     return out
 
@@ -36,70 +38,99 @@ def values(levels, name, column="pop"):
     return {r["id"]: r[column] for r in levels.tables[name].select("id", column).collect()}
 
 
+NINE = [1.0, 5.0, 2.0, 7.0, 0.0, 4.0, 3.0, 3.0, 6.0]
+
+
 def test_up_over_two_levels_and_child_wins(spark):
-    up = graph(spark, Sum(), hood=[1.0, 2.0, 3.0, 4.0])
-    assert values(up, "city") == {"A": 3, "B": 7} and values(up, "region") == {"R1": 10}
-    both = graph(spark, Sum(), region=[1000.0], hood=[10.0, 20.0, 30.0, 40.0])
-    assert values(both, "city") == {"A": 30, "B": 70} and values(both, "region") == {"R1": 1000}
+    up = graph(spark, Sum(), blocks=NINE)
+    assert values(up, "town") == {"west": 8, "mid": 11, "east": 12} and values(up, "county") == {"c": 31}
+    both = graph(spark, Sum(), county=[777.0], blocks=NINE)
+    assert values(both, "town") == {"west": 8, "mid": 11, "east": 12} and values(both, "county") == {"c": 777}
     before = {n: sorted(map(tuple, t.collect())) for n, t in both.tables.items()}
     both.propagate()
     assert before == {n: sorted(map(tuple, t.collect())) for n, t in both.tables.items()}
 
 
 def test_nulls_are_filled_from_parents(spark):
-    half = graph(spark, Sum(), region=[999.0], city=[None, 999.0])
-    assert values(half, "city") == {"A": 499.5, "B": 999}
-    deep = graph(spark, Sum(), region=[1000.0], city=[None, None], hood=[None, 5.0, 6.0, 7.0])
-    assert values(deep, "city") == {"A": 500, "B": 500} and values(deep, "hood") == {"n1": 250, "n2": 5, "n3": 6, "n4": 7}
-    peak = graph(spark, Max(), region=[50.0], city=[None, 10.0])
-    assert values(peak, "city") == {"A": 50, "B": 10}
+    third = graph(spark, Sum(), county=[90.0], towns=[None, 50.0, None])
+    assert values(third, "town") == {"west": 30, "mid": 50, "east": 30}
+    deep = graph(spark, Sum(), county=[90.0], towns=[None, None, None], blocks=[None, *NINE[1:]])
+    assert values(deep, "town") == {"west": 30, "mid": 30, "east": 30} and values(deep, "block") == {**dict(zip(BLOCKS, NINE)), "w0": 10}
+    peak = graph(spark, Max(), county=[40.0], towns=[None, 6.0, None])
+    assert values(peak, "town") == {"west": 40, "mid": 6, "east": 40}
 
 
 def test_down_weights_and_means(spark):
-    even = graph(spark, Sum(), region=[100.0])
-    assert values(even, "city") == {"A": 50, "B": 50} and sum(values(even, "hood").values()) == 100
-    assert values(graph(spark, Mean(), region=[7.0]), "hood") == dict.fromkeys(HOOD, 7)
-    two = Levels(0.5)
-    two.set_strategy("income", Mean(weight="pop"), propagate=False)
-    two.set_strategy("pop", Sum(), propagate=False)
-    two.add_level("city", layer(spark, CITY, income=[10.0, 50.0], pop=[100.0, 300.0]))
-    two.add_level("region", layer(spark, REGION), child="city")
-    assert values(two, "region", "income") == {"R1": 40} and values(two, "region") == {"R1": 400}
+    even = graph(spark, Sum(), county=[90.0])
+    assert values(even, "town") == dict.fromkeys(TOWNS, 30) and sum(values(even, "block").values()) == pytest.approx(90)
+    assert values(graph(spark, Mean(), county=[7.0]), "block") == dict.fromkeys(BLOCKS, 7)
+    two = Levels(4.0)
+    two.set_strategy("rent", Mean(weight="flats"), propagate=False)
+    two.set_strategy("flats", Sum(), propagate=False)
+    two.add_level("town", layer(spark, TOWNS, rent=[8.0, 20.0, 11.0], flats=[50.0, 10.0, 40.0]))
+    two.add_level("county", layer(spark, COUNTY), child="town")
+    assert values(two, "county", "rent") == {"c": 10.4} and values(two, "county", "flats") == {"c": 100}
 
 
 def test_strategies_by_priority_exclusion_and_warnings(spark):
-    out = graph(spark, Sum(), hood=[1.0, 2.0, 3.0, 4.0])
-    out.set_strategy("pop", Max(), level="hood")
-    assert values(out, "city") == {"A": 2, "B": 4} and values(out, "region") == {"R1": 6}
+    out = graph(spark, Sum(), blocks=NINE)
+    out.set_strategy("pop", Max(), level="block")
+    assert values(out, "town") == {"west": 5, "mid": 7, "east": 6} and values(out, "county") == {"c": 18}
     out.exclude_column("pop")
-    assert "pop" not in out.tables["city"].columns and "pop" in out.tables["hood"].columns
+    assert "pop" not in out.tables["town"].columns and "pop" in out.tables["block"].columns
     out.include_column("pop")
-    assert values(out, "city") == {"A": 2, "B": 4}
+    assert values(out, "town") == {"west": 5, "mid": 7, "east": 6}
     with pytest.raises(KeyError):
         out.exclude_column("nothing")
     with pytest.raises(ValueError):
         out.set_strategy()
     with pytest.warns(UserWarning, match="no strategy"):
-        bare = Levels(0.5)
-        bare.add_level("city", layer(spark, CITY, pop=[1.0, 2.0]))
-        bare.add_level("region", layer(spark, REGION), child="city")
-    assert "pop" not in bare.tables["region"].columns
+        bare = Levels(4.0)
+        bare.add_level("town", layer(spark, TOWNS, pop=[1.0, 2.0, 3.0]))
+        bare.add_level("county", layer(spark, COUNTY), child="town")
+    assert "pop" not in bare.tables["county"].columns
     out.set_strategy("pop", upward=Sum(), downward=Max())
-    assert values(out, "region") == {"R1": 6}
+    assert values(out, "county") == {"c": 18}
+
+
+def test_one_strategy_travels_and_replaced_levels_are_forgotten(spark):
+    out = Levels(4.0)
+    out.add_level("county", layer(spark, COUNTY))
+    out.add_level("town", layer(spark, TOWNS), parent="county")
+    out.add_level("block", layer(spark, BLOCKS, pop=NINE), strategies=Sum(), parent="town")
+    assert values(out, "county") == {"c": 31}
+    out.add_level("town", layer(spark, TOWNS, pop=[2.0, 2.0, 2.0]), parent="county", child="block")
+    assert values(out, "town") == dict.fromkeys(TOWNS, 2) and values(out, "county") == {"c": 6}
+    out.add_level("town", layer(spark, TOWNS), parent="county", child="block")  # without the column: derived again
+    assert values(out, "town") == {"west": 8, "mid": 11, "east": 12} and out.native["pop"] == ["block"]
+    out.set_strategy("pop", Max())
+    assert values(out, "county") == {"c": 7}
+
+
+def test_made_ids_do_not_depend_on_the_splits(spark):
+    rows = layer(spark, BLOCKS, pop=NINE).drop("id").union(layer(spark, TOWNS, pop=[1.0, None, 1.0]).drop("id"))
+    once, again = (sorted(map(str, numbered(rows.repartition(n)).collect())) for n in (1, 7))
+    assert once == again and sorted(r["id"] for r in numbered(rows).collect()) == list(range(12))
+    out = Levels(4.0)
+    out.add_level("block", rows)
+    assert out.level("block").count() == 12
 
 
 def test_vector_data_and_direction(spark):
-    city = Levels(0.5)
-    city.add_level("city", layer(spark, CITY))
-    city.add_vector(layer(spark, HOOD, pop=[1.0, 2.0, 3.0, None]), "city", Sum(), "pop")
-    assert values(city, "city") == {"A": 3, "B": 3}
-    city.add_vector(layer(spark, REGION, pop=[90.0]), "city", Sum(), "pop")  # coarser, so it is split
-    assert values(city, "city") == {"A": 45, "B": 45}
-    far = layer(spark, {"x": (5, 5, 6, 6)}, pop=[1.0])
+    city = Levels(4.0)
+    city.add_level("city", layer(spark, TOWNS))
+    city.add_vector(layer(spark, BLOCKS, pop=[*NINE[:8], None]), "city", Sum(), "pop")
+    assert values(city, "city") == {"west": 8, "mid": 11, "east": 6}
+    city.add_vector(layer(spark, COUNTY, pop=[90.0]), "city", Sum(), "pop")  # coarser, so it is split
+    assert values(city, "city") == dict.fromkeys(TOWNS, 30)
+    same = layer(spark, {"w": (1, 1, 1, 1)}, pop=[1.0]).union(layer(spark, {"w": (9, 1, 9, 1)}, pop=[2.0]))  # one id twice
+    city.add_vector(same, "city", Sum(), "pop", upward=True)
+    assert values(city, "city") == {"west": 1, "mid": 0, "east": 2}
+    far = layer(spark, {"x": (15, 8, 16, 9)}, pop=[1.0])
     city.add_vector(far, "city", Sum(), "pop", upward=True)
-    assert values(city, "city") == {"A": 0, "B": 0}
+    assert values(city, "city") == dict.fromkeys(TOWNS, 0)
     city.add_vector(far, "city", Sum(), "pop", upward=True, fill_null=None)
-    assert values(city, "city") == {"A": None, "B": None}
+    assert values(city, "city") == dict.fromkeys(TOWNS)
     city.add_vector(far, "city", Sum(), "pop", upward=True, buffer=5.0)
     assert sum(values(city, "city").values()) == 1
 
@@ -138,8 +169,8 @@ def test_smooth_means_keep_totals_and_skip_nulls(spark):
 
 
 def test_nan_counts_as_null(spark):
-    out = graph(spark, Mean(), hood=[float("nan"), 2.0, float("nan"), float("nan")])
-    assert values(out, "city") == {"A": 2, "B": 2}  # B takes the region's mean
+    out = graph(spark, Mean(), blocks=[float("nan"), 2.0, *[float("nan")] * 7])
+    assert values(out, "town") == dict.fromkeys(TOWNS, 2)  # the others take the county's mean
 
 
 def test_wide_and_small_boxes_meet_once(spark):

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from strata.functions import measures as ms
 from strata.operators import cells as cl
 from strata.operators import lines as ln
-from strata.operators import polygons as pg
 from strata.operators import raster as ra
 from strata.sources import geotiff, store, tiles
 
@@ -96,26 +95,6 @@ def test_samples_and_distance_joins(spark):
     assert {r["id"]: r["v"] for r in level.collect()} == {"p": 4.0, "q": 9.0}
 
 
-def test_common_areas_of_polygons():
-    import numpy as np
-
-    square, notch = np.array([(0, 0), (4, 0), (4, 4), (0, 4)], float), np.array([(0, 0), (4, 0), (4, 4), (2, 1), (0, 4)], float)
-    assert pg.common_area(square, square[::-1]) == pytest.approx(16) and pg.common_area(notch, square) == pytest.approx(10)
-    rng = random.Random(4)
-    for _ in range(20):
-        a, b = (np.array([(math.cos(t) * r + dx, math.sin(t) * r) for t, r in zip(sorted(rng.uniform(0, 6.28) for _ in range(7)), (rng.uniform(1, 3) for _ in range(7)))]) for dx in (0, 1))
-        xs, ys = np.meshgrid(np.linspace(-3, 4, 500), np.linspace(-3, 3, 500))
-
-        def inside(ring):
-            hit = np.zeros(xs.shape, bool)
-            for p, q in zip(ring, np.roll(ring, -1, 0)):
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    hit ^= ((p[1] > ys) != (q[1] > ys)) & (xs < (q[0] - p[0]) * (ys - p[1]) / (q[1] - p[1]) + p[0])
-            return hit
-
-        assert pg.common_area(a, b) == pytest.approx((inside(a) & inside(b)).mean() * 42, abs=0.25)
-
-
 def test_tables_of_mappings_and_tiles(spark, tmp_path):
     layer = boxes(spark, {"a": (0, 0, 1, 1), "b": (1, 0, 2, 1)})
     calls = []
