@@ -14,6 +14,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, functions as F
 
+from .functions import projections as pr
 from .functions import strategies as st
 from .operators import mapping as mp
 from .operators import nearest as nr
@@ -44,10 +45,13 @@ def measured(layer: DataFrame) -> DataFrame:
 
 
 class Levels:
-    """``size`` is the width of the finest grid bins of mappings, near the side of common boxes."""
+    """``size`` is the width of the finest grid bins of mappings, near the side of common boxes. ``crs``: the system of all
+    coordinates; layers of other systems are brought into it, and in degrees (EPSG:4326) area and length are metres. Without
+    one, coordinates are taken as they are."""
 
-    def __init__(self, size: float) -> None:
+    def __init__(self, size: float, crs: str | None = None) -> None:
         self.size = size
+        self.crs = crs
         self.geometry: dict[str, DataFrame] = {}
         self.tables: dict[str, DataFrame] = {}
         self.measure: dict[str, str] = {}
@@ -135,11 +139,11 @@ class Levels:
 
     # --- levels ---------------------------------------------------------------------------------------------------
 
-    def add_level(self, name: str, layer: DataFrame, id_col: str = "id", strategies: st.Strategy | dict[str, st.Strategy] | None = None, parent=None, child=None, measure: str | None = None) -> None:
-        """Adds a layer (bounds or a shape, and attributes) as a level and propagates. ``measure``: area or length; by default
+    def add_level(self, name: str, layer: DataFrame, id_col: str = "id", strategies: st.Strategy | dict[str, st.Strategy] | None = None, parent=None, child=None, measure: str | None = None, crs: str | None = None) -> None:
+        """Adds a layer (bounds or a shape, and attributes) as a level and propagates. ``crs``: the layer's own system. ``measure``: area or length; by default
         area if any row is a polygon. ``strategies``: of each attribute, or one for all of them; they hold at all levels. New
         edges drop derived values, as they may offer better sources; a level of the same name is replaced."""
-        layer = self._prepared(layer, id_col)
+        layer = self._prepared(layer, id_col, crs)
         attributes = [c for c in layer.columns if c not in GEOMETRY]
         if name in self.tables:
             for c in self.native:
@@ -162,13 +166,15 @@ class Levels:
             self._drop_derived(self.columns)
         self.propagate()
 
-    def _prepared(self, layer: DataFrame, id_col: str = "id") -> DataFrame:
+    def _prepared(self, layer: DataFrame, id_col: str = "id", crs: str | None = None) -> DataFrame:
         if id_col != "id":
             layer = layer.withColumnRenamed(id_col, "id")
         elif "id" not in layer.columns:
             layer = numbered(layer)
-        layer = measured(layer)
-        return cut(layer) if "shape" in layer.columns else layer  # so that shapes are measured once
+        if crs and self.crs:
+            layer = pr.reprojected(layer, crs, self.crs)
+        layer = pr.in_metres(measured(layer), self.crs)
+        return cut(layer) if "shape" in layer.columns or self.crs else layer  # so that shapes are measured once
 
     def set_column(self, level: str, values: DataFrame, column: str) -> None:
         """Gives a level native values (id, column) and propagates them."""
@@ -288,14 +294,14 @@ class Levels:
 
     # --- data that is no level ------------------------------------------------------------------------------------
 
-    def add_vector(self, layer: DataFrame, level: str, strategies: st.Strategy | dict[str, st.Strategy], columns: str | Iterable[str] | None = None, measure: str | None = None, upward: bool | None = None, buffer: float = 0.0, fill_null: float | dict[str, float] | None = 0.0, mode: str | None = None) -> None:
+    def add_vector(self, layer: DataFrame, level: str, strategies: st.Strategy | dict[str, st.Strategy], columns: str | Iterable[str] | None = None, measure: str | None = None, upward: bool | None = None, buffer: float = 0.0, fill_null: float | dict[str, float] | None = 0.0, mode: str | None = None, crs: str | None = None) -> None:
         """Brings columns of a layer that is no level into one level, replacing them there, and propagates.
 
         Every row of the layer counts for itself, whatever its ``id``. ``upward``: whether the layer is the finer side; by
         default if its median measure is below the level's. ``buffer`` widens the coarse side's boxes. Values that nothing
         reaches become ``fill_null`` (None: they stay null).
         """
-        layer = self._prepared(layer.drop("id"))
+        layer = self._prepared(layer.drop("id"), crs=crs)
         names = _listed(columns) or [c for c in layer.columns if c not in GEOMETRY]
         plans = {c: strategies[c] if isinstance(strategies, dict) else strategies for c in names if not isinstance(strategies, dict) or c in strategies}
         measure = measure or ("area" if layer.filter("geometry_type = 'Polygon'").take(1) else "length")
@@ -330,10 +336,10 @@ class Levels:
         self._drop_derived(plans)
         self.propagate()
 
-    def add_raster(self, pixels: DataFrame, transform, column: str, level: str, strategy: st.Strategy, upward: bool = True, nodata: float | None = None) -> None:
+    def add_raster(self, pixels: DataFrame, transform, column: str, level: str, strategy: st.Strategy, upward: bool = True, nodata: float | None = None, crs: str | None = None) -> None:
         """Pixel centres (row, col, value) as points into a level."""
         from .operators.raster import pixel_points
 
         points = pixel_points(pixels, transform, nodata).withColumnRenamed("value", column)
         points = points.select("id", F.col("x").alias("minx"), F.col("y").alias("miny"), F.col("x").alias("maxx"), F.col("y").alias("maxy"), column)
-        self.add_vector(points, level, strategy, [column], measure="area", upward=upward)
+        self.add_vector(points, level, strategy, [column], measure="area", upward=upward, crs=crs)

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from ..functions.measures import local_utm
 from ..functions.strategies import clean, weighted_mean
 from ..scratch import cut
 
@@ -109,12 +110,18 @@ def empty_mask(columns: list[str]) -> Column:
     return reduce(lambda a, b: a & b, (clean(c).isNull() for c in columns))
 
 
-def fill_from_nearest(layer: DataFrame, value: str | list[str], weight: str, size: float, most: float | None = None, filled: str = "filled") -> DataFrame:
+def _sides(layer: DataFrame, none: Column, weight: str, crs: str | None) -> tuple[DataFrame, DataFrame]:
+    """Rows to serve and rows that serve; degrees (EPSG:4326) become metres in the UTM zone of the layer's middle."""
+    layer = local_utm(layer) if crs and crs.upper() == "EPSG:4326" else layer
+    return layer.filter(none & (F.col(weight) > 0)), layer.filter(~none)
+
+
+def fill_from_nearest(layer: DataFrame, value: str | list[str], weight: str, size: float, most: float | None = None, filled: str = "filled", crs: str | None = None) -> DataFrame:
     """Rows without any of the values but weight over 0 take all of them from the nearest row that has one; ``filled``
-    marks them."""
+    marks them. With ``crs`` EPSG:4326, ``size`` and ``most`` are metres."""
     values = [value] if isinstance(value, str) else list(value)
     none = empty_mask(values)
-    empty, full = layer.filter(none & (F.col(weight) > 0)), layer.filter(~none)
+    empty, full = _sides(layer, none, weight, crs)
     near = nearest(empty, full, size)
     near = near if most is None else near.filter(F.col("distance") <= most)
     donors = full.select(F.col("id").alias("dst_id"), F.struct(*(clean(c).alias(c) for c in values)).alias("_given"))
@@ -123,10 +130,11 @@ def fill_from_nearest(layer: DataFrame, value: str | list[str], weight: str, siz
     return out.withColumns({c: F.coalesce(clean(c), F.col("_given")[c]) for c in values}).drop("_given")
 
 
-def relocate_weight(layer: DataFrame, value: str | list[str], weight: str, size: float, most: float = 300.0) -> tuple[DataFrame, DataFrame]:
-    """Weight of rows without value goes to the nearest row with one; second, the total beyond ``most`` (one row)."""
+def relocate_weight(layer: DataFrame, value: str | list[str], weight: str, size: float, most: float = 300.0, crs: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Weight of rows without value goes to the nearest row with one; second, the total beyond ``most`` (one row). With ``crs``
+    EPSG:4326, ``size`` and ``most`` are metres."""
     none = empty_mask([value] if isinstance(value, str) else list(value))
-    empty, full = layer.filter(none & (F.col(weight) > 0)), layer.filter(~none)
+    empty, full = _sides(layer, none, weight, crs)
     near = cut(nearest(empty, full, size).filter(F.col("distance") <= most))
     moved = near.join(empty.select(F.col("id").alias("src_id"), F.col(weight).alias("w")), "src_id")
     gains = moved.groupBy(F.col("dst_id").alias("id")).agg(F.sum("w").alias("gain"))
@@ -135,12 +143,12 @@ def relocate_weight(layer: DataFrame, value: str | list[str], weight: str, size:
     return out, lost
 
 
-def handle_empty(layer: DataFrame, value: str | list[str], weight: str, size: float, method: str = "nearest_value", most: float | None = None) -> DataFrame:
+def handle_empty(layer: DataFrame, value: str | list[str], weight: str, size: float, method: str = "nearest_value", most: float | None = None, crs: str | None = None) -> DataFrame:
     """Rows without a value by a method: nearest_value, relocate or ignore."""
     if method == "nearest_value":
-        return fill_from_nearest(layer, value, weight, size, most)
+        return fill_from_nearest(layer, value, weight, size, most, crs=crs)
     if method == "relocate":
-        return relocate_weight(layer, value, weight, size, 300.0 if most is None else most)[0]
+        return relocate_weight(layer, value, weight, size, 300.0 if most is None else most, crs)[0]
     if method == "ignore":
         return layer
     raise ValueError(f"unknown method {method}; one of nearest_value, relocate, ignore")

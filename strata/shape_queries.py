@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .functions import projections as pr
 from .functions import strategies as st
 from .levels import Levels, measured
 from .operators import lines as ln
 from .operators import mapping as mp
-from .queries import SIDE, _r, query
+from .operators import nearest as nr
+from .operators import union as un
+from .queries import _HOLES, SIDE, _holes, _r, query
 from .sources import layers as ly
 
 # --- level graphs -----------------------------------------------------------------------------------------------------
@@ -83,3 +86,32 @@ def q_multi_touches(spark: SparkSession, d: str) -> DataFrame:
 def q_ring_contacts(spark: SparkSession, d: str) -> DataFrame:
     """Rings whose boxes overlap but which stay apart are no pair; those with a corner or side in common are."""
     return mp.map_intersects(ly.triangles(spark, d), ly.wedges(spark, d), SIDE).select("src_id", "dst_id")
+
+
+# --- union, systems, measures -----------------------------------------------------------------------------------------
+
+
+@query(" SELECT n_regionkey AS id, CAST(count(*) * 64 AS DOUBLE) AS area, CAST(16.0 + count(*) * 16 AS DOUBLE) AS length, CAST(1 AS BIGINT) AS parts, CAST(4 AS BIGINT) AS corners FROM nation GROUP BY n_regionkey")
+def q_dissolve(spark: SparkSession, d: str) -> DataFrame:
+    """Nations of a region stand on each other, so each region's union is one box without inner sides."""
+    nations = ly.nations(spark, d).join(spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("region")), "id")
+    whole = measured(un.dissolved(nations, "region", SIDE))
+    straight = F.filter(F.col("shape")[0], lambda p, i: ~p["y"].isin(*(8.0 * k for k in range(1, 5))))
+    return whole.select("id", _r("area"), _r("length"), F.size("shape").cast("long").alias("parts"), F.size(F.array_distinct(straight)).cast("long").alias("corners"))
+
+
+@query(" SELECT id, CAST(16000000.0 AS DOUBLE) AS area, CAST(16000.0 AS DOUBLE) AS length FROM par")
+def q_level_metres(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes given in metres of a UTM zone, kept in degrees and measured in metres again."""
+    graph = Levels(0.1, crs="EPSG:4326")
+    metres = {c: F.col(c) * 1000 + (480_000 if c.endswith("x") else 5_300_000) for c in mp.BOX}
+    graph.add_level("part", ly.parts(spark, d).drop("price").withColumns(metres), crs="EPSG:32631")
+    return graph.geometry["part"].select("id", F.round("area", 1).alias("area"), F.round("length", 3).alias("length"))
+
+
+@query(_HOLES + ", far AS (SELECT id, w FROM pick JOIN (SELECT id AS e, x AS ex, y AS ey FROM cus) a ON pick.id = e JOIN (SELECT id AS f, x AS fx, y AS fy FROM cus) b ON donor = f WHERE rank = 1 AND sqrt((ex - fx) ** 2 + (ey - fy) ** 2) > 0.53) SELECT coalesce(sum(w), 0.0) AS excluded FROM far")
+def q_relocate_metres(spark: SparkSession, d: str) -> DataFrame:
+    """Distances between places in degrees are metres: the customers' map at a kilometre a unit, within 530 metres."""
+    metres = {c: F.col(c) * 1000 + (480_000 if c.endswith("x") else 5_300_000) for c in mp.BOX}
+    layer = pr.reprojected(_holes(spark, d).withColumns(metres), "EPSG:32631", "EPSG:4326")
+    return nr.relocate_weight(layer, "bal", "w", 1000.0, most=530.0, crs="EPSG:4326")[1]
