@@ -19,6 +19,7 @@ from .functions import strategies as st
 from .operators import mapping as mp
 from .operators import nearest as nr
 from .operators import shapes as sh
+from .operators.buffers import buffered
 from .scratch import cut, numbered
 
 #: Columns that describe geometry and stay at their level.
@@ -294,12 +295,12 @@ class Levels:
 
     # --- data that is no level ------------------------------------------------------------------------------------
 
-    def add_vector(self, layer: DataFrame, level: str, strategies: st.Strategy | dict[str, st.Strategy], columns: str | Iterable[str] | None = None, measure: str | None = None, upward: bool | None = None, buffer: float = 0.0, fill_null: float | dict[str, float] | None = 0.0, mode: str | None = None, crs: str | None = None) -> None:
+    def add_vector(self, layer: DataFrame, level: str, strategies: st.Strategy | dict[str, st.Strategy], columns: str | Iterable[str] | None = None, measure: str | None = None, upward: bool | None = None, buffer: float = 0.0, ring_only: bool = False, fill_null: float | dict[str, float] | None = 0.0, mode: str | None = None, crs: str | None = None) -> None:
         """Brings columns of a layer that is no level into one level, replacing them there, and propagates.
 
         Every row of the layer counts for itself, whatever its ``id``. ``upward``: whether the layer is the finer side; by
-        default if its median measure is below the level's. ``buffer`` widens the coarse side's boxes. Values that nothing
-        reaches become ``fill_null`` (None: they stay null).
+        default if its median measure is below the level's. ``buffer`` widens the coarse side by so many metres
+        (units of the system, if it has no degrees), ``ring_only`` to the border of that. Values that nothing reaches become ``fill_null`` (None: they stay null).
         """
         layer = self._prepared(layer.drop("id"), crs=crs)
         names = _listed(columns) or [c for c in layer.columns if c not in GEOMETRY]
@@ -310,10 +311,10 @@ class Levels:
             upward = medians[0] < medians[1]
         level_geometry = self.geometry[level]
         if buffer > 0:
-            if "shape" in (level_geometry if upward else layer).columns:
-                raise ValueError("only boxes can be buffered")
-            wide = {c: F.col(c) + (-buffer if c.startswith("min") else buffer) for c in mp.BOX}
-            layer, level_geometry = (layer, level_geometry.withColumns(wide)) if upward else (layer.withColumns(wide), level_geometry)
+            if upward:
+                level_geometry = buffered(level_geometry, buffer, self.crs, ring_only)
+            else:
+                layer = buffered(layer, buffer, self.crs, ring_only)
         fine, coarse = (layer, level_geometry) if upward else (level_geometry, layer)
         data = layer.select("id", *dict.fromkeys([*plans, *(s.weight for s in plans.values() if s.weight)]))
         out: DataFrame | None = None

@@ -17,10 +17,8 @@ _ENDS = ("x0", "y0", "x1", "y1")
 _SIDES = T.ArrayType(T.StructType([T.StructField(c, T.DoubleType()) for c in _ENDS]))
 
 
-@F.arrow_udf(_SIDES)
-def outline(shape: pa.Array, dim: pa.Array) -> pa.Array:
+def oriented(s: sh.Shapes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The edges of polygons with the inner side on their left."""
-    s = sh.flat(shape, dim)
     flip = np.zeros(len(s.row), bool)
     work, low = np.cumsum(np.diff(s.starts()) ** 2 + 1), 0
     while low < s.rows:  # an even number of edges below (or to the left of) its middle: the inner side is above
@@ -39,8 +37,14 @@ def outline(shape: pa.Array, dim: pa.Array) -> pa.Array:
         at = np.searchsorted(s.row, low)
         flip[at : at + len(p.row)] = rising == odd
         low = high
-    ends = [np.where(flip, b, a) for a, b in ((s.x0, s.x1), (s.y0, s.y1), (s.x1, s.x0), (s.y1, s.y0))]
-    return pa.ListArray.from_arrays(pa.array(s.starts(), pa.int32()), pa.StructArray.from_arrays([pa.array(e) for e in ends], list(_ENDS)))
+    return tuple(np.where(flip, b, a) for a, b in ((s.x0, s.x1), (s.y0, s.y1), (s.x1, s.x0), (s.y1, s.y0)))
+
+
+@F.arrow_udf(_SIDES)
+def outline(shape: pa.Array, dim: pa.Array) -> pa.Array:
+    """The edges of polygons as an array, the inner side on their left."""
+    s = sh.flat(shape, dim)
+    return pa.ListArray.from_arrays(pa.array(s.starts(), pa.int32()), pa.StructArray.from_arrays([pa.array(e) for e in oriented(s)], list(_ENDS)))
 
 
 def _cut_at_corners(edges: DataFrame, size: float) -> DataFrame:
