@@ -21,6 +21,7 @@ from .operators import nearest as nr
 from .operators import shapes as sh
 from .operators.buffers import buffered
 from .scratch import cut, numbered
+from .sources import wkb
 
 #: Columns that describe geometry and stay at their level.
 GEOMETRY = ("id", *mp.BOX, "shape", "dim", "area", "length", "cx", "cy", "geometry_type")
@@ -168,6 +169,8 @@ class Levels:
         self.propagate()
 
     def _prepared(self, layer: DataFrame, id_col: str = "id", crs: str | None = None) -> DataFrame:
+        if dict(layer.dtypes).get("geometry") == "binary":
+            layer = wkb.decoded(layer)
         if id_col != "id":
             layer = layer.withColumnRenamed(id_col, "id")
         elif "id" not in layer.columns:

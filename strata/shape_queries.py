@@ -7,12 +7,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .functions import projections as pr
 from .functions import strategies as st
 from .levels import Levels, measured
+from .operators import buffers as bf
 from .operators import lines as ln
 from .operators import mapping as mp
 from .operators import nearest as nr
+from .operators import shapes as sh
 from .operators import union as un
 from .queries import _HOLES, SIDE, _holes, _r, query
 from .sources import layers as ly
+from .sources import wkb
 
 # --- level graphs -----------------------------------------------------------------------------------------------------
 
@@ -115,3 +118,24 @@ def q_relocate_metres(spark: SparkSession, d: str) -> DataFrame:
     metres = {c: F.col(c) * 1000 + (480_000 if c.endswith("x") else 5_300_000) for c in mp.BOX}
     layer = pr.reprojected(_holes(spark, d).withColumns(metres), "EPSG:32631", "EPSG:4326")
     return nr.relocate_weight(layer, "bal", "w", 1000.0, most=530.0, crs="EPSG:4326")[1]
+
+
+@query(f" SELECT n.id, round(sum(price * ({_OVER.format(a=0, b=4)} - {_OVER.format(a=1, b=3)}) / 12.0), 6) AS price {_CLOSE} GROUP BY n.id")
+def q_wkb_level(spark: SparkSession, d: str) -> DataFrame:
+    """Polygons with holes from a binary column."""
+    graph = Levels(SIDE)
+    graph.add_level("nation", wkb.encoded(ly.nations(spark, d)).select("id", "geometry"))
+    graph.add_level("part", wkb.encoded(ly.frames(spark, d)).select("id", "price", "geometry"), strategies=st.Sum(geoweighted=True), child=None, parent="nation")
+    return graph.level("nation", "price").select("id", F.round("price", 6).alias("price"))
+
+
+@query(" SELECT id, x0 + 0.5 AS px, y0 + 2.0 AS py FROM par")
+def q_representative(spark: SparkSession, d: str) -> DataFrame:
+    """A point inside each frame, beside its hole: the middle of the first of the longest upright stretches."""
+    return sh.shaped(ly.frames(spark, d)).select("id", sh.measures("shape", "dim").alias("m")).select("id", _r("m.px").alias("px"), _r("m.py").alias("py"))
+
+
+@query(" SELECT n_nationkey AS id, round(64 + 4 * 8 * 1.5 + 8 * 1.5 * 1.5 * sin(pi() / 8), 6) AS area, round(32 + 32 * 1.5 * sin(pi() / 16), 6) AS length FROM nation")
+def q_buffer(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes widened by 1.5 with round corners of four sides: area and length in closed form."""
+    return measured(bf.buffered(ly.nations(spark, d), 1.5, resolution=4)).select("id", F.round("area", 6).alias("area"), F.round("length", 6).alias("length"))
