@@ -11,10 +11,12 @@ from .operators import buffers as bf
 from .operators import lines as ln
 from .operators import mapping as mp
 from .operators import nearest as nr
+from .operators import polygons as pg
 from .operators import shapes as sh
 from .operators import union as un
 from .queries import _HOLES, SIDE, _holes, _r, query
 from .sources import layers as ly
+from .sources import vector_tiles as vt
 from .sources import wkb
 
 # --- level graphs -----------------------------------------------------------------------------------------------------
@@ -139,3 +141,17 @@ def q_representative(spark: SparkSession, d: str) -> DataFrame:
 def q_buffer(spark: SparkSession, d: str) -> DataFrame:
     """Boxes widened by 1.5 with round corners of four sides: area and length in closed form."""
     return measured(bf.buffered(ly.nations(spark, d), 1.5, resolution=4)).select("id", F.round("area", 6).alias("area"), F.round("length", 6).alias("length"))
+
+
+# --- tiles ------------------------------------------------------------------------------------------------------------
+
+_WY = "((1 - asinh(tan(radians({y}))) / pi()) / 2 * 64)"
+
+
+@query(f", w AS (SELECT id, (x0 + 180) / 360 * 64 AS xa, (x0 + 184) / 360 * 64 AS xb, {_WY.format(y='(y0 + 4)')} AS ya, {_WY.format(y='y0')} AS yb FROM par), t AS (SELECT *, unnest(range(CAST(floor(xa) AS BIGINT), CAST(floor(xb) AS BIGINT) + 1)) AS x FROM w), u AS (SELECT *, unnest(range(CAST(floor(ya) AS BIGINT), CAST(floor(yb) AS BIGINT) + 1)) AS y FROM t), c AS (SELECT id, x, y, least(xb, x + 1) - greatest(xa, x) AS w, least(yb, y + 1) - greatest(ya, y) AS h FROM u) SELECT id, CAST(6 AS INTEGER) AS z, x, y, round(w * h, 7) AS area FROM c WHERE round(w * 4096) >= 2 AND round(h * 4096) >= 2")
+def q_tile_clip(spark: SparkSession, d: str) -> DataFrame:
+    """The parts' boxes cut by the tiles of zoom 6: the area of each piece in tiles."""
+    found = vt.tile_features(ly.parts(spark, d), 6, buffer=0.0).withColumn("m", sh.measures("part", F.lit(2)))
+    sides = [F.array_max(pg.each(F.col("part")[0], c)) - F.array_min(pg.each(F.col("part")[0], c)) for c in "xy"]
+    kept = found.filter((F.round(sides[0] * 4096) >= 2) & (F.round(sides[1] * 4096) >= 2))
+    return kept.select("id", "z", "x", "y", _r("m.area").alias("area"))
