@@ -1,7 +1,5 @@
 import math
 import random
-import struct
-import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +8,7 @@ from strata.functions import measures as ms
 from strata.operators import cells as cl
 from strata.operators import lines as ln
 from strata.operators import raster as ra
-from strata.sources import geotiff, store, tiles
+from strata.sources import store, tiles
 
 BOX = "minx double, miny double, maxx double, maxy double"
 
@@ -128,33 +126,6 @@ def test_zooms():
         tiles.zoom_ranges({})
 
 
-def test_geotiff(spark, tmp_path):
-    array = [[float(10 * r + c) for c in range(4)] for r in range(5)]
-    array[2][2] = -1.0
-    strips = [zlib.compress(b"".join(struct.pack("<4f", *row) for row in array[k : k + 2])) for k in (0, 2, 4)]
-    tags = [(256, 3, (4,)), (257, 3, (5,)), (258, 3, (32,)), (259, 3, (8,)), (273, 4, None), (277, 3, (1,)), (278, 3, (2,)), (279, 4, tuple(map(len, strips))), (339, 3, (3,)), (33550, 12, (0.5, 0.5, 0.0)), (33922, 12, (0.0, 0.0, 0.0, 10.0, 50.0, 0.0)), (42113, 2, b"-1\0")]
-    body, at = b"".join(strips), 8
-    starts = [8 + sum(map(len, strips[:k])) for k in range(3)]
-    extra, entries, place = b"", b"", 8 + len(body) + 2 + 12 * len(tags) + 4
-    for tag, kind, value in tags:
-        value = tuple(starts) if value is None else value
-        raw = value if kind == 2 else struct.pack(f"<{len(value)}{geotiff.FIELDS[kind]}", *value)
-        if len(raw) > 4:
-            entries += struct.pack("<HHII", tag, kind, len(value), place + len(extra))
-            extra += raw
-        else:
-            entries += struct.pack("<HHI", tag, kind, len(value)) + raw.ljust(4, b"\0")
-    data = b"II" + struct.pack("<HI", 42, 8 + len(body)) + body + struct.pack("<H", len(tags)) + entries + b"\0" * 4 + extra
-    (tmp_path / "a.tif").write_bytes(data)
-    got = {(r["row"], r["col"]): r["value"] for r in geotiff.read(spark, str(tmp_path / "a.tif")).collect()}
-    assert got == {(r, c): (None if v < 0 else v) for r, row in enumerate(array) for c, v in enumerate(row)}
-    assert {r["row"] for r in geotiff.read(spark, str(tmp_path / "a.tif"), rows=(1, 3)).collect()} == {1, 2}
-    t = geotiff.transforms(spark, str(tmp_path / "a.tif")).first()
-    assert (t["height"], t["width"], t["a"], t["c"], t["e"], t["f"]) == (5, 4, 0.5, 10.0, -0.5, 50.0)
-    with pytest.raises(ValueError):
-        geotiff.header(b"no tiff at all")
-
-
 def test_metres(spark):
     rows = spark.createDataFrame([(-79.387139, 43.642567), (3.0, 0.0)], "x double, y double")
     got = [tuple(r) for r in rows.select(*ms.utm(F.col("x"), F.col("y"), 17), *ms.utm(F.col("x"), F.col("y"), 31)).collect()]
