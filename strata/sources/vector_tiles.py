@@ -60,9 +60,9 @@ def clipped(x: np.ndarray, y: np.ndarray, part: np.ndarray, row: np.ndarray, dim
 
 
 def _varints(values: np.ndarray) -> np.ndarray:
-    """Bytes of whole numbers below 2 ** 35, seven bits each, and how many each takes."""
+    """Bytes of whole numbers below 2 ** 63, seven bits each, and how many each takes."""
     values = values.astype(np.uint64)
-    size = 1 + sum((values >= np.uint64(1 << 7 * k)).astype(np.int64) for k in range(1, 5))
+    size = 1 + sum((values >= np.uint64(1 << 7 * k)).astype(np.int64) for k in range(1, 9))
     at, k = np.repeat(np.arange(len(values)), size), sh._ramp(size)
     seven = (values[at] >> (np.uint64(7) * k.astype(np.uint64))) & np.uint64(127)
     return np.where(k < size[at] - 1, seven | np.uint64(128), seven).astype(np.uint8), size
