@@ -107,12 +107,14 @@ def q_vector_inject(spark: SparkSession, d: str) -> DataFrame:
     return graph.level("nation", "price").select("id", _r("price"))
 
 
-@query(" SELECT CAST(16.0 AS DOUBLE) AS src_median, CAST(64.0 AS DOUBLE) AS dst_median, true AS upward")
+@query(_REG + ", k AS (SELECT reg, count(*) AS n FROM nr GROUP BY reg), g AS (SELECT dst_id AS id, sum(price * weight) AS price FROM ovl JOIN par ON src_id = id GROUP BY dst_id) SELECT nr.id, round(coalesce(price, 0), 7) AS price, round((reg * 1000.0 + 500) / k.n, 7) AS grant FROM nr JOIN k USING (reg) LEFT JOIN g USING (id)")
 def q_median_direction(spark: SparkSession, d: str) -> DataFrame:
-    from .levels import measured
-
-    one, two = (measured(x).agg(F.median("area").alias(n)) for x, n in ((ly.parts(spark, d), "src_median"), (ly.nations(spark, d), "dst_median")))
-    return one.crossJoin(F.broadcast(two)).withColumn("upward", F.col("src_median") < F.col("dst_median"))
+    """By the medians of their areas parts are finer than nations and regions are coarser: one goes up, the other down."""
+    graph = Levels(SIDE)
+    graph.add_level("nation", ly.nations(spark, d))
+    graph.add_vector(ly.parts(spark, d), "nation", st.Sum(geoweighted=True), "price")
+    graph.add_vector(ly.regions(spark, d).withColumn("grant", F.col("id") * 1000.0 + 500), "nation", st.Sum(), "grant")
+    return graph.level("nation", ["price", "grant"]).select("id", _r("price"), _r("grant"))
 
 
 @query(_HOLES + ", seg AS (SELECT c_custkey AS id, c_mktsegment AS segment FROM customer) SELECT segment, round(sum(bal * w) / sum(CASE WHEN bal IS NOT NULL THEN w END), 7) AS bal FROM h JOIN seg USING (id) GROUP BY segment")
@@ -159,12 +161,12 @@ def q_edges_distance(spark: SparkSession, d: str) -> DataFrame:
     return ln.edges_to_cells(ly.segments(spark, d), _cell_centres(spark, d), ["price"], edge=0.25, margin=0.25, fallback=None)
 
 
-@query(_SAMPLES + ", d AS (SELECT cc.id, price, sqrt((x - cx) ** 2 + (y - cy) ** 2) AS r FROM cc JOIN smp ON abs(x - cx) <= 10 AND abs(y - cy) <= 10), hit AS (SELECT id, max(price) AS price FROM d WHERE r <= 0.02 GROUP BY id), near AS (SELECT id, min(r) AS r FROM d GROUP BY id HAVING min(r) <= 5) SELECT id, true AS direct FROM hit UNION ALL SELECT id, false FROM near WHERE id NOT IN (SELECT id FROM hit)")
+@query(_SAMPLES + ", spot AS (SELECT x, y, min(price) AS price FROM smp GROUP BY x, y), d AS (SELECT cc.id, x, y, price, sqrt((x - cx) ** 2 + (y - cy) ** 2) AS r FROM cc JOIN spot ON abs(x - cx) <= 10 AND abs(y - cy) <= 10), hit AS (SELECT cc.id, max(price) AS price FROM cc JOIN smp ON sqrt((x - cx) ** 2 + (y - cy) ** 2) <= 0.02 GROUP BY cc.id), near AS (SELECT id, price FROM d WHERE r <= 5 QUALIFY row_number() OVER (PARTITION BY id ORDER BY r, x, y) = 1) SELECT id, price, true AS direct FROM hit UNION ALL SELECT id, price, false FROM near WHERE id NOT IN (SELECT id FROM hit)")
 def q_edges_fallback(spark: SparkSession, d: str) -> DataFrame:
     lines, centres = ly.segments(spark, d), _cell_centres(spark, d)
     found = ln.edges_to_cells(lines, centres, ["price"], edge=0.01, margin=0.0, fallback=500.0)
     direct = ln.edges_to_cells(lines, centres, ["price"], edge=0.01, margin=0.0, fallback=None).select("id", F.lit(True).alias("direct"))
-    return found.select("id").join(direct, "id", "left").select("id", F.coalesce("direct", F.lit(False)).alias("direct"))
+    return found.join(direct, "id", "left").select("id", "price", F.coalesce("direct", F.lit(False)).alias("direct"))
 
 
 @query(_SAMPLES + " SELECT DISTINCT smp.id AS src_id, cc.id AS dst_id FROM cc JOIN smp ON sqrt((x - cx) ** 2 + (y - cy) ** 2) <= 0.25")
@@ -178,12 +180,12 @@ _PIX = ", pix AS (SELECT l_partkey % 40 AS r, l_suppkey % 40 AS c, sum(l_quantit
 _MEET = ", met AS (SELECT r, c, v, p.id, (least(c + 1, p.x0 + 4) - greatest(c, p.x0)) * (least(40 - r, p.y0 + 4) - greatest(39 - r, p.y0)) AS a FROM pix JOIN par p ON c <= p.x0 + 4 AND c + 1 >= p.x0 AND 39 - r <= p.y0 + 4 AND 40 - r >= p.y0), tot AS (SELECT r, c, count(*) AS n, sum(a) AS s FROM met GROUP BY r, c)"
 
 
-@query(_PIX + " SELECT n.id, round(sum(v), 5) AS value FROM (SELECT r, c, v, min(n.id) AS id FROM pix JOIN nat n ON c + 0.5 BETWEEN n.x0 AND n.x0 + 8 AND 39.5 - r BETWEEN n.y0 AND n.y0 + 8 GROUP BY ALL) n GROUP BY n.id")
+@query(_PIX + ", g AS (SELECT id, sum(v) AS v FROM (SELECT r, c, v, min(n.id) AS id FROM pix JOIN nat n ON c + 0.5 BETWEEN n.x0 AND n.x0 + 8 AND 39.5 - r BETWEEN n.y0 AND n.y0 + 8 GROUP BY ALL) GROUP BY id) SELECT nat.id, round(coalesce(v, 0), 5) AS value FROM nat LEFT JOIN g USING (id)")
 def q_raster_points(spark: SparkSession, d: str) -> DataFrame:
     graph = Levels(SIDE)
     graph.add_level("nation", ly.nations(spark, d))
     graph.add_raster(ly.pixels(spark, d), GRID, "value", "nation", st.Sum())
-    return graph.level("nation", "value").select("id", F.round("value", 5).alias("value")).filter("value <> 0")
+    return graph.level("nation", "value").select("id", F.round("value", 5).alias("value"))
 
 
 @query(_PIX + _MEET + " SELECT id, round(sum(v * CASE WHEN n = 1 THEN 1.0 ELSE a / s END), 4) AS value FROM met JOIN tot USING (r, c) WHERE n = 1 OR s > 0 GROUP BY id")

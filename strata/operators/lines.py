@@ -59,7 +59,7 @@ def edges_to_cells(lines: DataFrame, centres: DataFrame, columns: list[str], edg
         return hits
     lacking = centres.join(hits.select("id"), "id", "left_anti").select("id", *(F.col(c).alias(b) for b, c in (("minx", "x"), ("miny", "y"), ("maxx", "x"), ("maxy", "y"))))
     # samples at one place count as the one with the smallest values, so that the choice is the same on each run
-    given = samples.groupBy("x", "y").agg(F.min(F.struct(*columns)).alias("v")).withColumn("id", F.concat_ws(":", "x", "y"))
+    given = samples.groupBy("x", "y").agg(F.min(F.struct(*columns)).alias("v")).withColumn("id", F.struct("x", "y"))
     spots = given.select("id", "v", *(F.col(c).alias(b) for b, c in (("minx", "x"), ("miny", "y"), ("maxx", "x"), ("maxy", "y"))))
     near = nr.nearest(lacking, spots, fallback * edge).filter(F.col("distance") <= fallback * edge)
     return hits.unionByName(near.join(spots.select(F.col("id").alias("dst_id"), "v"), "dst_id").select(F.col("src_id").alias("id"), *(F.col("v")[c].alias(c) for c in columns)))

@@ -27,11 +27,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def numbered(df: DataFrame, column: str = "id") -> DataFrame:
-    """Adds whole numbers from 0 on without gaps. They follow from the rows alone (the order of two hashes of all columns), not
-    from how the table is split; equal rows are interchangeable."""
+def numbered(df: DataFrame, column: str = "id", by: str | None = None) -> DataFrame:
+    """Adds whole numbers from 0 on without gaps, in the order of the column ``by``. Without one they follow from the rows alone
+    (the order of two hashes of all columns), not from how the table is split; equal rows are interchangeable."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    marks = df.withColumns({"_a": F.xxhash64(*df.columns, *(F.col(c).isNull() for c in df.columns)), "_b": F.xxhash64(F.lit(1), *df.columns)})
+    one = F.col(by) if by else F.xxhash64(*df.columns, *(F.col(c).isNull() for c in df.columns))
+    marks = df.withColumns({"_a": one, "_b": F.xxhash64(F.lit(1), *df.columns)})
     dealt = marks.repartitionByRange(parts, "_a", "_b").sortWithinPartitions("_a", "_b").withColumn("_place", F.monotonically_increasing_id())
     dealt = cut(dealt.drop("_a", "_b").withColumns({"_part": F.shiftright("_place", 33), "_place": F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))}))
     before = 0

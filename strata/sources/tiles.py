@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..levels import Levels
 from ..operators import cells as cl
 from ..operators.shapes import shaped
+from ..scratch import numbered
 
 ZOOMS = (0, 25)
 
@@ -62,24 +63,21 @@ def zoom_ranges(medians: dict[str, float], low: int = ZOOMS[0], high: int = ZOOM
     names = sorted(medians, key=lambda n: -medians[n])
     if not names:
         raise ValueError("no levels")
-    if len(names) == 1:
-        return {names[0]: (low, high)}
-    logs = [math.log10(max(medians[n], 1e-12)) for n in names]
-    inner = [(a + b) / 2 for a, b in zip(logs, logs[1:])]
-    first, last = 2 * logs[0] - inner[0], 2 * logs[-1] - inner[-1]
-    count = len(names)
-    if first > last:
-        starts = [low, *(round(low + (first - e) / (first - last) * (high - low)) for e in inner), high]
-        for i in range(1, count + 1):
-            starts[i] = max(starts[i], starts[i - 1] + 1)
-        ends = [*starts[1:-1], high]
-        out, begin = {}, low
-        for name, end in zip(names, ends):
-            out[name] = (begin, max(begin, end))
-            begin = out[name][1] + 1
-        return out
-    starts = [round(low + (high - low) * i / count) for i in range(count)]  # equal sizes share evenly
-    return {n: (s, e) for n, s, e in zip(names, starts, [*(s - 1 for s in starts[1:]), high])}
+    count, logs = len(names), [math.log10(max(medians[n], 1e-12)) for n in names]
+    middles = [(a + b) / 2 for a, b in zip(logs, logs[1:])]
+    if count > 1 and logs[0] > logs[-1]:
+        # the scale reaches as far beyond the outer sizes as the outer borders lie within
+        top = 2 * logs[0] - middles[0]
+        reach = top - (2 * logs[-1] - middles[-1])
+        wished = [round(low + (top - m) / reach * (high - low)) for m in middles]
+        # a level has one zoom at least: borders are raised to a running maximum that grows by one a level
+        borders = [max(b - k for k, b in enumerate(wished[: i + 1])) + i for i in range(count - 1)]
+        borders = [max(b, low + 1 + i) for i, b in enumerate(borders)]
+        firsts = [low, *(b + 1 for b in borders)]
+    else:  # equal sizes share evenly
+        firsts = [round(low + (high - low) * i / count) for i in range(count)]
+    lasts = [f - 1 for f in firsts[1:]] + [max(high, firsts[-1])]
+    return dict(zip(names, zip(firsts, lasts)))
 
 
 def median_sizes(levels: Levels, names: list[str] | None = None) -> dict[str, float]:
@@ -101,6 +99,5 @@ def domain(layer: DataFrame, column: str) -> DataFrame:
 def categories(layer: DataFrame, column: str, palette: list[str]) -> DataFrame:
     """Different values of a column in order, each with a colour; the palette repeats."""
     found = layer.select(F.col(column).cast("string").alias("value")).filter("value is not null").distinct()
-    place = F.row_number().over(Window.orderBy("value")) - 1  # of few different values
     colours = F.array(*(F.lit(c) for c in palette))
-    return found.select("value", F.element_at(colours, (place % len(palette) + 1).cast("int")).alias("colour"))
+    return numbered(found, "place", by="value").select("value", F.element_at(colours, (F.col("place") % len(palette) + 1).cast("int")).alias("colour"))
