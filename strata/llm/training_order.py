@@ -9,9 +9,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import files, portions, scratch, stored
+from .common import discard, files, portions, scratch, stored
 from .tokens import default_path, encoder
 
 
@@ -36,6 +36,11 @@ def permute(index: np.ndarray, size: int, key: int, rounds: int = 4) -> np.ndarr
     return out.astype(np.int64)
 
 
+def mark() -> Column:
+    """The number by which documents are ordered before the permutation."""
+    return F.xxhash64("doc_id", "text")
+
+
 def _name(folder: str, shard: int) -> str:
     return f"{folder}/shard-{shard:08d}.bin"
 
@@ -43,9 +48,14 @@ def _name(folder: str, shard: int) -> str:
 def write_shards(docs: DataFrame, length: int = 512, per_shard: int = 4096, key: int = 2024, path: str | None = None, end_id: int = 1) -> tuple[str, DataFrame]:
     """The folder of the shard files, and their index (slot, doc_id, chunk, n_tokens), stored as a table.
 
-    A document (null text: empty) is its ids and the end id, cut every ``length``. Each task writes one shard under
-    another name and renames it when it is whole, so a repeated task does no harm. Slot s is in file s // per_shard at
-    byte (s % per_shard) * 2 * length: ``length`` 16-bit ids, padded with 0.
+    A document (null text: empty) is its ids and the end id, cut every ``length``. Sequences are numbered in the order of
+    ``mark`` and doc_id, so their slots follow from the rows and the key, not from how the table is split; rows that are
+    alike are interchangeable. Each task writes one shard under another name and renames it when it is whole, so a
+    repeated task does no harm. Slot s is in file s // per_shard at byte (s % per_shard) * 2 * length: ``length`` 16-bit
+    ids, padded with 0.
+
+    Every row counts, null and repeated ids and repeated rows included; texts are never cut short; an empty table gives no
+    shards; other columns are ignored. Vocabularies of more than 65,536 ids raise.
     """
     spark = docs.sparkSession
     where = path or default_path()
@@ -56,6 +66,8 @@ def write_shards(docs: DataFrame, length: int = 512, per_shard: int = 4096, key:
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(where)
+        if coder.tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError("ids of this vocabulary do not fit 16 bits")
         for part in portions(batches, "text"):
             rows = []
             for doc, found in zip(part.column(0).to_pylist(), coder.encode(part.column(1)), strict=True):
@@ -66,7 +78,9 @@ def write_shards(docs: DataFrame, length: int = 512, per_shard: int = 4096, key:
             kinds = (part.schema.field(0).type, pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "chunk", "n_tokens", "ids"])
 
-    pieces = docs.select("doc_id", "text").mapInArrow(chunks, f"doc_id {id_type}, chunk long, n_tokens long, ids binary")
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ordered = docs.select("doc_id", "text", mark().alias("mark")).repartitionByRange(parts, "mark", "doc_id").sortWithinPartitions("mark", "doc_id")
+    pieces = ordered.select("doc_id", "text").mapInArrow(chunks, f"doc_id {id_type}, chunk long, n_tokens long, ids binary")
     made = stored(pieces.withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "order-records")
     counts = made.groupBy("part").agg(F.count("*").alias("n"))  # a row for each partition
     heads = {r["part"]: (int(r["n"]), int(r["before"])) for r in counts.select("part", "n", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before")).collect()}
@@ -113,8 +127,10 @@ def write_shards(docs: DataFrame, length: int = 512, per_shard: int = 4096, key:
     placed = made.mapInArrow(slots, f"slot long, doc_id {id_type}, chunk long, n_tokens long, ids binary")
     shards = max(1, -(-total // per_shard))
     # slots are dense, so the bounds of the ranges are known and need no sampling pass
-    ordered = placed.repartitionById(shards, F.floor(F.col("slot") / per_shard).cast("int")).sortWithinPartitions("slot")
-    return folder, stored(ordered.mapInArrow(write, f"slot long, doc_id {id_type}, chunk long, n_tokens long"), "order-index")
+    dealt = placed.repartitionById(shards, F.floor(F.col("slot") / per_shard).cast("int")).sortWithinPartitions("slot")
+    index = stored(dealt.mapInArrow(write, f"slot long, doc_id {id_type}, chunk long, n_tokens long"), "order-index")
+    discard(made)
+    return folder, index
 
 
 def read_slots(folder: str, index: DataFrame, length: int = 512, per_shard: int = 4096) -> DataFrame:

@@ -167,6 +167,19 @@ def test_toxicity_sees_through_gaps_and_doubled_letters(spark):
     assert [t for i, t in enumerate(hidden) if not got[1000 + i]] == [] and [t for i, t in enumerate(fine, len(hidden)) if got[1000 + i]] == []
 
 
+def test_slots_follow_from_the_rows_alone(spark, docs):
+    rows = docs.union(docs.filter("doc_id in (5, 7)")).union(docs.filter("doc_id = 9").withColumn("doc_id", F.lit(None).cast("long")))
+    slots = lambda df: sorted((r["slot"], str(r["doc_id"]), r["chunk"], r["n_tokens"]) for r in training_order.write_shards(df, length=32, per_shard=8)[1].collect())
+    once = slots(rows.repartition(1))
+    assert slots(rows.repartition(7)) == once and len(once) > 40
+    # a plain numbering, permuted
+    coder = tokens.encoder(tokens.default_path())
+    order = sorted(rows.select(training_order.mark().alias("m"), "doc_id", "text").collect(), key=lambda r: (r["m"], r["doc_id"] is not None, r["doc_id"]))
+    plain = [(str(r["doc_id"]), k, min(32, n - 32 * k)) for r in order for n in [len(coder.ids(r["text"] or "")) + 1] for k in range(-(-n // 32))]
+    places = training_order.permute(np.arange(len(plain)), len(plain), 2024).tolist()
+    assert once == sorted((s, *row) for s, row in zip(places, plain))
+
+
 def test_shards_are_written_and_resumed(docs, empty):
     from pathlib import Path
 
