@@ -8,10 +8,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import discard, files, portions, scratch, stored
+from .common import discard, files, portions, remove, scratch, stored
 from .tokens import default_path, encoder
 
 
@@ -70,28 +71,56 @@ def write_shards(docs: DataFrame, length: int = 512, per_shard: int = 4096, key:
             raise ValueError("ids of this vocabulary do not fit 16 bits")
         for part in portions(batches, "text"):
             rows = []
-            for doc, found in zip(part.column(0).to_pylist(), coder.encode(part.column(1)), strict=True):
+            for doc, at, found in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), coder.encode(part.column(1)), strict=True):
                 ids = np.append(found, end_id).astype("<u2")
-                for k in range(0, len(ids), length):
-                    piece = ids[k : k + length]
-                    rows.append((doc, k // length, len(piece), piece.tobytes()))
-            kinds = (part.schema.field(0).type, pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "chunk", "n_tokens", "ids"])
-
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = docs.select("doc_id", "text", mark().alias("mark")).repartitionByRange(parts, "mark", "doc_id").sortWithinPartitions("mark", "doc_id")
-    pieces = ordered.select("doc_id", "text").mapInArrow(chunks, f"doc_id {id_type}, chunk long, n_tokens long, ids binary")
+                count = -(-len(ids) // length)
+                for k in range(count):
+                    piece = ids[k * length : (k + 1) * length]
+                    rows.append((doc, k, len(piece), piece.tobytes(), at, count))
+            kinds = (part.schema.field(0).type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "chunk", "n_tokens", "ids", "mark", "chunks"])
+
+    pieces = docs.select("doc_id", "text", mark().alias("mark")).mapInArrow(chunks, f"doc_id {id_type}, chunk long, n_tokens long, ids binary, mark long, chunks long")
     made = stored(pieces.withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "order-records")
-    counts = made.groupBy("part").agg(F.count("*").alias("n"))  # a row for each partition
-    heads = {r["part"]: (int(r["n"]), int(r["before"])) for r in counts.select("part", "n", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before")).collect()}
-    total = sum(n for n, _ in heads.values())
-    base = {p: b for p, (_, b) in heads.items()}
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sequences that stand before each document in its range."""
+        before = 0
+        for batch in batches:
+            n = batch.column(2).to_numpy()
+            sums = np.cumsum(n) + before
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums - n)], ["part", "place", "chunks", "range", "before"])
+            before = int(sums[-1]) if len(sums) else before
+
+    # documents are ordered without their records, a few numbers each; the numbers go back to where the records are
+    order, parts = ["mark", "doc_id"], max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    heads = made.filter("chunk = 0").select(*order, "part", "place", "chunks")
+    ranges = heads.repartitionByRange(parts, *order).sortWithinPartitions(*order, "part", "place").withColumn("range", F.spark_partition_id())
+    laid = stored(ranges.select("part", "place", "chunks", "range").mapInArrow(summed, "part int, place long, chunks long, range int, before long"), "order-places")
+    total, base = 0, {}  # a row for each range
+    for r in laid.groupBy("range").agg(F.sum("chunks").alias("n")).orderBy("range").collect():
+        base[r["range"]] = total
+        total += int(r["n"])
+    rows = spark.createDataFrame(list(base.items()), "range int, head long")
+    places = f"{scratch(spark)}/order-numbers-{uuid.uuid4().hex}"
+    laid.join(F.broadcast(rows), "range").select("part", "place", (F.col("head") + F.col("before")).alias("number")).repartition("part").write.partitionBy("part").parquet(places)
+    discard(laid)
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Slots of the records: each part of the records has a folder with the numbers of its documents."""
+        store, inside = files(places)
+        known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            part, place = batch.column(4).to_pylist(), batch.column(5).to_numpy()
-            index = np.array([base[p] for p in part], np.int64) + place
-            yield pa.RecordBatch.from_arrays([pa.array(permute(index, total, key)), *batch.columns[:4]], ["slot", "doc_id", "chunk", "n_tokens", "ids"])
+            part, first = batch.column(6).to_numpy(), batch.column(7).to_numpy() - batch.column(1).to_numpy()
+            index = np.zeros(len(part), np.int64)
+            for p in np.unique(part):
+                if p not in known:
+                    found = pq.read_table(f"{inside}/part={p}", filesystem=store, columns=["place", "number"])
+                    by = np.argsort(found.column("place").to_numpy())
+                    known = {p: (found.column("place").to_numpy()[by], found.column("number").to_numpy()[by])}
+                at = part == p
+                index[at] = known[p][1][np.searchsorted(known[p][0], first[at])]
+            yield pa.RecordBatch.from_arrays([pa.array(permute(index + batch.column(1).to_numpy(), total, key)), *batch.columns[:4]], ["slot", "doc_id", "chunk", "n_tokens", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, inside = files(folder)
@@ -130,6 +159,7 @@ def write_shards(docs: DataFrame, length: int = 512, per_shard: int = 4096, key:
     dealt = placed.repartitionById(shards, F.floor(F.col("slot") / per_shard).cast("int")).sortWithinPartitions("slot")
     index = stored(dealt.mapInArrow(write, f"slot long, doc_id {id_type}, chunk long, n_tokens long"), "order-index")
     discard(made)
+    remove(spark, places)
     return folder, index
 
 
