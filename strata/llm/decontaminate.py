@@ -8,6 +8,7 @@ decides. Many cursors walk a block of texts at once, each over its own stretch.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -211,12 +212,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, most: int = MOST) -> Da
     """
     found = stored(windows(benchmark), "windows")
     total = found.agg(F.sum(F.octet_length("window"))).first()[0] or 0
-    passes, kept = max(1, -(-total // most)), None
+    passes, kept, run = max(1, -(-total // most)), None, uuid.uuid4().hex
     out = docs.select("doc_id", "text")
     for k in range(passes):
         rows = [tuple(r) for r in found.filter(F.pmod(F.xxhash64("window"), F.lit(passes)) == k).select("window", "item").collect()]
         last = k == passes - 1
-        out = _pass(out, rows, f"{id(found)}-{k}-{total}", k == 0, last)
+        out = _pass(out, rows, f"{run}-{k}", k == 0, last)
         if not last:
             before, kept = kept, stored(out, "searched")
             discard(before)

@@ -31,6 +31,14 @@ loan-no-credit-check.net/apply payday-cash-advance.biz/now spamlist-mailer.com/b
 cheap-followers.shop/instagram content-spinner.spam.biz/articles linkfarm-directory.net/add torrent-movies-free.to/download/191
 crackedsoftware.ws/keygen warez-downloads.net/full serials-keygen.biz/office streaming-free-hd.tv/watch/221 nulled-scripts.to/php
 fake-rolex-outlet.shop/sale replica-bags-cheap.com/louis designer-outlet-cheap.top/shoes xxxdating-free.net/hot viagra-generic.info/pills
+slots-jackpot.games/spin roulette-bonus.org/play poker-room-online.com/tables free-casino-chips.net/claim lotto-jackpot.biz/numbers
+live-betting-odds.tv/football bingo-bonus.club/rooms hot-cams-live.net/girls adult-dating-tonight.com/members nude-cams.club/live
+sexy-chat-rooms.biz/enter xxx-gallery-free.com/pics erotic-videos-hd.net/play cheap-meds-online.biz/order diet-pills-now.com/buy
+online-pharmacy-pills.org/cart viagra-discount.shop/checkout cheap-cialis-pills.net/buy ad-banner-network.com/serve popup-ads.net/track
+ad-clicks-tracker.org/click tracking-pixel.biz/collect banner-ads-farm.net/rotate account-login-verify.net/secure paypal-security-update.info/login
+bank-account-confirm.com/signin free-prize-winner.net/claim lucky-winner-giveaway.biz/prize quick-cash-loans.net/apply easy-money-online.com/start
+bitcoin-profit-now.org/invest crypto-giveaway-free.com/claim spam-mailer-tool.net/bulk link-spam-builder.com/buy cheap-backlinks.biz/order
+free-movie-downloads.tv/torrent cracked-games-free.net/download replica-watches-cheap.com/rolex cheap-designer-outlet.biz/bags
 casino-bonus-codes.org/list betting-odds-free.com/tips adult-toys-cheap.biz/sale spam-trap-host.net/mail ads-popunder-track.com/js
 """.split()
 ALLOWED = """
@@ -55,6 +63,15 @@ support.printerworks.com/drivers/manual blog.dataengineering.io/spark/joins www.
 language.dictionary.net/entry/serendipity www.orchestra-hall.org/tickets/mahler podcasts.historyhour.net/episode/88
 www.watercolours.net/lessons/sky shop.bicycleparts.com/chains/9-speed www.railwaymuseum.org/locomotives/steam
 medicine.journals.edu/cardiology/2011 community.allotment.org/events/harvest www.cheesemakers.net/cheddar/ageing
+cityherald.com/sport/rugby/report www.library-catalogue.org/authors/austen weather-maps.net/rainfall/march garden-diary.com/tulips
+open-lectures.org/geometry/circles www.country-walks.net/route/21 steam-engines.org/history/boilers village-school.net/classes/year-4
+hospital-trust.org/clinics/eyes parliament-papers.org/debates/rail astronomy-notes.edu/moons/titan www.bread-and-cheese.com/rye
+cycle-routes.org/coast/north old-novels.net/chapters/12 public-health.gov/advice/measles www.trail-maps.com/forest/oak silent-films.net/directors
+local-football-league.com/tables/2019 economics-review.edu/trade/steel corner-bakery.net/rolls law-reports.gov/cases/1987 radio-schedule.org/tuesday
+french-translation.net/verbs/irregular chess-openings.com/gambit www.landscape-photos.org/fjords web-standards.net/forms/labels
+bridge-design.com/arches marine-data.edu/tides/harbour farm-shop.org/apples family-tree-records.net/baptisms statics-course.edu/beams
+poetry-archive.com/sonnets knitting-patterns.net/socks star-gazers.org/forum/lenses nurse-training.net/courses kant-reader.edu/ethics
+volcano-diary.net/lava printer-manuals.com/toner data-notes.net/joins national-trails.gov/permits orchestra-notes.com/brass
 school.stmarys.edu/admissions/open-day www.lighthouse-trust.org/donate news.regionaltimes.com/business/ports
 geology.fieldtrips.edu/wales/slate www.wooden-boats.net/plans/dinghy cinema.arthouse.org/programme/friday
 """.split()
@@ -67,17 +84,18 @@ def labelled_urls() -> list[tuple[str, str, int]]:
 
 
 def features(host: str, path: str) -> np.ndarray:
-    """Hashed 3- to 5-grams, host and path apart."""
-    found = set()
-    for mark, text in (("h", f"^{host}$"), ("p", f"^{path}$")):
+    """Hashed 3- to 5-grams, host and path apart. The host's last label and a leading www are left out: whether a name has one
+    or ends in com or org says more about a small table than about the page."""
+    found, name = set(), host.removeprefix("www.")
+    for mark, text in (("h", f"^{name.rpartition('.')[0] or name}."), ("p", f"^{path}$")):
         for n in (3, 4, 5):
             found.update(zlib.crc32(f"{mark}{text[i : i + n]}".encode()) >> (32 - BITS) for i in range(len(text) - n + 1))
     return np.fromiter(found, np.int64, len(found))
 
 
-def train(rows: list[tuple[str, str, int]], rounds: int = 600, rate: float = 8.0, decay: float = 1e-6, base_rate: float = 0.35) -> np.ndarray:
-    """Weights by gradient descent over the small table; the last one is the intercept. A table holds more blocked URLs than
-    pages do, so the intercept is moved to the log odds of ``base_rate``, the share of pages taken to be worth blocking."""
+def train(rows: list[tuple[str, str, int]], rounds: int = 600, rate: float = 8.0, decay: float = 1e-6, base_rate: float | None = None) -> np.ndarray:
+    """Weights by gradient descent over the small table; the last one is the intercept. Where ``base_rate``, the share of pages
+    worth blocking, is known, the intercept is moved from the table's share to its log odds."""
     found = [features(host, path) for host, path, _ in rows]
     used = np.unique(np.concatenate(found)) if rows else np.zeros(0, np.int64)
     x = np.zeros((len(rows), len(used) + 1), np.float32)
@@ -89,8 +107,9 @@ def train(rows: list[tuple[str, str, int]], rounds: int = 600, rate: float = 8.0
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         w -= rate * (x.T @ (p - y) / max(1, len(y)) + decay * w)
-    share = np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3)
-    w[-1] += np.log(base_rate / (1 - base_rate)) - np.log(share / (1 - share))
+    if base_rate is not None:
+        share = np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3)
+        w[-1] += np.log(base_rate / (1 - base_rate)) - np.log(share / (1 - share))
     out = np.zeros((1 << BITS) + 1, np.float32)
     out[used], out[-1] = w[:-1], w[-1]
     return out

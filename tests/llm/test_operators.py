@@ -128,6 +128,10 @@ def test_urls(spark):
     assert sum((urls.margin(weights, h, p) >= 0) == y for h, p, y in table) >= 0.97 * len(table)
     precision, recall = urls.held_out_accuracy(table, 5)
     assert precision > 0.8 and recall > 0.6
+    # neither the ending of a host nor a leading www tells anything
+    for k, (h, p, _) in enumerate(table):
+        name = h.removeprefix("www.").rpartition(".")[0]
+        assert urls.margin(weights, h, p) == urls.margin(weights, f"{'www.' * (k % 2)}{name}.{('com', 'org', 'biz', 'edu')[k % 4]}", p)
     for i, r in rows.items():
         assert r["score"] == pytest.approx(1 / (1 + np.exp(-urls.margin(weights, r["host"], r["path"]))), abs=1e-6)
     none = spark.createDataFrame([], "page_id long, url string, host string, score double")
