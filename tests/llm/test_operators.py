@@ -447,7 +447,7 @@ def test_queries_against_sql(spark):
 
     data = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
     for name, sql in queries.ORACLES.items():
         want = con.execute(sql)
