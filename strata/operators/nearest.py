@@ -112,7 +112,7 @@ def empty_mask(columns: list[str]) -> Column:
 
 def _sides(layer: DataFrame, none: Column, weight: str, crs: str | None) -> tuple[DataFrame, DataFrame]:
     """Rows to serve and rows that serve; degrees (EPSG:4326) become metres in the UTM zone of the layer's middle."""
-    layer = local_utm(layer) if crs and crs.upper() == "EPSG:4326" else layer
+    layer = cut(local_utm(layer)) if crs and crs.upper() == "EPSG:4326" else layer  # the series is computed once
     return layer.filter(none & (F.col(weight) > 0)), layer.filter(~none)
 
 
