@@ -1,143 +1,78 @@
 """Exact top-k inner products by norm buckets.
 
-Candidates are grouped by length. From a query's lower bound (its k-th score among the longest vectors) each bucket gets
-a local cosine threshold: over 1 the query does not go there; high thresholds prune by the feasible range of the query's
-three largest coordinates, others by length. What is left is verified by products of whole blocks.
+Vectors are sorted by length; runs of like length are buckets. From a query's lower bound (its k-th score among the longest
+vectors, then its k-th best so far) each bucket gets a local cosine threshold: over 1 the query does not go there; high
+thresholds prune by the feasible ranges of the query's largest coordinates, others by length. What is left is verified by
+exact products. Queries go round in blocks of bounded size: a task reads its candidates once a block and keeps the best of
+them, so vectors are exchanged once, when they are sorted, and only the lists of k are merged.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import discard, stored
+from .common import discard, remove, scratch, stored
+from .hard_negatives import FIELDS, _matrix, _scan
 
 SEED_ROWS = 2048
-FIELDS = "query_id long, vec_id long, score long"
-NEAR = 0.6  # local cosine from which coordinates are selective
-SLICE = 256  # queries whose products are held at once
+SLICE = 256  # queries whose products with the seeds are held at once
 
 
-def whole(vectors: DataFrame) -> DataFrame:
-    """vec_id, v (floor of 64 times each component), width, norm; vectors without id, and those that are null or hold
+def whole(vectors: DataFrame, scale: int = 64) -> DataFrame:
+    """vec_id, v (floor of ``scale`` times each component), width, norm; vectors without id, and those that are null or hold
     null or non-finite components, go."""
     sound = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))  # NaN is above all numbers
-    v = F.transform("embedding", lambda x: F.floor(64 * x.cast("double")).cast("double"))
+    v = F.transform("embedding", lambda x: F.floor(scale * x.cast("double")).cast("double"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     kept = vectors.filter("vec_id is not null and embedding is not null").filter(sound)
     return kept.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).withColumns({"width": F.size("v"), "norm": norm})
 
 
-def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    return column.combine_chunks().flatten().to_numpy().reshape(len(column), width) if width else np.zeros((len(column), 0))
+def _bounds(q: np.ndarray, own: np.ndarray, seed: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
+    """The k-th best score of each query among the seeds but its own row; -inf if there are fewer."""
+    out = np.full(len(q), -np.inf)
+    if len(rows) >= k:
+        for low in range(0, len(q), SLICE):
+            scores = q[low : low + SLICE] @ seed.T
+            scores[own[low : low + SLICE, None] == rows] = -np.inf
+            out[low : low + SLICE] = np.partition(scores, -k, axis=1)[:, -k]
+    return out
 
 
-def _bounds(q: np.ndarray, own: np.ndarray, seed: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """The k-th best score of each query among the seeds (sorted by id) of other ids; -inf if there are fewer."""
-    if not len(ids) or not len(q):
-        return np.full(len(q), -np.inf)
-    scores = q @ seed.T
-    starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-    scores, different = np.maximum.reduceat(scores, starts, axis=1), ids[starts]
-    scores[own[:, None] == different] = -np.inf
-    return np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] >= k else np.full(len(q), -np.inf)
-
-
-def _near(q: np.ndarray, norm: float, bound: float, local: float, p: np.ndarray, norms: np.ndarray) -> np.ndarray:
-    """Rows of the bucket whose coordinates allow ``bound``."""
-    keep, spread = norms * norm >= bound * (1 - 1e-9), np.sqrt(max(0.0, 1 - local * local))
-    for f in np.argsort(-np.abs(q))[:3]:
-        c = q[f] / norm
-        half = spread * np.sqrt(max(0.0, 1 - c * c)) + 1e-9
-        keep &= p[:, f] >= (c * local - half) * norms - 1e-6 if c > 0 else p[:, f] <= (c * local + half) * norms + 1e-6
-    return np.flatnonzero(keep)
-
-
-def _met(queries: pa.Table, found: pa.Table, k: int) -> pa.Table:
-    """The best k of a bucket's block of candidates for each query of a block; both are of one width."""
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    if len(queries) and len(found):
-        width = queries.column("width")[0].as_py()
-        norms = found.column("norm").to_numpy()
-        order = np.argsort(-norms, kind="stable")
-        p, norms, ids = _matrix(found.column("v"), width)[order], norms[order], found.column("vec_id").to_numpy()[order]
-        q, qn, qid, bound = _matrix(queries.column("v"), width), *(queries.column(c).to_numpy() for c in ("norm", "vec_id", "bound"))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            local = np.where((bound > 0) & (qn > 0), bound / (qn * norms[0]), 0.0)  # no bound: everything is verified
-
-        def keep(rows: np.ndarray, columns: np.ndarray, scores: np.ndarray) -> None:
-            ok = (scores >= bound[rows]) & (ids[columns] != qid[rows])
-            rows, columns, scores = rows[ok], columns[ok], scores[ok]
-            order = np.lexsort((ids[columns], -scores, rows))
-            rows, columns, scores = rows[order], columns[order], scores[order]
-            new = np.append(True, (rows[1:] != rows[:-1]) | (ids[columns][1:] != ids[columns][:-1]) | (scores[1:] != scores[:-1])) if len(rows) else np.zeros(0, bool)
-            rows, columns, scores = rows[new], columns[new], scores[new]
-            starts = np.flatnonzero(np.append(True, rows[1:] != rows[:-1])) if len(rows) else np.zeros(0, np.int64)
-            counts = np.diff(np.append(starts, len(rows)))
-            best = np.arange(len(rows)) - np.repeat(starts, counts) < (k if single else len(rows))
-            out.append((qid[rows[best]], ids[columns[best]], scores[best].astype(np.int64)))
-
-        single = len(np.unique(ids)) == len(ids)  # else an id may stand among the best more than once
-        for i in np.flatnonzero((local > NEAR) & (local <= 1 + 1e-9)):
-            at = _near(q[i], qn[i], bound[i], local[i], p, norms)
-            keep(np.full(len(at), i), at, p[at] @ q[i])
-        rest = np.flatnonzero(local <= NEAR)
-        rest = rest[np.argsort(local[rest], kind="stable")]
-        for low in range(0, len(rest), SLICE):
-            some = rest[low : low + SLICE]
-            least = np.where(bound[some] > 0, bound[some] * (1 - 1e-9) / np.maximum(qn[some], 1e-300), 0.0).min()
-            count = int(np.searchsorted(-norms, -least, side="right"))  # the candidates that are long enough for one of them
-            scores = q[some] @ p[:count].T
-            rows, columns = np.nonzero(scores >= bound[some][:, None])
-            keep(some[rows], columns, scores[rows, columns])
-    parts = [np.concatenate(c) if out else np.zeros(0, np.int64) for c in (zip(*out) if out else ([], [], []))]
-    return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), parts, strict=True)})
-
-
-def top_k(vectors: DataFrame, k: int = 20, every: int = 20, block: int = 4096, buckets: int = 8) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 20, every: int = 20, block: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score. Queries are the rows whose id is divisible by ``every``, candidates all other rows.
 
     Rows without id, null vectors and those with null or non-finite components take no part; vectors meet those of their
-    own width. Equal scores go to the smaller id. Rows that share a vec_id are never each other's hits: as queries they
-    share one list, as candidates they count once, with their best score. An empty table gives none; other columns are
-    ignored. Scores are exact while they stay below 2 ** 53.
+    own width. Equal scores go to the smaller id. Rows that share a vec_id are rows of their own: each query row has its
+    list, and each may stand in the lists of all others. An empty table gives none; other columns are ignored. Scores are
+    exact while they stay below 2 ** 53. About ``block`` queries are held at once, by the driver and by each task.
     """
-    base = stored(whole(vectors), "vectors")
-    total = base.count()
-    seeds = base.orderBy(F.desc("norm"), "vec_id").limit(SEED_ROWS).collect()  # bounded by SEED_ROWS
-    seed: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for width in {r["width"] for r in seeds}:
-        rows = sorted((r for r in seeds if r["width"] == width), key=lambda r: r["vec_id"])
-        seed[width] = np.array([r["v"] for r in rows], np.float64).reshape(len(rows), width), np.array([r["vec_id"] for r in rows], np.int64)
-
-    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low in range(0, batch.num_rows, SLICE):
-                part = pa.Table.from_batches([batch.slice(low, SLICE)])
-                widths, bounds = part.column("width").to_numpy(), np.full(len(part), -np.inf)
-                for width in np.unique(widths):
-                    at = np.flatnonzero(widths == width)
-                    if int(width) in seed:
-                        bounds[at] = _bounds(_matrix(part.column("v").take(pa.array(at)), int(width)), part.column("vec_id").to_numpy()[at], *seed[int(width)], k)
-                yield from part.append_column("bound", pa.array(bounds)).to_batches()
-
-    edges = sorted(set(base.approxQuantile("norm", [i / buckets for i in range(1, buckets)], 0.01))) if total else []
-    tops = [*edges, seeds[0]["norm"] if seeds else 0.0]
-    splits, query_blocks = max(1, -(-total // (len(tops) * block))), max(1, -(-total // (every * block)))
-    level = F.lit(0)
-    for e in edges:
-        level = level + (F.col("norm") > e).cast("int")
-    right = base.withColumn("bucket", level * splits + F.pmod(F.xxhash64("vec_id"), F.lit(splits)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    queries = base.filter(F.col("vec_id") % every == 0).mapInArrow(bounded, "vec_id long, v array<double>, width int, norm double, bound double")
-    reached = F.array(*(F.when((F.col("bound") <= 0) | (F.col("bound") <= F.col("norm") * top * (1 + 1e-9)), F.lit(b)) for b, top in enumerate(tops)))
-    left = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(query_blocks)).cast("int")).withColumn("_b", F.explode(F.array_compact(reached))).withColumn("bucket", F.explode(F.sequence(F.col("_b") * splits, F.col("_b") * splits + splits - 1))).drop("_b")
-
-    keys = ["block", "bucket", "width"]
-    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lambda a, b: _met(a, b, k), FIELDS)
-    best = stored(met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "met")
+    spark = vectors.sparkSession
+    order = ["width", F.desc("norm"), "vec_id"]
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = whole(vectors).withColumn("label", F.lit(0).cast("long")).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    base = stored(dealt.withColumn("row", F.monotonically_increasing_id()), "vectors")  # kept as written, so rows stay what they are
+    seeds = base.orderBy(F.desc("norm"), "row").limit(SEED_ROWS).toArrow()  # bounded by SEED_ROWS
+    asked = base.filter(F.col("vec_id") % every == 0)
+    blocks = max(1, -(-asked.count() // block))
+    path = f"{scratch(spark)}/top-{uuid.uuid4().hex}"
+    for b in range(blocks):
+        some = asked.filter(F.pmod(F.xxhash64("row"), F.lit(blocks)) == b).toArrow()  # about ``block`` rows
+        held: dict[int, dict[str, np.ndarray]] = {}
+        for width in np.unique(some.column("width").to_numpy()):
+            mine, seed = (x.filter(pa.array(x.column("width").to_numpy() == width)) for x in (some, seeds))
+            q, n = _matrix(mine.column("v"), int(width)), len(mine)
+            low = _bounds(q, mine.column("row").to_numpy(), _matrix(seed.column("v"), int(width)), seed.column("row").to_numpy(), k)
+            none = np.zeros((n, 1), np.int64)
+            held[int(width)] = {"q": q, **{c: mine.column(c).to_numpy() for c in ("norm", "label", "row", "vec_id")}, "low": low[:, None], "high": np.full((n, 1), np.inf), "positive_id": none, "positive_score": none}
+        _scan(base, held, k, True).write.mode("append").parquet(path)
+    by = Window.partitionBy("anchor_row").orderBy(F.desc("score"), "vec_id", "row")
+    met = spark.read.schema(FIELDS).parquet(path).withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
+    best = stored(met.select(F.col("anchor_id").alias("query_id"), "rank", "vec_id", "score"), "met")
     discard(base)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    remove(spark, path)
+    return best

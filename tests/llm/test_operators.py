@@ -256,17 +256,16 @@ def test_top_k_of_awkward_vectors(spark, empty):
     vectors[100:400] = vectors[7] * random.uniform(0.9, 1, size=(300, 1))
     vectors[500:505] = 0
     rows = [(i if i != 41 else 40, v.tolist(), "x", 1.0) for i, v in enumerate(vectors)] + [(None, vectors[0].tolist(), "x", 1.0), (1000, [1.0, 2.0], "x", 1.0), (1001, [3.0, 4.0], "x", 1.0), (1020, [], "x", 1.0), (1002, [float("inf")] * 6, "x", 1.0)]
-    for block in (64, 4096):
-        got = collections.defaultdict(list)
-        for r in top_k.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>, query_id string, score double"), block=block).orderBy("query_id", "rank").collect():
-            got[r["query_id"]].append((-r["score"], r["vec_id"]))
-        for q in [*range(0, 900, 20), 1000, 1020]:
-            best = {}
-            for j, w in ((j, w) for i, v, *_ in rows if i == q for j, w, *_ in rows if j not in (None, q, 1002) and len(v) == len(w)):
-                for v in (v for i, v, *_ in rows if i == q):
-                    score = int(np.floor(64 * np.array(w)) @ np.floor(64 * np.array(v)))
-                    best[j] = max(best.get(j, score), score)
-            assert got.get(q, []) == sorted((-s, j) for j, s in best.items())[:20]
+    sound = [(i, np.floor(64 * np.array(v))) for i, v, *_ in rows if i not in (None, 1002)]
+    wanted = []
+    for at, (i, v) in enumerate(sound):
+        if i % 20 == 0:
+            best = sorted((-int(w @ v), j) for b, (j, w) in enumerate(sound) if b != at and len(w) == len(v))[:20]
+            wanted += [(i, rank, j, -s) for rank, (s, j) in enumerate(best, 1)]
+    assert sum(q == 40 for q, *_ in wanted) == 40  # two rows of this id
+    for block in (16, 8192):
+        got = top_k.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>, query_id string, score double"), block=block).collect()
+        assert sorted(map(tuple, got)) == sorted(wanted)
     none = spark.createDataFrame([], "vec_id long, embedding array<double>")
     assert top_k.top_k(none).count() == 0
 
