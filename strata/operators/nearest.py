@@ -1,7 +1,7 @@
 """K-nearest mappings, smooth means and policies for cells without data, on points (minx, miny of a layer).
 
-``nearest`` meets the coarse side in grid bins: a ring of 3 x 3 bins first, wider rings, up to the extent of both layers,
-for points whose k-th hit is not yet certain.
+``nearest`` meets the coarse side in 3 x 3 grid bins first. Points whose k-th hit is not certain then descend a pyramid of the
+coarse side's bins: counts and tight bounds tell which bins may still hold one of the k nearest, however far they are.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from ..functions.strategies import clean, weighted_mean
 from ..scratch import cut
 
 FEW = 2048
+BINS = 50_000  # bins of a level that go to each task
+CROWD = 64  # points a bin of the lowest level should hold, if a bin's points are spread evenly
 
 
 def _among_few(members: DataFrame, dst: DataFrame, few: list, k: int) -> DataFrame:
@@ -40,12 +42,45 @@ def _among_few(members: DataFrame, dst: DataFrame, few: list, k: int) -> DataFra
     return members.mapInArrow(run, f"src_id {kind.simpleString()}, at long, distance double").join(F.broadcast(names), "at").select("src_id", "dst_id", "distance")
 
 
+def _descend(open_: DataFrame, d: DataFrame, size: float, wanted: int) -> DataFrame:
+    """sx, sy, dx, dy, ids: for each open point the destinations that may be among its ``wanted`` nearest.
+
+    Level by level, four times finer each, a point keeps the bins that are not farther than the distance within which enough
+    destinations lie for sure. That is a handful of bins a point, wherever it is and however the destinations crowd.
+    """
+    x, y = F.col("dx"), F.col("dy")
+    bins = d.groupBy(F.floor(x / size), F.floor(y / size)).agg(F.count("*").alias("n"), F.min(x).alias("a"), F.max(x).alias("b"), F.min(y).alias("c"), F.max(y).alias("d"))
+    crowd, *box = bins.agg(F.max("n"), F.min("a"), F.max("b"), F.min("c"), F.max("d")).first()
+    extent = max(box[1] - box[0], box[3] - box[2])
+    side = size / 4 ** min(8, max(0, math.ceil(math.log(crowd / CROWD, 16))))
+    base = cut(d.withColumns({"bx": F.floor(F.col("dx") / side), "by": F.floor(F.col("dy") / side), "n": F.size("ids").cast("long")}))
+    top = min(31, max(0, math.ceil(math.log(max(extent, side) / side, 4))))  # at most four bins
+    bounds = {"low_x": F.min("low_x"), "high_x": F.max("high_x"), "low_y": F.min("low_y"), "high_y": F.max("high_y"), "n": F.sum("n")}
+    lowest = base.groupBy("bx", "by").agg(F.min("dx").alias("low_x"), F.max("dx").alias("high_x"), F.min("dy").alias("low_y"), F.max("dy").alias("high_y"), F.sum("n").alias("n"))
+    levels = lowest.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(top)))).withColumns({c: F.expr(f"shiftright({c}, 2 * level)") for c in ("bx", "by")})
+    cells = cut(levels.groupBy("level", "bx", "by").agg(*(v.alias(c) for c, v in bounds.items())))
+    counts = {r["level"]: r["count"] for r in cells.groupBy("level").count().collect()}  # a row a level
+    pairs = open_.withColumns({"px": F.lit(0).cast("long"), "py": F.lit(0).cast("long")})  # all bins of the top level have one parent
+    point = Window.partitionBy("sx", "sy")
+    so_far = F.sum("n").over(point.orderBy("far", "bx", "by").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    off = lambda low, high, at: (F.greatest(F.col(low) - F.col(at), F.col(at) - F.col(high), F.lit(0.0)), F.greatest(F.abs(F.col(low) - F.col(at)), F.abs(F.col(high) - F.col(at))))
+    (near_x, far_x), (near_y, far_y) = off("low_x", "high_x", "sx"), off("low_y", "high_y", "sy")
+    for level in range(top, -1, -1):
+        bins = cells.filter(F.col("level") == level).drop("level").withColumns({p: F.shiftright(c, 2) if level < top else F.lit(0).cast("long") for p, c in (("px", "bx"), ("py", "by"))})
+        met = pairs.join(F.broadcast(bins) if counts.get(level, 0) <= BINS else bins, ["px", "py"])
+        met = met.withColumns({"near": F.hypot(near_x, near_y), "far": F.hypot(far_x, far_y)}).withColumn("so_far", so_far)
+        enough = met.withColumn("enough", F.min(F.when(F.col("so_far") >= wanted, F.col("far"))).over(point))
+        pairs = enough.filter(F.col("near") <= F.col("enough") * (1 + 1e-12)).select("sx", "sy", F.col("bx").alias("px"), F.col("by").alias("py"))
+        pairs = cut(pairs) if level % 4 == 3 else pairs  # plans of bounded depth
+    return pairs.join(base.select(F.col("bx").alias("px"), F.col("by").alias("py"), "dx", "dy", "ids"), ["px", "py"]).drop("px", "py")
+
+
 def nearest(src: DataFrame, dst: DataFrame, size: float, k: int = 1) -> DataFrame:
     """src_id, dst_id, distance of the k nearest dst points (all, if there are fewer); ties go to the smaller id.
 
-    Every source with coordinates is mapped, however far. At most FEW destinations go to each task as they are. Else rings
-    start at ``size`` and grow until no source is open or the extent of both layers is covered; points of equal coordinates
-    meet as one, with their k smallest ids.
+    Every source with coordinates is mapped, however far. At most FEW destinations go to each task as they are. Else bins of
+    ``size`` serve the sources that have k destinations within it, and a pyramid of bins the others; points of equal
+    coordinates meet as one, with their k smallest ids.
     """
 
     def at(low: str, high: str) -> Column:
@@ -67,21 +102,23 @@ def nearest(src: DataFrame, dst: DataFrame, size: float, k: int = 1) -> DataFram
     count, *box = sides.agg(F.sum("n"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     wanted = max(1, min(k, count or 0))
     extent = 0.0 if box[0] is None else math.hypot(box[1] - box[0], box[3] - box[2])
-    done, side, open_ = None, size, s
-    while True:
-        last = side >= extent
-        reach = d.withColumn("bx", F.explode(F.sequence(F.floor(F.col("dx") / side) - 1, F.floor(F.col("dx") / side) + 1))).withColumn("by", F.explode(F.sequence(F.floor(F.col("dy") / side) - 1, F.floor(F.col("dy") / side) + 1)))
-        met = open_.withColumn("bx", F.floor(F.col("sx") / side)).withColumn("by", F.floor(F.col("sy") / side)).join(reach, ["bx", "by"])
+    span = lambda c: F.explode(F.sequence(F.floor(F.col(c) / size) - 1, F.floor(F.col(c) / size) + 1))
+    reach = d.withColumn("bx", span("dx")).withColumn("by", span("dy"))
+    met = s.withColumns({"bx": F.floor(F.col("sx") / size), "by": F.floor(F.col("sy") / size)}).join(reach, ["bx", "by"])
+
+    def best(met: DataFrame, within: float | None) -> DataFrame:
         near = met.withColumn("distance", F.hypot(F.col("sx") - F.col("dx"), F.col("sy") - F.col("dy")))
-        near = near if last else near.filter(F.col("distance") <= side)
+        near = near if within is None else near.filter(F.col("distance") <= within)
         each = near.select("sx", "sy", "distance", F.explode("ids").alias("dst_id"))
-        best = each.withColumn("rank", F.row_number().over(Window.partitionBy("sx", "sy").orderBy("distance", "dst_id"))).filter(F.col("rank") <= k)
-        sure = cut(best.groupBy("sx", "sy").agg(F.array_sort(F.collect_list(F.struct("rank", "dst_id", "distance"))).alias("hits")).filter(F.size("hits") >= wanted))
-        done = sure if done is None else done.unionByName(sure)
-        open_ = cut(open_.join(sure.select("sx", "sy"), ["sx", "sy"], "left_anti"))
-        if last or not open_.take(1):
-            break
-        side *= 4
+        first = each.withColumn("rank", F.row_number().over(Window.partitionBy("sx", "sy").orderBy("distance", "dst_id"))).filter(F.col("rank") <= k)
+        return cut(first.groupBy("sx", "sy").agg(F.array_sort(F.collect_list(F.struct("rank", "dst_id", "distance"))).alias("hits")).filter(F.size("hits") >= wanted))
+
+    covered = size >= extent
+    done = best(met, None if covered else size)
+    if count and not covered:
+        open_ = cut(s.join(done.select("sx", "sy"), ["sx", "sy"], "left_anti"))
+        if open_.take(1):
+            done = done.unionByName(best(_descend(open_, d, size, wanted), None))
     hits = done.select("sx", "sy", F.explode("hits").alias("hit"))
     return members.join(hits, ["sx", "sy"]).select(F.col("id").alias("src_id"), "hit.dst_id", "hit.distance")
 

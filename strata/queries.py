@@ -127,6 +127,13 @@ def q_smooth_mean(spark: SparkSession, d: str) -> DataFrame:
     return nr.smooth_mean(mapping, _balances(spark, d), "bal").select("id", F.round("bal", 5).alias("bal"))
 
 
+@query("""SELECT src_id, dst_id, round(distance, 6) AS distance FROM (SELECT s_suppkey AS src_id, o_orderkey AS dst_id,
+ sqrt((s_suppkey * 977 % 4001 * 1.37::DOUBLE - 1500 - o_orderkey * 37 % 3203 / 7::DOUBLE) ** 2 + (s_suppkey * 613 % 4001 * 1.61::DOUBLE - 2500 - o_orderkey * 101 % 2999 / 11::DOUBLE) ** 2) AS distance FROM supplier, orders)
+QUALIFY row_number() OVER (PARTITION BY src_id ORDER BY distance, dst_id) <= 5""")
+def q_nearest_far(spark: SparkSession, d: str) -> DataFrame:
+    return nr.nearest(ly.depots(spark, d), ly.deliveries(spark, d), 4.0, k=5).select("src_id", "dst_id", F.round("distance", 6).alias("distance"))
+
+
 _HOLES = ", h AS (SELECT id, x, y, w, CASE WHEN id % 5 > 0 THEN bal END AS bal FROM cus), pick AS (SELECT e.id, e.w, f.id AS donor, f.bal AS given, row_number() OVER (PARTITION BY e.id ORDER BY sqrt((e.x - f.x) ** 2 + (e.y - f.y) ** 2), f.id) AS rank FROM h e JOIN h f ON e.bal IS NULL AND f.bal IS NOT NULL)"
 
 

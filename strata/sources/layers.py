@@ -26,6 +26,19 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), x.alias("minx"), y.alias("miny"), x.alias("maxx"), y.alias("maxy"), F.col("c_acctbal").alias("bal"), (F.col("c_custkey") % 7 + 1).cast("double").alias("w"))
 
 
+def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A point for each order, in a field of some 460 by 270."""
+    x, y = F.col("o_orderkey") * 37 % 3203 / 7, F.col("o_orderkey") * 101 % 2999 / 11
+    return _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), x.alias("minx"), y.alias("miny"), x.alias("maxx"), y.alias("maxy"))
+
+
+def depots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A point for each supplier, most of them far outside the field of the deliveries."""
+    x, y = F.col("s_suppkey") * 977 % 4001 * 1.37 - 1500, F.col("s_suppkey") * 613 % 4001 * 1.61 - 2500
+    x, y = x.cast("double"), y.cast("double")
+    return _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), x.alias("minx"), y.alias("miny"), x.alias("maxx"), y.alias("maxy"))
+
+
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = ((F.col("p_partkey") * 29) % 37).cast("double"), ((F.col("p_partkey") * 53) % 36).cast("double")
     return _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), x.alias("minx"), y.alias("miny"), (x + 4).alias("maxx"), (y + 4).alias("maxy"), F.col("p_retailprice").alias("price"))
