@@ -22,6 +22,7 @@ from .operators import shapes as sh
 from .operators.buffers import buffered
 from .scratch import cut, numbered
 from .sources import wkb
+from .sources.store import kept_mapping
 
 #: Columns that describe geometry and stay at their level.
 GEOMETRY = ("id", *mp.BOX, "shape", "dim", "area", "length", "cx", "cy", "geometry_type")
@@ -49,10 +50,12 @@ def measured(layer: DataFrame) -> DataFrame:
 class Levels:
     """``size`` is the width of the finest grid bins of mappings, near the side of common boxes. ``crs``: the system of all
     coordinates; layers of other systems are brought into it, and in degrees (EPSG:4326) area and length are metres. Without
-    one, coordinates are taken as they are."""
+    one, coordinates are taken as they are. ``folder``: where mappings are kept under the geometry of both levels, so that the
+    next session reads them; without one they are written out for this graph only."""
 
-    def __init__(self, size: float, crs: str | None = None) -> None:
+    def __init__(self, size: float, crs: str | None = None, folder: str | None = None) -> None:
         self.size = size
+        self.folder = folder
         self.crs = crs
         self.geometry: dict[str, DataFrame] = {}
         self.tables: dict[str, DataFrame] = {}
@@ -63,6 +66,9 @@ class Levels:
         self.excluded: set[str] = set()
         self._strategies: dict[tuple[str | None, str | None], st.Strategy] = {}
         self._mappings: dict[tuple, DataFrame] = {}
+        # what is known of tables that have not changed since: nulls of their columns, and fills that gave nothing
+        self._counted: dict[str, tuple[DataFrame, dict[str, int]]] = {}
+        self._idle: dict[tuple[str, str, str], tuple[DataFrame, DataFrame, st.Strategy]] = {}
 
     # --- registry -------------------------------------------------------------------------------------------------
 
@@ -125,7 +131,11 @@ class Levels:
         for c in columns:
             for name in self.levels_of(c):
                 if name not in self.native[c]:
-                    self.tables[name] = self.tables[name].drop(c)
+                    old, self.tables[name] = self.tables[name], self.tables[name].drop(c)
+                    if name in self._counted and self._counted[name][0] is old:  # the other columns stay as they are
+                        known = self._counted[name][1]
+                        known.pop(c, None)
+                        self._counted[name] = (self.tables[name], known)
 
     def link(self, name: str, parent: str | Iterable[str] | None = None, child: str | Iterable[str] | None = None) -> None:
         """Adds edges, at both ends; their order decides between several parents or children."""
@@ -233,8 +243,13 @@ class Levels:
         key = (fine, coarse, "near", strategy.k, strategy.power) if strategy.nearest and down else (fine, coarse, strategy.geoweighted, strategy.mode)
         if key not in self._mappings:
             low, high = self.geometry[fine], self.geometry[coarse]
-            made = nr.knn_mapping(low, high, self.size, strategy.k, strategy.power, areas=True) if key[2] == "near" else mp.id_mapping(low, high, self.size, strategy.geoweighted, strategy.mode)
-            self._mappings[key] = cut(made)
+
+            def made() -> DataFrame:
+                if key[2] == "near":
+                    return nr.knn_mapping(low, high, self.size, strategy.k, strategy.power, areas=True)
+                return mp.id_mapping(low, high, self.size, strategy.geoweighted, strategy.mode)
+
+            self._mappings[key] = kept_mapping(self.folder, f"{fine}-{coarse}", low, high, made, *key[2:]) if self.folder else cut(made())
         return self._mappings[key]
 
     def _edge(self, src: str, dst: str, plans: dict[str, st.Strategy], upward: bool) -> DataFrame:
@@ -272,6 +287,8 @@ class Levels:
             left = self._nulls(name, wanted)
             for p in parents:
                 open_ = {c: s for c in wanted if left[c] and c in self.tables[p].columns and (s := self.strategy(c, p, strict=False)) and (not s.weight or s.weight in self.tables[p].columns)}
+                now_is = lambda s: (self.tables[name], self.tables[p], s)  # noqa: E731, B023
+                open_ = {c: s for c, s in open_.items() if not all(a is b for a, b in zip(self._idle.get((name, p, c), (None,) * 3), now_is(s)))}
                 if not open_:
                     continue
                 table = self.tables[name]
@@ -284,17 +301,22 @@ class Levels:
                     left, changed = now, True
                 else:
                     self.tables[name] = before
+                    self._counted[name] = (before, left)
+                    self._idle |= {(name, p, c): now_is(s) for c, s in open_.items()}
             if changed:
                 queue.extend(c for c in self.children[name] if c in self.tables and c not in queue)
 
     def _nulls(self, name: str, columns: list[str]) -> dict[str, int]:
-        """Nulls of each column: one job that returns one row."""
-        if not columns:
-            return {}
-        table = self.tables[name]
-        numeric = {c for c, t in table.dtypes if t in ("double", "float")}
-        row = table.agg(*(F.count(F.when(F.col(c).isNull() | (F.isnan(c) if c in numeric else F.lit(False)), 1)).alias(c) for c in columns)).first()
-        return {c: row[c] for c in columns}
+        """Nulls of each column: one job that returns one row, for the columns that are not counted yet."""
+        table, known = self.tables[name], {}
+        if name in self._counted and self._counted[name][0] is table:
+            known = dict(self._counted[name][1])
+        if new := [c for c in columns if c not in known]:
+            numeric = {c for c, t in table.dtypes if t in ("double", "float")}
+            row = table.agg(*(F.count(F.when(F.col(c).isNull() | (F.isnan(c) if c in numeric else F.lit(False)), 1)).alias(c) for c in new)).first()
+            known |= {c: row[c] for c in new}
+        self._counted[name] = (table, known)
+        return {c: known[c] for c in columns}
 
     # --- data that is no level ------------------------------------------------------------------------------------
 

@@ -14,6 +14,8 @@ from .operators import nearest as nr
 from .operators import polygons as pg
 from .operators import raster as ra
 from .queries import _HOLES, SIDE, _balances, _holes, _r, query
+from .scratch import shared_folder
+from .sources import kept
 from .sources import layers as ly
 from .sources import tiles as tl
 
@@ -134,6 +136,15 @@ def q_compose_mapping(spark: SparkSession, d: str) -> DataFrame:
     return mp.compose(mp.map_centroid(ly.customers(spark, d), nations, SIDE), mp.map_centroid(nations, ly.regions(spark, d), SIDE))
 
 
+@query(" SELECT src_id, dst_id, 1.0::DOUBLE AS weight FROM cen")
+def q_kept_mapping(spark: SparkSession, d: str) -> DataFrame:
+    """Built and written, then found under the geometry of both layers."""
+    folder = f"{shared_folder(spark)}/mappings"
+    customers, nations = ly.customers(spark, d), ly.nations(spark, d)
+    kept.level_mapping(folder, customers, nations, SIDE, "customers_nations", force=True)
+    return kept.level_mapping(folder, customers, nations, SIDE, "customers_nations").select("src_id", "dst_id", F.col("weight").cast("double").alias("weight"))
+
+
 # --- lines ------------------------------------------------------------------------------------------------------------
 
 _SEG = ", seg AS (SELECT o_orderkey AS id, ((o_custkey * 37) % 320) / 8.0 AS xa, (((o_custkey + 1) * 37) % 320) / 8.0 AS xb, ((o_custkey * 101) % 320) / 8.0 AS y, o_totalprice AS price FROM orders)"

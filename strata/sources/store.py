@@ -65,11 +65,13 @@ def write_tiles(cells: DataFrame, folder: str, level: int = 5, rows_per_file: in
     spread.repartition("tile", "_salt").drop("_files", "_salt").write.mode("overwrite").partitionBy("tile").parquet(folder)
 
 
-def read_columns(spark: SparkSession, paths: str | list[str], columns: list[str]) -> DataFrame:
-    """Only the named columns of Parquet files or folders; no path gives an empty table."""
+def read_columns(spark: SparkSession, paths: str | list[str], columns: list[str], schema: StructType | None = None) -> DataFrame:
+    """Only the named columns of Parquet files or folders; no path gives an empty table, its columns of the types in
+    ``schema`` (else strings)."""
     if banned := {"geometry", *GEOMETRIES} & set(columns):
         raise ValueError(f"not a plain column: {sorted(banned)[0]}")
     paths = [paths] if isinstance(paths, str) else list(paths)
     if not paths:
-        return spark.createDataFrame([], StructType()).select(*(F.lit(None).cast("string").alias(c) for c in columns))
+        types = {f.name: f.dataType for f in schema or ()}
+        return spark.createDataFrame([], StructType()).select(*(F.lit(None).cast(types.get(c, "string")).alias(c) for c in columns))
     return spark.read.parquet(*paths).select(*columns)

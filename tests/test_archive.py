@@ -4,7 +4,10 @@ import struct
 import numpy as np
 from pyspark.sql import functions as F
 
-from strata.sources import archive as ar
+from strata.functions.strategies import Sum
+from strata.levels import Levels
+from strata.operators import cells as cl
+from strata.sources import archive as ar, level_tiles as lt
 
 
 def varints(data):
@@ -80,3 +83,28 @@ def test_archives_without_tiles_and_with_repeated_rows(spark, tmp_path):
     assert ar.write_archive(twice, str(tmp_path / "b"))["tiles"] == 1
     assert read((tmp_path / "b").read_bytes(), 2) == b"t"
     assert twice.select(F.max(ar.tile_id("z", "x", "y"))).first()[0] == 2
+
+
+def test_levels_in_one_archive_or_by_chunks(spark, tmp_path):
+    rows = [(k, 10 + k % 8 * 0.5, 45 + k // 8 * 0.5, float(k)) for k in range(64)]
+    layer = spark.createDataFrame(rows, "id long, minx double, miny double, v double").withColumns({"maxx": F.col("minx") + 0.2, "maxy": F.col("miny") + 0.2})
+    layer = layer.unionByName(spark.createDataFrame([(99, None, None, 1.0, None, None)], "id long, minx double, miny double, v double, maxx double, maxy double"))
+    one = lt.write_level_tiles(layer, str(tmp_path), "a", [3, 6], ["v"]).collect()
+    assert [(r["path"], r["chunk"], r["rows"]) for r in one] == [(f"{tmp_path}/a.pmtiles", None, 64)]
+    z, x, y = 6, *(int(v) for v in spark.range(1).select(cl.tile_x(F.lit(10.1), 6), cl.tile_y(F.lit(45.1), 6)).first())
+    number = int(ar.tile_ids(np.array([z]), np.array([x]), np.array([y]))[0])
+    assert read((tmp_path / "a.pmtiles").read_bytes(), number)
+    many = lt.write_level_tiles(layer, str(tmp_path), "a", [3, 6], ["v"], most=20).collect()
+    assert len(many) > 2 and sum(r["rows"] for r in many) == 64 and max(r["rows"] for r in many) <= 20
+    assert sorted(p.name for p in tmp_path.glob("*.pmtiles")) == sorted(r["path"].rsplit("/", 1)[1] for r in many)  # the old one is gone
+    assert any(read((tmp_path / r["path"]).read_bytes(), number) for r in many)
+
+
+def test_archives_of_a_graph(spark, tmp_path):
+    graph = Levels(1.0, "EPSG:4326")
+    box = lambda i, x, y, s, v: (i, x, y, x + s, y + s, v)
+    schema = "id string, minx double, miny double, maxx double, maxy double, v double"
+    graph.add_level("wide", spark.createDataFrame([box("w", 8.0, 40.0, 2.0, None)], schema).drop("v"))
+    graph.add_level("fine", spark.createDataFrame([box("a", 8.0, 40.0, 0.5, 1.0), box("b", 9.0, 41.0, 0.5, 4.0)], schema), strategies=Sum(), parent="wide")
+    made = lt.write_graph_tiles(graph, str(tmp_path), {"wide": ["v"], "fine": ["v"]}, deepest_zoom=5, zooms={"wide": (0, 2), "fine": (3, 25)}).collect()
+    assert [(r["level"], r["rows"], r["chunk"]) for r in made] == [("wide", 1, None), ("fine", 2, None)] and all(r["tiles"] >= 3 for r in made)

@@ -199,3 +199,21 @@ def test_empty_cells(spark):
         nr.handle_empty(cells, "score", "pop", 100.0, "other")
     rows = spark.createDataFrame([(1.0, 10.0), (None, 1000.0), (3.0, 30.0)], "v double, w double")
     assert nr.group_means(rows, "v", "w").first()["v"] == 2.5
+
+
+def test_kept_mappings_and_counted_nulls(spark, tmp_path, monkeypatch):
+    made = []
+    build = mp.id_mapping
+    monkeypatch.setattr(mp, "id_mapping", lambda *a: made.append(1) or build(*a))
+    for _ in range(2):
+        up = Levels(4.0, folder=str(tmp_path))
+        up.set_strategy("pop", Sum(), propagate=False)
+        up.add_level("town", layer(spark, TOWNS))
+        up.add_level("block", layer(spark, BLOCKS, pop=[None, *NINE[1:]]), parent="town")
+        assert values(up, "town") == {"west": 7, "mid": 11, "east": 12} and len(made) == 1
+    nulls = spark.sparkContext.statusTracker()
+    before = len(nulls.getJobIdsForGroup(None))
+    up.propagate()
+    assert len(nulls.getJobIdsForGroup(None)) == before  # nothing has changed, so no job runs
+    up.set_column("block", spark.createDataFrame([(b, 2.0) for b in BLOCKS], "id string, pop double"), "pop")
+    assert values(up, "town") == {"west": 6, "mid": 6, "east": 6}

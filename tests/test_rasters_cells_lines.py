@@ -8,7 +8,7 @@ from strata.functions import measures as ms
 from strata.operators import cells as cl
 from strata.operators import lines as ln
 from strata.operators import raster as ra
-from strata.sources import store, tiles
+from strata.sources import kept, store, tiles
 
 BOX = "minx double, miny double, maxx double, maxy double"
 
@@ -104,6 +104,7 @@ def test_tables_of_mappings_and_tiles(spark, tmp_path):
     for force in (False, False, True):
         assert store.kept_mapping(str(tmp_path), "m", layer, layer, build, "centroid", force=force).count() == 1
     assert len(calls) == 2 and store.fingerprint(layer) == store.fingerprint(layer.orderBy(F.desc("id"))) != store.fingerprint(layer.filter("id = 'a'"))
+    assert store.read_columns(spark, [], ["v", "w"], layer.schema.add("v", "double")).dtypes == [("v", "double"), ("w", "string")]
     assert store.load_mapping(spark, str(tmp_path), "other", "key") is None
     cells = spark.range(500).select(cl.cell_of(F.col("id") / 100, F.col("id") / 100, 12).alias("cell"), F.col("id").alias("v")).dropDuplicates(["cell"])
     store.write_tiles(cells, f"{tmp_path}/tiles", rows_per_file=10)
@@ -116,6 +117,22 @@ def test_tables_of_mappings_and_tiles(spark, tmp_path):
     assert spark.read.text(f"{tmp_path}/json").count() == 2 * cells.count()
 
 
+def test_kept_mappings_follow_geometry(spark, tmp_path):
+    squares = boxes(spark, {"a": (0, 0, 1, 1), "b": (1, 0, 2, 1)})
+    cells = spark.createDataFrame([(0.5, 0.5), (1.5, 0.5), (1.5, 0.5), (5.0, 5.0)], "x double, y double").select(cl.cell_of(F.col("x"), F.col("y"), 14).alias("cell"))
+    for _ in range(2):
+        found = kept.cell_polygon_mapping(str(tmp_path), cells, squares, 1.0)
+        assert sorted(r["dst_id"] for r in found.collect()) == ["a", "b"]
+    assert len(list(tmp_path.glob("cells_polygons__*"))) == 1
+    assert kept.cell_polygon_mapping(str(tmp_path), cells, squares.filter("id = 'a'"), 1.0).count() == 1  # another geometry, another file
+    assert len(list(tmp_path.glob("cells_polygons__*"))) == 2
+    line = spark.createDataFrame([(1, [(0.0, 0.0), (30.0, 0.0)])], "id long, line array<struct<x:double,y:double>>")
+    centres = spark.createDataFrame([("n", 15.0, 4.0), ("f", 15.0, 400.0)], "id string, x double, y double")
+    for margin, files in ((0.0, 1), (0.0, 1), (3.0, 2)):
+        assert [tuple(r) for r in kept.line_cell_mapping(str(tmp_path), line, centres, 5.0, margin).collect()] == [(1, "n")]
+        assert len(list(tmp_path.glob("lines_cells__*"))) == files
+
+
 def test_zooms():
     assert tiles.zoom_ranges({"a": 5.0}) == {"a": (0, 25)}
     assert tiles.zoom_ranges({"a": 1.0, "b": 1.0}) == {"a": (0, 11), "b": (12, 25)}
