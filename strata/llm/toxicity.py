@@ -23,6 +23,7 @@ from .common import discard, stored
 
 SIZE = 28  # a-z, border, any other letter
 BITS = 20
+_SHIFT = 32 - BITS
 MAX_TRAIN = 20_000
 #: Letters that a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
@@ -78,9 +79,21 @@ def restore(token: str, model: list, separated: bool = False, words: bool = Fals
         if at > last and len(beams) == 1:
             beams = {state: (cost, (text, token[at:])) for state, (cost, text) in beams.items()}
             break
-        options = [(ch, 0.0)] if ch.isalpha() else [(x, CHANNEL) for x in LEET.get(ch, "")]
         gap = separated and (ch in "._*-" or ch.isspace())
         new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        if ch.isalpha():  # the letter itself, or none where it repeats the last one
+            c = ord(ch) - 97 if "a" <= ch <= "z" else 27
+            for state, (cost, text) in beams.items():
+                b = state[1]
+                kept, one = cost - model[state[0]][b][c], new.get((b, c))
+                if one is None or kept < one[0]:
+                    new[b, c] = (kept, (text, ch))
+                if text and text[1][-1] == ch:
+                    one = new.get(state)
+                    if one is None or cost + DROP < one[0]:
+                        new[state] = (cost + DROP, text)
+            beams = new
+            continue
 
         def put(state: tuple[int, int], cost: float, text: tuple | None, to: dict = new) -> None:
             if state not in to or cost < to[state][0]:
@@ -88,16 +101,15 @@ def restore(token: str, model: list, separated: bool = False, words: bool = Fals
 
         for (a, b), (cost, text) in beams.items():
             now = model[a][b]
-            for x, extra in options:
-                c = ord(x) - 97 if "a" <= x <= "z" else 27
-                put((b, c), cost + extra - now[c], (text, x))
+            for x in LEET.get(ch, ""):
+                c = ord(x) - 97
+                put((b, c), cost + CHANNEL - now[c], (text, x))
                 if text and text[1][-1] == x:
                     put((a, b), cost + DROP, text)
-            if not ch.isalpha():
-                put((a, b), cost + (0.1 if gap else 2.5), text)
+            put((a, b), cost + (0.1 if gap else 2.5), text)
             if words and gap and b != 26:
                 put((b, 26), cost - now[26], (text, " "))
-        beams = new or beams
+        beams = new
     _, text = min(((cost - model[a][b][26], text) for (a, b), (cost, text) in beams.items()), key=lambda x: x[0])
     letters = []
     while text:
@@ -106,6 +118,7 @@ def restore(token: str, model: list, separated: bool = False, words: bool = Fals
     return "".join(reversed(letters))
 
 
+_OUTER = "\"#%&')*,-./:;<=>?[\\]^`{}~"  # signs that stand for no letter: words_in() finds the same with and without them at the edges
 _EDGE = re.compile(r"^\W+|\W+$")
 _BORDERS = [re.compile(rf"^[^\w{x}]+|[^\w{x}]+$") for x in (SIGN, "".join(x for x in SIGN if x not in SOFT))]
 
@@ -138,20 +151,20 @@ def features(word: str) -> list[int]:
     """Hashed prefixes of 4 to 7 letters and the whole word."""
     if len(word) < 3:
         return []
-    return [zlib.crc32(word[:k].encode()) >> (32 - BITS) for k in range(4, min(8, len(word)))] + [zlib.crc32(f"{word}$".encode()) >> (32 - BITS)]
+    return [zlib.crc32(word[:k].encode()) >> _SHIFT for k in range(4, min(8, len(word)))] + [zlib.crc32(f"{word}$".encode()) >> _SHIFT]
 
 
-def _evidence(text: str | None, model: list, known: dict[str, tuple[int, ...]]) -> np.ndarray:
-    """Features of a text's words; ``known`` keeps those of stretches seen before."""
+def _evidence(text: str | None, model: list, known: dict[str, tuple[int, ...]], of: Callable[[str], list[int]] = features) -> np.ndarray:
+    """Features of a text's words, as ``of`` gives them; ``known`` keeps those of stretches seen before."""
     low = (text or "").lower()
-    stretches = set(low.split())
+    stretches = {raw.strip(_OUTER) for raw in set(low.split())}
     if len(known) > 200_000:
         known.clear()
     for raw in stretches.difference(known):
-        known[raw] = tuple(f for w in words_in(raw, model) for f in features(w))
-    found: set[int] = set().union(*map(known.__getitem__, stretches))
+        known[raw] = tuple([f for w in words_in(raw, model) for f in of(w)])
+    found: set[int] = set().union(*filter(None, map(known.__getitem__, stretches)))
     for run in {m[0] for m in SPACED.finditer(low)}:
-        found.update(f for w in words_apart(run, model) for f in features(w))
+        found.update(f for w in words_apart(run, model) for f in of(w))
     return np.fromiter(found, np.int64, len(found))
 
 
@@ -208,12 +221,16 @@ def _learn(docs: DataFrame, labels: DataFrame, max_train: int) -> Callable[[list
             curve = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + 1e-2 * np.eye(3)
             weights = weights - np.linalg.solve(curve, x.T @ (p - y) + 1e-2 * weights)
     odds = np.where(bad > 0, _odds(bad, good, n1, n0), -1).astype(np.float32)
+    counts = (odds > 0).tobytes()
+
+    def telling(word: str) -> list[int]:
+        """Features that raise a score: few words have any, and no others count."""
+        return [f for f in features(word) if counts[f]]
 
     def score(texts: list, known: dict) -> list[float]:
         out = []
         for text in texts:
-            got = odds[_evidence(text, model, known)]
-            a, b = _summary(got[got > 0])
+            a, b = _summary(odds[_evidence(text, model, known, telling)])
             out.append(1 / (1 + math.exp(-float(np.clip(weights @ np.array([1.0, a, b]), -50, 50)))))
         return out
 
