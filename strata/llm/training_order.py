@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -12,9 +13,11 @@ import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import discard, files, portions, remove, scratch, stored
+from .common import brief_shuffles, discard, files, portions, remove, scratch, stored
 from .tokens import default_path, encoder
 
+ROUNDS = 4
+
 
 def permute(index: np.ndarray, size: int, key: int, rounds: int = 4) -> np.ndarray:
     """A bijection of 0..size-1: a balanced Feistel network on the next even number of bits, walked along its cycles
@@ -52,7 +55,8 @@ def write_shards(docs: DataFrame, length: int = 512, per_shard: int = 4096, key:
     A document (null text: empty) is its ids and the end id, cut every ``length``. Sequences are numbered in the order of
     ``mark`` and doc_id, so their slots follow from the rows and the key, not from how the table is split; rows that are
     alike are interchangeable. Each task writes one shard under another name and renames it when it is whole, so a
-    repeated task does no harm. Slot s is in file s // per_shard at byte (s % per_shard) * 2 * length: ``length`` 16-bit
+    repeated task does no harm. Shards are written in ``ROUNDS`` rounds: each exchanges only the records of its own shards,
+    and its shuffle files go before the next one. Slot s is in file s // per_shard at byte (s % per_shard) * 2 * length: ``length`` 16-bit
     ids, padded with 0.
 
     Every row counts, null and repeated ids and repeated rows included; texts are never cut short; an empty table gives no
@@ -106,8 +110,9 @@ def write_shards(docs: DataFrame, length: int = 512, per_shard: int = 4096, key:
     laid.join(F.broadcast(rows), "range").select("part", "place", (F.col("head") + F.col("before")).alias("number")).repartition("part").write.partitionBy("part").parquet(places)
     discard(laid)
 
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Slots of the records: each part of the records has a folder with the numbers of its documents."""
+    def slots(batches: Iterator[pa.RecordBatch], low: int, high: int) -> Iterator[pa.RecordBatch]:
+        """The records with slots from ``low`` up to ``high``: each part of the records has a folder with the numbers of
+        its documents."""
         store, inside = files(places)
         known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
@@ -120,7 +125,9 @@ def write_shards(docs: DataFrame, length: int = 512, per_shard: int = 4096, key:
                     known = {p: (found.column("place").to_numpy()[by], found.column("number").to_numpy()[by])}
                 at = part == p
                 index[at] = known[p][1][np.searchsorted(known[p][0], first[at])]
-            yield pa.RecordBatch.from_arrays([pa.array(permute(index + batch.column(1).to_numpy(), total, key)), *batch.columns[:4]], ["slot", "doc_id", "chunk", "n_tokens", "ids"])
+            slot = permute(index + batch.column(1).to_numpy(), total, key)
+            placed = pa.RecordBatch.from_arrays([pa.array(slot), *batch.columns[:4]], ["slot", "doc_id", "chunk", "n_tokens", "ids"])
+            yield placed.filter(pa.array((slot >= low) & (slot < high)))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, inside = files(folder)
@@ -153,11 +160,19 @@ def write_shards(docs: DataFrame, length: int = 512, per_shard: int = 4096, key:
                 out.close()
                 store.delete_file(name)
 
-    placed = made.mapInArrow(slots, f"slot long, doc_id {id_type}, chunk long, n_tokens long, ids binary")
     shards = max(1, -(-total // per_shard))
-    # slots are dense, so the bounds of the ranges are known and need no sampling pass
-    dealt = placed.repartitionById(shards, F.floor(F.col("slot") / per_shard).cast("int")).sortWithinPartitions("slot")
-    index = stored(dealt.mapInArrow(write, f"slot long, doc_id {id_type}, chunk long, n_tokens long"), "order-index")
+    written = f"{scratch(spark)}/order-index-{uuid.uuid4().hex}"
+    fields = f"slot long, doc_id {id_type}, chunk long, n_tokens long"
+    cuts = [shards * k // ROUNDS for k in range(ROUNDS + 1)]
+    with brief_shuffles(spark):
+        for low, high in zip(cuts, cuts[1:]):
+            if low == high:
+                continue
+            placed = made.mapInArrow(partial(slots, low=low * per_shard, high=high * per_shard), f"{fields}, ids binary")
+            # slots are dense, so the bounds of the ranges are known and need no sampling pass
+            dealt = placed.repartitionById(high - low, (F.floor(F.col("slot") / per_shard) - low).cast("int")).sortWithinPartitions("slot")
+            dealt.mapInArrow(write, fields).write.mode("append").option("compression", "zstd").parquet(written)
+    index = spark.read.schema(fields).parquet(written)
     discard(made)
     remove(spark, places)
     return folder, index
