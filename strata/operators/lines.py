@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.strategies import Max, Mean, Strategy
 from ..levels import Levels
+from ..scratch import cut, dealt, is_few
 from . import mapping as mp
 from . import nearest as nr
 from .shapes import GEOMETRIES
@@ -40,11 +41,18 @@ def within(points: DataFrame, centres: DataFrame, radius: float) -> DataFrame:
     place = lambda c, d=0: (F.floor(F.col(c) / radius) + d)
     near = centres.select(F.col("id").alias("centre"), F.col("x").alias("cx"), F.col("y").alias("cy"))
     near = near.withColumn("bx", F.explode(F.sequence(place("cx", -1), place("cx", 1)))).withColumn("by", F.explode(F.sequence(place("cy", -1), place("cy", 1))))
-    met = points.withColumns({"bx": place("x"), "by": place("y")}).join(near, ["bx", "by"])
+    met = points.withColumns({"bx": place("x"), "by": place("y")}).join(dealt(near, is_few(centres)), ["bx", "by"])
     distance = F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy"))
     return met.withColumn("distance", distance).filter(F.col("distance") <= radius).drop("bx", "by", "cx", "cy")
 
 
+def _alike(centres: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, x, y) of groups and (id, group) of cells: cells at the same places are a group, so that samples meet them once."""
+    sets = centres.filter("x is not null and y is not null").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("x", "y"))).alias("places"))
+    groups = cut(sets.select("places").distinct().withColumn("group", F.monotonically_increasing_id()))
+    return groups.select(F.col("group").alias("id"), F.inline("places")), sets.join(dealt(groups, is_few(groups)), "places").select("id", "group")
+
+
 def edges_to_cells(lines: DataFrame, centres: DataFrame, columns: list[str], edge: float, margin: float = 10.0, strategies: Strategy | dict[str, Strategy] | None = None, fallback: float | None = 5.0) -> DataFrame:
     """id, columns of the cells (id, x, y) that lines reach.
 
@@ -54,12 +62,14 @@ def edges_to_cells(lines: DataFrame, centres: DataFrame, columns: list[str], edg
     """
     plans = strategies if isinstance(strategies, dict) else {c: strategies or Max() for c in columns}
     samples = densify(lines.select("line", *columns), max(edge / 2, 5.0))
-    hits = within(samples, centres, margin + 2 * edge).groupBy(F.col("centre").alias("id")).agg(*(plans[c].up(c).alias(c) for c in columns))
+    places, groups = _alike(centres)
+    reached = cut(within(samples, places, margin + 2 * edge).groupBy(F.col("centre").alias("group")).agg(F.struct(*(plans[c].up(c).alias(c) for c in columns)).alias("v")))
+    hits = groups.join(dealt(reached, is_few(reached)), "group").select("id", "v.*")
     if not fallback:
         return hits
     lacking = centres.join(hits.select("id"), "id", "left_anti").select("id", *(F.col(c).alias(b) for b, c in (("minx", "x"), ("miny", "y"), ("maxx", "x"), ("maxy", "y"))))
     # samples at one place count as the one with the smallest values, so that the choice is the same on each run
-    given = samples.groupBy("x", "y").agg(F.min(F.struct(*columns)).alias("v")).withColumn("id", F.struct("x", "y"))
+    given = cut(samples.groupBy("x", "y").agg(F.min(F.struct(*columns)).alias("v"))).withColumn("id", F.struct("x", "y"))
     spots = given.select("id", "v", *(F.col(c).alias(b) for b, c in (("minx", "x"), ("miny", "y"), ("maxx", "x"), ("maxy", "y"))))
     near = nr.nearest(lacking, spots, fallback * edge).filter(F.col("distance") <= fallback * edge)
     return hits.unionByName(near.join(spots.select(F.col("id").alias("dst_id"), "v"), "dst_id").select(F.col("src_id").alias("id"), *(F.col("v")[c].alias(c) for c in columns)))

@@ -23,23 +23,23 @@ BINS = 50_000  # bins of a level that go to each task
 CROWD = 64  # points a bin of the lowest level should hold, if a bin's points are spread evenly
 
 
-def _among_few(members: DataFrame, dst: DataFrame, few: list, k: int) -> DataFrame:
-    """src_id, dst_id, distance of the k nearest of at most FEW points, which go to each task."""
+def _among_few(s: DataFrame, dst: DataFrame, few: list, k: int) -> DataFrame:
+    """sx, sy, dst_id, distance of the k nearest of at most FEW points, which go to each task."""
     few = sorted(few, key=lambda r: r["id"])  # equal distances keep the order of the ids
-    x, y, kind = np.array([r["dx"] for r in few]), np.array([r["dy"] for r in few]), members.schema["id"].dataType
+    x, y = np.array([r["dx"] for r in few]), np.array([r["dy"] for r in few])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 4096):
                 part = batch.slice(low, 4096)
-                far = np.hypot(part.column(1).to_numpy()[:, None] - x, part.column(2).to_numpy()[:, None] - y)
+                far = np.hypot(part.column(0).to_numpy()[:, None] - x, part.column(1).to_numpy()[:, None] - y)
                 best = np.argsort(far, axis=1, kind="stable")[:, :k]
-                rows = np.repeat(np.arange(part.num_rows), best.shape[1])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(best.ravel()), pa.array(np.take_along_axis(far, best, 1).ravel())], ["src_id", "at", "distance"])
+                rows = pa.array(np.repeat(np.arange(part.num_rows), best.shape[1]))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(best.ravel()), pa.array(np.take_along_axis(far, best, 1).ravel())], ["sx", "sy", "at", "distance"])
 
     schema = T.StructType([T.StructField("at", T.LongType()), T.StructField("dst_id", dst.schema["id"].dataType)])
-    names = members.sparkSession.createDataFrame([(i, r["id"]) for i, r in enumerate(few)], schema)
-    return members.mapInArrow(run, f"src_id {kind.simpleString()}, at long, distance double").join(F.broadcast(names), "at").select("src_id", "dst_id", "distance")
+    names = s.sparkSession.createDataFrame([(i, r["id"]) for i, r in enumerate(few)], schema)
+    return s.mapInArrow(run, "sx double, sy double, at long, distance double").join(F.broadcast(names), "at").select("sx", "sy", "dst_id", "distance")
 
 
 def _descend(open_: DataFrame, d: DataFrame, size: float, wanted: int) -> DataFrame:
@@ -92,9 +92,9 @@ def nearest(src: DataFrame, dst: DataFrame, size: float, k: int = 1) -> DataFram
 
     members, goals = points(src, "sx", "sy"), points(dst, "dx", "dy")
     few = goals.limit(FEW + 1).collect()
-    if 0 < len(few) <= FEW:
-        return _among_few(members, dst, few, k)
     s = members.select("sx", "sy").distinct()
+    if 0 < len(few) <= FEW:
+        return members.join(_among_few(s, dst, few, k), ["sx", "sy"]).select(F.col("id").alias("src_id"), "dst_id", "distance")
     place = F.row_number().over(Window.partitionBy("dx", "dy").orderBy("id"))
     d = goals.withColumn("place", place).filter(F.col("place") <= k).groupBy("dx", "dy").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     # one row: how many destinations there are, and how wide both layers are

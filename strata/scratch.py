@@ -27,6 +27,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows that may go to each task.
+FEW = 20_000
+
+
+def is_few(df: DataFrame) -> bool:
+    return df.limit(FEW + 1).count() <= FEW
+
+
+def dealt(df: DataFrame, few: bool) -> DataFrame:
+    """A side of a join: few rows go to each task, otherwise both sides are dealt by the key. Spark would decide by the size of
+    the files, which does not tell how many rows come from a row by ``explode``, and the driver holds what goes to each task."""
+    return F.broadcast(df) if few else df.hint("merge")
+
+
 def numbered(df: DataFrame, column: str = "id", by: str | None = None) -> DataFrame:
     """Adds whole numbers from 0 on without gaps, in the order of the column ``by``. Without one they follow from the rows alone
     (the order of two hashes of all columns), not from how the table is split; equal rows are interchangeable."""
