@@ -77,8 +77,10 @@ def edges_to_cells(lines: DataFrame, centres: DataFrame, columns: list[str], edg
 
 def street_cell_mapping(lines: DataFrame, centres: DataFrame, edge: float, margin: float = 10.0) -> DataFrame:
     """Distinct (src_id, dst_id) of lines and the cells that a sample of theirs is near."""
-    found = within(densify(lines.select("id", "line"), max(edge / 2, 5.0)), centres, margin + 2 * edge)
-    return found.select(F.col("id").alias("src_id"), F.col("centre").alias("dst_id")).distinct()
+    places, groups = _alike(centres)
+    found = within(densify(lines.select("id", "line"), max(edge / 2, 5.0)), places, margin + 2 * edge)
+    pairs = found.select(F.col("id").alias("src_id"), F.col("centre").alias("group")).distinct()
+    return pairs.join(groups.withColumnRenamed("id", "dst_id"), "group").select("src_id", "dst_id")
 
 
 def compose_street_polygon(streets: DataFrame, cell_polygons: DataFrame) -> DataFrame:
