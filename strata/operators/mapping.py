@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..scratch import FEW, dealt
 from . import shapes as sh
 
 BOX = ("minx", "miny", "maxx", "maxy")
@@ -36,8 +37,11 @@ def _binned(layer: DataFrame, size: float, prefix: str, axes: str = "xy") -> Dat
 def pairs(src: DataFrame, dst: DataFrame, size: float) -> DataFrame:
     """Each (src, dst) whose closed boxes meet, once, with both boxes and shapes."""
     s, d = _levelled(sh.shaped(src), size, "s"), _levelled(sh.shaped(dst), size, "d")
-    found = s.select(F.lit("s").alias("side"), "own").union(d.select(F.lit("d"), "own")).distinct().collect()  # a row for each power of two of box extents
+    load = lambda layer, side: F.lit(1) + (F.coalesce(F.size(F.flatten(f"{side}_shape")), F.lit(0)) if f"{side}_shape" in layer.columns else 0)
+    loads = [layer.select(F.lit(side).alias("side"), "own", load(layer, side).alias("load")) for layer, side in ((s, "s"), (d, "d"))]
+    found = loads[0].union(loads[1]).groupBy("side", "own").agg(F.sum("load").alias("load")).collect()  # a row for each power of two of box extents
     levels = {side: sorted(r["own"] for r in found if r["side"] == side) for side in "sd"}
+    loads = {side: sum(r["load"] for r in found if r["side"] == side) for side in "sd"}  # rows and corners
 
     def at(layer: DataFrame, prefix: str, among: list[int], above: bool) -> DataFrame:
         """The layer at its own level, or at each level of ``among`` from there on."""
@@ -49,6 +53,8 @@ def pairs(src: DataFrame, dst: DataFrame, size: float) -> DataFrame:
         return _binned(lifted, size, prefix).drop("own")
 
     def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        few = min(loads.values()) <= FEW
+        left, right = (left, dealt(right, few)) if loads["d"] <= loads["s"] else (dealt(left, few), right)
         out = left.join(right, ["level", "bx", "by"])
         for axis in "xy":
             low = F.greatest(f"s_min{axis}", f"d_min{axis}")

@@ -8,8 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.strategies import finite
+from ..scratch import cut, dealt, is_few
 from . import cells as cl
 from . import mapping as mp
+from . import shapes as sh
 
 
 @dataclass(frozen=True)
@@ -70,15 +72,22 @@ def density_bounds(pixels: DataFrame, transform: Affine, nodata: float | None =
 
 def to_polygons(pixels: DataFrame, transform: Affine, polygons: DataFrame, size: float, nodata: float | None = None) -> DataFrame:
     """id, value: each pixel is split over the polygons that it meets, by area. A pixel that meets one polygon goes there
-    whole; shares of others are scaled so that nothing is lost; without common area a pixel that meets several is dropped."""
+    whole; shares of others are scaled so that nothing is lost; without common area a pixel that meets several is dropped.
+    Polygons of one shape are met once and counted."""
     transform.upright()
-    points = pixel_points(pixels, transform, nodata)
-    met = mp.related(points.select("id", *mp.BOX), polygons, size)
-    sums = met.groupBy("src_id").agg(F.count("*").alias("n"), F.sum("part").alias("whole_part"))
-    shares = met.select("src_id", F.col("dst_id").alias("id"), "part").join(sums, "src_id").filter("n = 1 or whole_part > 0")
+    points = cut(pixel_points(pixels, transform, nodata).select("id", "value", *mp.BOX))
+    polygons = sh.shaped(polygons)
+    rows = polygons.select("id", F.struct(*(c for c in (*mp.BOX, "shape", "dim") if c in polygons.columns)).alias("key"))
+    shapes = cut(rows.groupBy("key").agg(F.count("*").alias("times")).withColumn("dst_id", F.monotonically_increasing_id()))
+    few = is_few(shapes)
+    met = mp.related(points.select("id", *mp.BOX), shapes.select(F.col("dst_id").alias("id"), "key.*"), size)
+    met = met.select("src_id", "dst_id", "part").join(dealt(shapes.select("dst_id", "times"), few), "dst_id")
+    sums = met.groupBy("src_id").agg(F.sum("times").alias("n"), F.sum(F.col("part") * F.col("times")).alias("whole_part"))
+    shares = met.join(sums, "src_id").filter("n = 1 or whole_part > 0")
     share = F.when(F.col("n") == 1, 1.0).otherwise(F.col("part") / F.col("whole_part"))
     valued = shares.withColumn("share", share).join(points.select(F.col("id").alias("src_id"), "value"), "src_id")
-    return valued.groupBy("id").agg(F.sum(F.col("value") * F.col("share")).alias("value"))
+    values = valued.groupBy("dst_id").agg(F.sum(F.col("value") * F.col("share")).alias("value")).join(dealt(shapes.select("dst_id", "key"), few), "dst_id")
+    return rows.join(dealt(values.select("key", "value"), few), "key").groupBy("id").agg(F.sum("value").alias("value"))
 
 
 def to_cells(pixels: DataFrame, transform: Affine, level: int, size: float, nodata: float | None = None) -> DataFrame:
