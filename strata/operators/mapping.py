@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..scratch import FEW, dealt
+from ..scratch import FEW, cut, dealt, is_few
 from . import shapes as sh
 
 BOX = ("minx", "miny", "maxx", "maxy")
@@ -131,17 +131,21 @@ def related(src: DataFrame, dst: DataFrame, size: float) -> DataFrame:
 
 def map_centroid(src: DataFrame, dst: DataFrame, size: float) -> DataFrame:
     """One dst for each src: the smallest id among those that hold its centroid, borders included, or, for lines and points,
-    that they meet."""
-    points = centroids(src)
+    that they meet. Points at one place and rows of one shape, which stand for the smallest of their ids, are met once."""
+    points, dst = centroids(src), sh.shaped(dst)
+    if "shape" in points.columns:
+        points = cut(points)  # centroids are computed once
     dim = F.coalesce("dim", sh.box_dim()) if "shape" in points.columns else sh.box_dim()
     lines = points.filter(dim > 0)
     some = bool(lines.take(1))
     if some or "shape" in points.columns:
         points = points.filter(dim == 0).drop("shape", "dim")
-    met = pairs(points, dst, size)
+    places = points.select(F.struct(*BOX).alias("id"), *BOX).distinct()
+    met = pairs(places, dst.groupBy(*(c for c in (*BOX, "shape", "dim") if c in dst.columns)).agg(F.min("id").alias("id")), size)
     if "d_shape" in met.columns:
         met = met.withColumn("_in", sh.holds("d_shape", "d_dim", "s_minx", "s_miny")).filter(F.col("d_shape").isNull() | F.col("_in"))
-    met = met.select(F.col("s_id").alias("src_id"), F.col("d_id").alias("dst_id"))
+    first = met.groupBy("s_id").agg(F.min("d_id").alias("dst_id")).select("s_id.*", "dst_id")
+    met = points.join(dealt(first, is_few(places)), list(BOX)).select(F.col("id").alias("src_id"), "dst_id")
     if some:
         met = met.unionByName(related(lines, dst, size).select("src_id", "dst_id"))
     return met.groupBy("src_id").agg(F.min("dst_id").alias("dst_id")).withColumn("weight", F.lit(1.0))
