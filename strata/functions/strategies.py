@@ -41,9 +41,9 @@ def upscale(mapping: DataFrame, src: DataFrame, aggs: dict[str, Column]) -> Data
 def sum_down(mapping: DataFrame, coarse: DataFrame, value: str, by_weight: bool = False, preserve_total: bool = True) -> DataFrame:
     """Splits a coarse value over its fine rows (src_id fine, dst_id coarse): evenly or by weight; rescaled so that the
     total holds. Without any value a fine row gets 0."""
-    values = coarse.select("id", value)
+    values = cut(coarse.select("id", value))
     out = downscale(cut(mapping), dealt(values, is_few(values)), {value: Sum(geoweighted=by_weight)})
-    return rescale(cut(out), coarse, [value]) if preserve_total else out
+    return rescale(cut(out), values, [value]) if preserve_total else out
 
 
 def spread_down(mapping: DataFrame, coarse: DataFrame, value: str, how: str = "mean") -> DataFrame:
